@@ -12,7 +12,7 @@ repeated when its content also starts anywhere else. Shuffling every window of
    text around them, in sorted order, and compared (``group_kernel``). A group has
    fewer than ``group_limit`` members, so it fits memory.
 3. *Longer prefixes.* Anchors with more occurrences get a longer prefix at once,
-   the whole window: its hash goes through the exchange of step 1, where what many
+   the whole window: its hash goes through the exchange of step 1, where what several
    rows of a task share is sent once.
 
 Nothing is dropped on the way: every window is judged by step 2 or step 3, and an
@@ -29,49 +29,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import packed
 
-SCATTERED = "r int, h binary, k binary, p binary"
-SCATTERED_ARROW = pa.schema([("r", pa.int32()), ("h", pa.binary()), ("k", pa.binary()), ("p", pa.binary())])
+SCATTERED = packed.schema(3)
 REPLY = "k long, p binary"
 REPLY_ARROW = pa.schema([("k", pa.int64()), ("p", pa.binary())])
 SEND_ROWS = 400_000
 
 
-def _by_key(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-    return pa.record_batch([pa.array(keys[bounds[:-1]]), K.packed(values, bounds)], schema=REPLY_ARROW)
-
-
-def scatter(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Pack (hash, key, position) into one row per hash range. What occurs limit times in a
-    buffer is known to be frequent: it is sent once, with key 0 and position -1, and its
-    own positions go out marked (~position) without their hashes."""
+def scatter(parts: Iterator[tuple[np.ndarray, ...]], ranges: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Pack (hash, key, position) by hash. What occurs limit times in a buffer is known to be frequent: it is sent once,
+    with key 0 and position -1, and its own positions go out marked (~position) without their hashes."""
 
     def send(held):
         h, k, p = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h)
+        order, first = packed.groups(h)
         h, k, p = h[order], k[order], p[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        counts = np.diff(np.append(first, len(h)))
+        counts = np.diff(first)
         often = np.repeat(counts >= limit, counts)
-        mine = None
         if often.any():
-            mine = (k[often], ~p[often])
+            yield packed.one_row(int(k[often][0] % ranges), np.zeros(0, np.uint64), k[often], ~p[often])
             one = np.zeros(len(h), dtype=bool)
-            one[first] = True
+            one[first[:-1]] = True
             keep = ~often | one
-            k = np.where(often, 0, k)[keep]
-            p = np.where(often, -1, p)[keep]
-            h = h[keep]
-        r = (h >> np.uint64(40)).astype(np.int64) * ranges >> 24
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), len(r))
-        yield pa.record_batch([pa.array(r[bounds[:-1]].astype(np.int32)), K.packed(h, bounds), K.packed(k, bounds), K.packed(p.astype(np.int64), bounds)], schema=SCATTERED_ARROW)
-        if mine:
-            one = np.array([0, len(mine[0])])
-            none = K.packed(np.zeros(0, np.uint64), np.zeros(2, np.int64))
-            yield pa.record_batch([pa.array([int(h[0] % np.uint64(ranges))], pa.int32()), none, K.packed(mine[0], one), K.packed(mine[1], one)], schema=SCATTERED_ARROW)
+            h, k, p = h[keep], np.where(often, 0, k)[keep], np.where(often, -1, p)[keep]
+        yield packed.pack(h, ranges, h, k, p.astype(np.int64))
 
     held, n = [], 0
     for part in parts:
@@ -85,53 +67,40 @@ def scatter(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges:
         yield from send(held)
 
 
-def gather(limit: int) -> Callable:
-    """Rows sorted by range -> per key, the positions whose hash occurs again; ~position if limit times or more."""
+def recurring(scattered: DataFrame, limit: int) -> DataFrame:
+    """(k, ps): per key the packed positions whose hash occurs again anywhere; ~position if limit times or more.
+
+    The answers go back packed by ranges of keys.
+    """
+    n = packed.ranges_of(scattered, 1)
 
     def judge(rows):
         known = [(k, p) for h, k, p in rows if not len(h)]
-        rows = [x for x in rows if len(x[0])]
-        for k, p in known:
-            yield _by_key(k, p)
-        if not rows:
-            return
-        h, k, p = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(h)
+        h, k, p = (np.concatenate(x) for x in zip(*rows, strict=True)) if len(known) < len(rows) else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
+        if known:
+            mine = np.concatenate([np.full(len(x[1]), not len(x[0])) for x in rows])
+            k, p = (k[~mine], p[~mine]) if len(known) < len(rows) else (k, p)
+        order, first = packed.groups(h)
         h, k, p = h[order], k[order], p[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        counts = np.diff(np.append(first, len(h)))
-        marker = p == -1
-        total = np.add.reduceat(np.where(marker, limit, 1), first)
-        total = np.repeat(total, counts)
-        out = (total > 1) & ~marker
-        if out.any():
-            yield _by_key(k[out], np.where(total[out] >= limit, ~p[out], p[out]))
-
-    def run(batches):
-        at, rows = None, []
-        for batch in batches:
-            rs = K.long_column(batch.column(0))
-            cols = [K.unpack(batch.column(i), t) for i, t in ((1, np.uint64), (2, np.int64), (3, np.int64))]
-            for i, r in enumerate(rs):
-                if r != at:
-                    yield from judge(rows)
-                    at, rows = r, []
-                rows.append(tuple(v[b[i] : b[i + 1]].copy() for v, b in cols))
-        yield from judge(rows)
+        if len(h):
+            marker = p == -1
+            total = np.repeat(np.add.reduceat(np.where(marker, limit, 1), first[:-1]), np.diff(first))
+            out = (total > 1) & ~marker
+            known.append((k[out], np.where(total[out] >= limit, ~p[out], p[out])))
+        return tuple(np.concatenate(x) for x in zip(*known, strict=True))
 
-    return run
+    def finish(kept):
+        k, p = (np.concatenate(x) for x in zip(*kept, strict=True))
+        if len(k):
+            yield packed.pack(k, n, k, p)
 
+    def regroup(rows):
+        k, p = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order, bounds = packed.groups(k)
+        yield pa.record_batch([pa.array(k[order][bounds[:-1]]), K.packed(p[order], bounds)], schema=REPLY_ARROW)
 
-def recurring(scattered: DataFrame, limit: int) -> DataFrame:
-    """(k, p): per key the packed positions whose hash occurs again anywhere."""
-    n = int(scattered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scattered.repartition(n, "r").sortWithinPartitions("r")
-    return dealt.mapInArrow(gather(limit), REPLY).groupBy("k").agg(F.collect_list("p").alias("ps"))
-
-
-def hash_ranges(df: DataFrame) -> int:
-    """As many hash ranges as shuffle partitions, times four."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = packed.by_range(scattered, [np.uint64, np.int64, np.int64], judge, packed.schema(2), finish)
+    return packed.by_range(told, [np.int64, np.int64], regroup, REPLY).select("k", F.array("p").alias("ps"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -150,8 +119,8 @@ def positions_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.repeat(row_of_item, per_item)
 
 
-CONTEXT = "a long, l binary, r binary, k long, p long, h binary"
-CONTEXT_ARROW = pa.schema([("a", pa.int64()), ("l", pa.binary()), ("r", pa.binary()), ("k", pa.int64()), ("p", pa.int64()), ("h", pa.binary())])
+CONTEXT = "a long, l binary, r binary, k long, p long"
+CONTEXT_ARROW = pa.schema([("a", pa.int64()), ("l", pa.binary()), ("r", pa.binary()), ("k", pa.int64()), ("p", pa.int64())])
 
 
 def _spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, back: bool) -> pa.Array:
@@ -163,57 +132,51 @@ def _spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, back: bool) -> pa
     return K.packed(values[at], bounds)
 
 
-def context_rows(units: Callable, length: int, k: int, frequent: bool) -> Callable:
-    """Rows (doc_id, text, k, ps) -> contexts of the anchors of step 2 or, if frequent, windows of step 3."""
+def _hits(batches, units: Callable, frequent: bool):
+    """Of rows (doc_id, text, k, ps), a few megabytes at a time: row keys, symbols, rolling hash, row offsets, and row and
+    position of the anchors of one kind, in order."""
+    for batch in batches:
+        keys = K.long_column(batch.column("k"))
+        pos, row = positions_of(batch.column("ps"))
+        own = (pos < 0) == frequent
+        pos, row = np.where(pos < 0, ~pos, pos)[own], row[own]
+        order = np.lexsort((pos, row))
+        pos, row = pos[order], row[order]
+        for at, buf, offs in K.chunks(batch.column("text")):
+            lo, hi = np.searchsorted(row, [at, at + len(offs) - 1])
+            if lo < hi:
+                symbols, codes, uoffs = units(buf, offs)
+                d = row[lo:hi] - at
+                yield keys[at : at + len(offs) - 1], symbols, K.Rolling(codes), uoffs, d, uoffs[d] + pos[lo:hi]
+
+
+def context_rows(units: Callable, length: int, k: int) -> Callable:
+    """Step 2: each anchor with the text before and after it that a window may hold."""
 
     def run(batches):
-        for batch in batches:
-            keys = K.long_column(batch.column("k"))
-            pos, row = positions_of(batch.column("ps"))
-            order = np.lexsort((pos, row))
-            pos, row = pos[order], row[order]
-            for at, buf, offs in K.chunks(batch.column("text")):
-                symbols, codes, uoffs = units(buf, offs)
-                lo, hi = np.searchsorted(row, [at, at + len(offs) - 1])
-                p, d = pos[lo:hi], row[lo:hi] - at
-                roll = K.Rolling(codes)
-                often = p < 0
-                begin, end = uoffs[d], uoffs[d + 1]
-                where = begin + np.where(often, ~p, p)
-                if not frequent and (~often).any():
-                    w, b, e = where[~often], begin[~often], end[~often]
-                    left, right = np.maximum(b, w - (length - k)), np.minimum(e, w + length)
-                    size = len(w)
-                    none = K.packed(np.zeros(0, np.uint8), np.zeros(size + 1, np.int64))
-                    yield pa.record_batch([pa.array(roll.slices(w, w + k).view(np.int64)), _spans(symbols, left, w, True), _spans(symbols, w, right, False), pa.array(keys[d[~often] + at]), pa.array(w - b), none], schema=CONTEXT_ARROW)
-                if frequent and often.any():
-                    w, b, e = where[often], begin[often], end[often]
-                    left, right = np.maximum(b, w - (length - k)), np.minimum(w, e - length)
-                    ok = right >= left
-                    every = K.covered(left[ok], right[ok] + 1, len(symbols))
-                    s = np.flatnonzero(every)
-                    if len(s):
-                        doc = np.searchsorted(uoffs, s, side="right") - 1
-                        yield from _window_rows(roll.slices(s, s + length), keys[doc + at], s - uoffs[doc])
+        for keys, symbols, roll, uoffs, d, w in _hits(batches, units, False):
+            begin, end = uoffs[d], uoffs[d + 1]
+            left, right = np.maximum(begin, w - (length - k)), np.minimum(end, w + length)
+            yield pa.record_batch([pa.array(roll.slices(w, w + k).view(np.int64)), _spans(symbols, left, w, True), _spans(symbols, w, right, False), pa.array(keys[d]), pa.array(w - begin)], schema=CONTEXT_ARROW)
 
     return run
 
 
-def _window_rows(h, k, p):
-    """Windows of step 3 in the same schema: a is null, l, r and h hold hashes, keys and positions."""
-    one = np.array([0, len(h)])
-    yield pa.record_batch([pa.array([None], pa.int64()), K.packed(h, one), K.packed(k, one), pa.array([0], pa.int64()), pa.array([0], pa.int64()), K.packed(p, one)], schema=CONTEXT_ARROW)
+def window_rows(units: Callable, length: int, k: int, ranges: int) -> Callable:
+    """Step 3: every window that holds a frequent anchor."""
 
-
-def _scatter_windows(ranges: int, limit: int) -> Callable:
     def run(batches):
         def parts():
-            for batch in batches:
-                cols = [K.unpack(batch.column(n), t) for n, t in (("l", np.uint64), ("r", np.int64), ("h", np.int64))]
-                for i in range(batch.num_rows):
-                    yield tuple(v[b[i] : b[i + 1]].copy() for v, b in cols)
+            for keys, symbols, roll, uoffs, d, w in _hits(batches, units, True):
+                left, right = np.maximum(uoffs[d], w - (length - k)), np.minimum(w, uoffs[d + 1] - length)
+                ok = right >= left
+                s = np.flatnonzero(K.covered(left[ok], right[ok] + 1, len(symbols)))
+                if len(s):
+                    doc = np.searchsorted(uoffs, s, side="right") - 1
+                    yield roll.slices(s, s + length), keys[doc], s - uoffs[doc]
 
-        yield from scatter(parts(), ranges, limit)
+        # two of a window are enough, so what a task repeats itself isn't asked
+        yield from scatter(parts(), ranges, 2)
 
     return run
 
@@ -288,7 +251,7 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def repeat_intervals(docs: DataFrame, units: Callable, dtype, kernel: Callable, length: int, k: int, group_limit: int) -> DataFrame:
     """keyed() rows -> (k, ps): packed (start, end) intervals, in units, that repeated windows cover."""
-    ranges = hash_ranges(docs)
+    ranges = packed.ranges_of(docs)
 
     def find(batches):
         def parts():
@@ -305,7 +268,7 @@ def repeat_intervals(docs: DataFrame, units: Callable, dtype, kernel: Callable,
     hits = recurring(docs.select("text", "k").mapInArrow(find, SCATTERED), group_limit)
     found = docs.join(hits.hint("shuffle_hash"), "k").select("doc_id", "text", "k", "ps")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = found.mapInArrow(context_rows(units, length, k, False), CONTEXT).repartition(n, "a").sortWithinPartitions("a", "r").mapInArrow(group_rows(kernel, dtype, length, k), REPLY)
+    groups = found.mapInArrow(context_rows(units, length, k), CONTEXT).repartition(n, "a").sortWithinPartitions("a", "r").mapInArrow(group_rows(kernel, dtype, length, k), REPLY)
 
     def spans(batches):
         for batch in batches:
@@ -317,6 +280,6 @@ def repeat_intervals(docs: DataFrame, units: Callable, dtype, kernel: Callable,
             bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
             yield pa.record_batch([pa.array(keys[bounds[:-1]]), K.packed(out.ravel(), bounds * 2)], schema=REPLY_ARROW)
 
-    windows = recurring(found.mapInArrow(context_rows(units, length, k, True), CONTEXT).select("l", "r", "h").mapInArrow(_scatter_windows(ranges, group_limit), SCATTERED), group_limit)
+    windows = recurring(found.mapInArrow(window_rows(units, length, k, ranges), SCATTERED), 2)
     frequent = windows.mapInArrow(spans, REPLY)
     return groups.unionByName(frequent).groupBy("k").agg(F.collect_list("p").alias("ps"))
