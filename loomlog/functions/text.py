@@ -1,0 +1,258 @@
+"""Column functions over texts: masks, caps, dictionaries, references, hosts, redirects.
+
+All are compositions of built-in functions. A column that is used more than once in one
+of them should be a plain column, not a costly expression.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import dictionaries as D
+
+CUT = "…[truncated]"
+_SECRET_PATTERN = "|".join(f"({p})" for _, p in D.SECRETS)
+_GROUPS: list[tuple[str, int, int | None]] = []
+_at = 1
+for _name, _p in D.SECRETS:
+    _inner = re.search(r"(?<!\\)\((?!\?)", _p) is not None
+    _GROUPS.append((_name, _at, _at + 1 if _inner else None))
+    _at += 2 if _inner else 1
+
+
+def json_path(variant: Column, path: str, kind: str = "string") -> Column:
+    """The value at a path; as a string only if it is one."""
+    if kind != "string":
+        return F.try_variant_get(variant, path, kind)
+    return F.when(F.schema_of_variant(F.try_variant_get(variant, path, "variant")) == "STRING", F.try_variant_get(variant, path, "string"))
+
+
+def blank(text: Column) -> Column:
+    """Whether a text is null or has nothing but white space."""
+    return F.coalesce(~text.rlike(r"\S"), F.lit(True))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def contains_ci(text: Column, needle: str) -> Column:
+    return F.contains(F.lower(text), F.lit(needle.lower()))
+
+
+def redact(text: Column) -> Column:
+    """A struct (text, hits): secrets replaced by their type in one pass from left to right, and the types found.
+
+    Texts in which no pattern fires cost one pass.
+    """
+    p = F.lit(_SECRET_PATTERN)
+    every = F.regexp_extract_all(text, p, F.lit(0))
+    types, values = [], []
+    for name, outer, inner in _GROUPS:
+        types.append((name, F.regexp_extract_all(text, p, F.lit(outer)), None if inner is None else F.regexp_extract_all(text, p, F.lit(inner))))
+        values.append(inner)
+    hits = F.transform(every, lambda h: F.struct(h.alias("hit"), F.lit(None).cast("string").alias("type"), F.lit("").alias("value")))
+    for name, outer, inner in types:
+        side = F.arrays_zip(outer.alias("o"), (inner if inner is not None else outer).alias("v"))
+        hits = F.zip_with(hits, side, _mark(name, inner is not None))
+    pieces = F.split(text, _SECRET_PATTERN, -1)
+    # the value is the tail of its match
+    masked = F.transform(hits, lambda h: F.concat(F.left(h["hit"], F.length(h["hit"]) - F.length(h["value"])), F.lit(D.MASK), h["type"], F.lit("]")))
+    joined = F.array_join(F.zip_with(pieces, F.concat(masked, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    found = text.rlike(_SECRET_PATTERN)
+    return F.struct(F.when(found, joined).otherwise(text).alias("text"), F.when(found, F.transform(hits, lambda h: h["type"])).otherwise(F.array().cast("array<string>")).alias("hits"))
+
+
+def _mark(name: str, inner: bool):
+    def step(h, s):
+        mine = h["type"].isNull() & (s["o"] != "")
+        value = s["v"] if inner else h["hit"]
+        return F.struct(h["hit"].alias("hit"), F.when(mine, F.lit(name)).otherwise(h["type"]).alias("type"), F.when(mine, value).otherwise(h["value"]).alias("value"))
+
+    return step
+
+
+def has_secret(text: Column) -> Column:
+    return F.coalesce(text.rlike(_SECRET_PATTERN), F.lit(False))
+
+
+def secret_types(text: Column) -> Column:
+    """The sorted distinct secret types of a text."""
+    return F.array_sort(F.array_distinct(redact(text)["hits"]))
+
+
+def redacted(df, columns: Sequence[str]):
+    """df with secrets masked in text columns (also string arrays): the last step before rows go out."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        if kinds[c] == "array<string>":
+            df = df.withColumn(c, F.transform(c, lambda x: redact(x)["text"]))
+        else:
+            df = df.withColumn(c, redact(F.col(c))["text"])
+    return df
+
+
+def labels(text: Column, table: Sequence[tuple[str, str]]) -> Column:
+    """Names of the patterns that fire, in table order."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in table]))
+
+
+def cap(text: Column, n: int, marker: str = CUT) -> Column:
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(marker))).otherwise(text)
+
+
+def preview(text: Column, n: int = 160) -> Column:
+    return cap(text, n, "…")
+
+
+def smart_cap(text: Column, n: int, mode: str = "smart") -> Column:
+    """head, tail or smart: distinct error-like lines first, then the end of the text, at most twice n."""
+    if mode == "head":
+        return cap(text, n)
+    if mode == "tail":
+        return F.when(F.length(text) > n, F.concat(F.lit(CUT), F.right(text, F.lit(n)))).otherwise(text)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(D.ERROR_LINE) & x.rlike(r"\S"))
+    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    first = F.filter(lines, lambda x, i: F.array_position(trimmed, F.regexp_replace(x, r"^\s+|\s+$", "")) == i + 1)
+    head = F.slice(first, 1, 20)
+    tail = F.right(text, F.lit(max(1, n // 2)))
+    whole = F.concat_ws("\n", head, F.lit(CUT + "…"), tail)
+    return F.when(F.length(text) > n, cap(whole, 2 * n)).otherwise(text)
+
+
+def fragment(text: Column, anchor: Column, n: int, before: int) -> Column:
+    """n characters of text from up to `before` ahead of the 0-based anchor; cut edges get an ellipsis."""
+    start = F.greatest(F.lit(0), anchor - before)
+    part = F.substring(text, start + 1, F.lit(n))
+    made = F.concat(F.when(start > 0, "…").otherwise(""), part, F.when(start + n < F.length(text), "…").otherwise(""))
+    return F.when(F.length(text) <= n, text).otherwise(made)
+
+
+def snippet(haystack: Column, terms: Sequence[str]) -> Column:
+    """Up to 200 characters around the first hit of the first term that occurs."""
+    out = F.lit("")
+    for t in reversed(terms):
+        i = F.instr(haystack, t) - 1
+        start = F.greatest(F.lit(0), i - 60)
+        end = F.least(F.length(haystack), i + len(t) + 140)
+        core = F.trim(F.substring(haystack, start + 1, end - start))
+        made = F.concat(F.when((start > 0) & ~core.startswith("..."), "...").otherwise(""), core)
+        made = F.concat(made, F.when((end < F.length(haystack)) & ~made.endswith("..."), "...").otherwise(""))
+        out = F.when(i >= 0, F.left(made, F.lit(200))).otherwise(out)
+    return out
+
+
+def user_refs(text: Column) -> Column:
+    """References in a user's text: tags of the raw text, then links and path mentions outside fenced code."""
+    plain = F.regexp_replace(text, r"(?s)```.*?```", " ")
+
+    def refs(source, pattern, group, kind):
+        return F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("kind"), strip(x).alias("target"), F.lit("text").alias("origin")))
+
+    return F.concat(refs(text, D.DOC_TAG, 1, "file"), refs(text, D.IDE_OPENED, 1, "ide_context"), refs(text, D.IDE_SELECTION, 1, "ide_context"), refs(plain, D.URL_IN_TEXT, 0, "url"), refs(plain, D.AT_MENTION, 1, "file"))
+
+
+def dedup_refs(refs: Column) -> Column:
+    """One reference per trimmed target, at its first place; a structured one wins. Those without target all stay."""
+    same = lambda a, b: F.trim(a["target"]) == F.trim(b["target"])
+    none = lambda r: F.coalesce(r["target"], F.lit("")) == ""
+    first = F.filter(refs, lambda r, i: none(r) | ~F.exists(F.slice(refs, 1, i), lambda q: ~none(q) & same(q, r)))
+    return F.transform(first, lambda r: F.coalesce(F.when(none(r) | (r["origin"] == "structured"), r), F.get(F.filter(refs, lambda q: same(q, r) & (q["origin"] == "structured")), F.lit(0)), r))
+
+
+def normal_title(title: Column) -> Column:
+    """The key that plan revisions of one task share."""
+    x = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " ")
+    return F.regexp_replace(x, r"^[ #:\-—]+|[ #:\-—]+$", "")
+
+
+def first_heading(body: Column) -> Column:
+    return F.nullif(strip(F.regexp_extract(body, r"(?m)^#\s+(.+?)\s*$", 1)), F.lit(""))
+
+
+def rendered(text: Column) -> Column:
+    """Markdown without what rendering takes away, white space collapsed, so that a quotation matches its source."""
+    x = F.regexp_replace(text, r"(?m)^(?:[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d+[.)][ \t]+))+", "")
+    x = F.regexp_replace(x, r"(?m)^[ \t]*\[[ xX]\][ \t]+", "")
+    x = F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[`*]", ""), r"\s+", " "))
+
+
+def title_text(title: Column) -> Column:
+    return F.left(F.trim(F.translate(title, "\n\r", "  ")), F.lit(100))
+
+
+def timestamp(x: Column) -> Column:
+    """ISO text, else its first 23 characters; without zone it is UTC; null if neither parses."""
+    return F.coalesce(F.expr("cast(null as timestamp)"), x.try_cast("timestamp"), F.left(x, F.lit(23)).try_cast("timestamp"))
+
+
+def under(directory: Column, base: str) -> Column:
+    """The same directory or one below it; null never is."""
+    b = base.rstrip("/")
+    d = F.regexp_replace(directory, "/+$", "")
+    return F.coalesce((d == b) | d.startswith(b + "/"), F.lit(False)) if b else F.coalesce(directory.startswith("/"), F.lit(False))
+
+
+def host(url: Column) -> Column:
+    """Lower-case host of a URL; an IPv6 host without its brackets; null if there is none."""
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    bare = F.regexp_replace(authority, r"^.*@", "")
+    six = F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)
+    return F.nullif(F.lower(F.when(six != "", six).otherwise(F.regexp_replace(bare, r":[^:]*$", ""))), F.lit(""))
+
+
+def _ipv4(h: Column) -> Column:
+    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    p = rf"^{octet}\.{octet}\.{octet}\.{octet}$"
+    n = sum((F.regexp_extract(h, p, i + 1).try_cast("long") * (256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
+    return F.when(h.rlike(p), n)
+
+
+def request_risks(url: Column, query: Column) -> Column:
+    """Risk labels of a request, in the order of the vocabulary."""
+    h = host(url)
+    four, six = _ipv4(h), F.contains(h, F.lit(":"))
+    inside = F.lit(False)
+    for first, bits in D.PRIVATE_IPV4:
+        low = sum(int(x) << (8 * (3 - i)) for i, x in enumerate(first.split(".")))
+        inside = inside | four.between(low, low + (1 << (32 - bits)) - 1)
+    named = four.isNull() & ~six
+    local = (h == "localhost") | h.rlike("(?:" + "|".join(re.escape(s) for s in D.LOCAL_SUFFIXES) + ")$")
+    tests = {
+        "plain_http": url.rlike(r"(?i)^http://"),
+        "credentials_in_url": url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@"),
+        "secret_in_url": has_secret(url),
+        "secret_in_query": has_secret(query),
+        "ip_literal_host": four.isNotNull() | six,
+        "private_or_local_host": F.coalesce(inside, F.lit(False)) | (six & h.rlike(D.PRIVATE_IPV6)) | (named & local),
+        "punycode_host": named & h.rlike(r"(?:^|\.)xn--"),
+    }
+    return F.array_compact(F.array(*[F.when(tests[r], F.lit(r)) for r in D.RISKS]))
+
+
+def redirect_targets(command: Column) -> Column:
+    """Files that a shell command writes by redirection: structs (path, append). Quoted parts are not read.
+
+    Writes by tee, sed -i, cp or mv are not seen.
+    """
+    bare = F.regexp_replace(command, r"'[^']*(?:'|$)|\"[^\"]*(?:\"|$)", "'")
+    p = F.lit(r"(?<![0-9>\-=:/&])(?:&?(>>?))[ \t]*([^\s;|&<>()'\"]+)")
+    ops = F.regexp_extract_all(bare, p, F.lit(1))
+    return F.zip_with(F.regexp_extract_all(bare, p, F.lit(2)), ops, lambda path, op: F.struct(path.alias("path"), (op == ">>").alias("append")))
+
+
+def tokens_estimate(chars: Column) -> Column:
+    return F.ceil(chars / 4).cast("long")
+
+
+def untrusted(text: Column, source: str | None = None, max_chars: int | None = None) -> Column:
+    """The text framed as data that a reader must not obey."""
+    body = text if max_chars is None else F.when(F.length(text) > max_chars, F.concat(F.left(text, F.lit(max_chars)), F.lit("\n[truncated]"))).otherwise(text)
+    head = D.UNTRUSTED_NOTICE + "\n" + (f"Source: {source}\n" if source else "") + "<untrusted-session-content>\n"
+    return F.concat(F.lit(head), body, F.lit("\n</untrusted-session-content>"))

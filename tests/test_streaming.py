@@ -1,0 +1,44 @@
+"""Streaming jobs against their batch forms."""
+
+from pyspark.sql import functions as F
+
+from loomlog.operators import normalise
+from loomlog.sources.adapters import log_from_events
+from loomlog.streaming import jobs
+
+
+def test_ingest_and_incidents(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    m = log_from_events(e).withColumn("tool_use", F.transform("tool_use", lambda t: t.withField("input", F.lit('{"command": "git reset --hard"}'))))
+    src = str(tmp_path / "src")
+    m.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(m.schema).parquet(src)
+    jobs.ingest(stream, jobs.live_incidents, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == normalise.events(m).where("tool = 'Bash'").count() > 0
+    jobs.ingest(stream, jobs.live_incidents, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == got.count()
+
+
+def test_dedup_in_stream(spark, tmp_path):
+    rows = [(f"k{i % 5}" if i % 7 else None, f"2025-01-01 00:00:{i % 60:02d}") for i in range(40)]
+    df = spark.createDataFrame(rows, "call_key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = jobs.dedup_calls(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    jobs.ingest(stream, lambda s: s, str(tmp_path / "out"), str(tmp_path / "state"), None).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.where("call_key is not null").count() == 5 and out.where("call_key is null").count() == sum(k is None for k, _ in rows)
+
+
+def test_merge_changed(spark):
+    old = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b")], "session_id string, line_no long, v string")
+    new = spark.createDataFrame([("s", 2, "B"), ("s", 3, "c"), ("s", 3, "c")], "session_id string, line_no long, v string")
+    assert sorted(tuple(x) for x in jobs.merge_changed(new, old).collect()) == [("s", 1, "a"), ("s", 2, "B"), ("s", 3, "c")]
+
+
+def test_sessions_need_no_exchange_when_bucketed(spark, tmp_path):
+    m = log_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    m.write.bucketBy(4, "agent", "session_id").sortBy("agent", "session_id", "message_index").mode("overwrite").option("path", str(tmp_path / "t")).saveAsTable("bucketed_messages")
+    plan = normalise.previous_text(spark.table("bucketed_messages"))._jdf.queryExecution().executedPlan().toString()
+    spark.sql("drop table bucketed_messages")
+    assert "Exchange" not in plan
