@@ -83,7 +83,7 @@ def find(documents: DataFrame, benchmark: DataFrame, masks=MASKS, window: int =
     found = found.withColumn("matched_words", F.aggregate("agree", F.lit(0), lambda a, x: a + x))
     best = F.max_by(F.struct("matched_words", "best_run", "first_word"), F.struct("matched_words", "best_run", -F.col("first_word"))).alias("b")
     out = found.groupBy("k", "doc_id", "item_id", F.size("item").alias("item_words")).agg(best)
-    return out.select("k", "doc_id", "item_id", F.col("item_words").cast("long"), F.col("b.matched_words").cast("long"), F.col("b.best_run").cast("long"), F.col("b.first_word").cast("long"))
+    return out.select("k", "doc_id", "item_id", *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("item_words", "b.matched_words", "b.best_run", "b.first_word")])
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
