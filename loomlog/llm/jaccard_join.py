@@ -13,9 +13,10 @@ everything below works on classes.
    linked sets have such a subset in common. *Heavy sets* are listed under the rarest
    hashes of their prefix; linked sets meet in one of these inverted lists. The boundary
    is the size with the least total cost, counted from the sets themselves.
-3. *Lists to links.* In each list, all members are first compared with one of them, which
-   joins groups of near copies in linear time; then members of different components are
-   compared. Comparison is exact, on the kept hashes.
+3. *Lists to links.* In each list, all members are first compared with a centre, and those
+   outside the largest component with members of it, which joins groups of near copies in
+   linear time; then members of different components are compared, but for those that
+   their distances to the centre tell apart. Comparison is exact, on the kept hashes.
 
 Nothing is capped: each list is read as a whole, and pairs are only skipped when both
 ends are already known to be connected.
@@ -37,13 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .repeats import hash_ranges
+from . import packed
 from .tables import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLE = 0.4
 LIGHT_MOST = 14
+ROUNDS = 4
 BROADCAST_KEYS = 1_000_000
 SEND = 500_000
 
@@ -91,34 +93,24 @@ def sets_of(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, k long, c long, n long")
 
 
-PACKED = "r int, h binary, c binary"
-_PACKED = pa.schema([("r", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])
-
-
 def _send(documents: DataFrame, part: float, ranges: int, size: int) -> DataFrame:
-    """Each text's least hashes (the given part of them) with its class, packed by hash range.
+    """Each text's least hashes (the given part of them) with its class, packed by hash.
 
     A hash that several classes of a buffer share is sent with two of them; the others are
-    told at once (a row with no hashes holds their classes).
+    told at once (a row without hashes holds their classes).
     """
 
-    def pack(held):
+    def send(held):
         h, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        h, c = h[new], c[new]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        counts = np.diff(np.append(first, len(h)))
-        place = np.arange(len(h)) - np.repeat(first, counts)
+        h, c = _distinct(h, c)
+        _, first = packed.groups(h)
+        counts = np.diff(first)
+        place = np.arange(len(h)) - np.repeat(first[:-1], counts)
         told = c[place >= 2]
         h, c = h[place < 2], c[place < 2]
-        r = (h >> np.uint64(40)).astype(np.int64) * ranges >> 24
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), len(r))
-        yield pa.record_batch([pa.array(r[bounds[:-1]].astype(np.int32)), K.packed(h, bounds), K.packed(c, bounds)], schema=_PACKED)
+        yield packed.pack(h, ranges, h, c)
         if len(told):
-            yield pa.record_batch([pa.array([int(c[0] % ranges)], pa.int32()), K.packed(np.zeros(0, np.uint64), np.zeros(2, np.int64)), K.packed(told, np.array([0, len(told)]))], schema=_PACKED)
+            yield packed.one_row(int(told[0] % ranges), np.zeros(0, np.uint64), told)
 
     def run(batches):
         held, n = [], 0
@@ -131,62 +123,58 @@ def _send(documents: DataFrame, part: float, ranges: int, size: int) -> DataFram
                 held.append((h[use], np.repeat(keys, sizes)[use]))
                 n += int(use.sum())
                 if n >= SEND:
-                    yield from pack(held)
+                    yield from send(held)
                     held, n = [], 0
         if n:
-            yield from pack(held)
-
-    return documents.select("text").mapInArrow(run, PACKED)
+            yield from send(held)
 
+    return documents.select("text").mapInArrow(run, packed.schema(2))
 
-def _by_range(packed: DataFrame, judge, schema: str) -> DataFrame:
-    """judge(r, h, c, told) over whole hash ranges."""
 
-    def run(batches):
-        at, rows = None, []
-
-        def flush():
-            if rows:
-                whole = [x for x in rows if len(x[0])]
-                told = [x[1] for x in rows if not len(x[0])]
-                none = np.zeros(0, np.int64)
-                h = np.concatenate([x[0] for x in whole]) if whole else none.view(np.uint64)
-                c = np.concatenate([x[1] for x in whole]) if whole else none
-                order = np.lexsort((c, h))
-                h, c = h[order], c[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-                h, c = h[new], c[new]
-                yield from judge(at, h, c, np.concatenate(told) if told else none)
-
-        for batch in batches:
-            rs = K.long_column(batch.column("r"))
-            (hv, hb), (cv, cb) = K.unpack(batch.column("h"), np.uint64), K.unpack(batch.column("c"), np.int64)
-            for i, r in enumerate(rs):
-                if r != at:
-                    yield from flush()
-                    at, rows = r, []
-                rows.append((hv[hb[i] : hb[i + 1]].copy(), cv[cb[i] : cb[i + 1]].copy()))
-        yield from flush()
-
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "r").sortWithinPartitions("r").mapInArrow(run, schema)
+def _distinct(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (h, c), sorted, each once."""
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return h[new], c[new]
 
 
 def _frequency(h: np.ndarray) -> np.ndarray:
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(h)))
+    """How often each of the sorted values occurs."""
+    _, first = packed.groups(h)
+    counts = np.diff(first)
     return np.repeat(counts, counts)
 
 
-def shared_counts(packed: DataFrame) -> DataFrame:
+def _join(rows) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+
+
+def shared_counts(sent: DataFrame) -> DataFrame:
     """(c, shared): how many of a class's hashes another class has too; never too few."""
+    n = packed.ranges_of(sent, 1)
+
+    def judge(rows):
+        told = [c for h, c in rows if not len(h)]
+        whole = [x for x in rows if len(x[0])]
+        if whole:
+            h, c = _distinct(*_join(whole))
+            told.append(c[_frequency(h) > 1])
+        return np.unique(np.concatenate(told), return_counts=True)
 
-    def judge(_, h, c, told):
-        keys, counts = np.unique(np.concatenate([c[_frequency(h) > 1], told]), return_counts=True)
-        yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["c", "shared"])
+    def finish(kept):
+        c, counts = _join(kept)
+        if len(c):
+            yield packed.pack(K.mix(c.view(np.uint64)), n, c, counts.astype(np.int64))
 
-    return _by_range(packed, judge, "c long, shared long").groupBy("c").agg(F.sum("shared").alias("shared"))
+    def add(rows):
+        c, counts = _join(rows)
+        order, bounds = packed.groups(c)
+        yield pa.record_batch([pa.array(c[order][bounds[:-1]]), pa.array(np.add.reduceat(counts[order], bounds[:-1]))], names=["c", "shared"])
+
+    told = packed.by_range(sent, [np.uint64, np.int64], judge, packed.schema(2), finish)
+    return packed.by_range(told, [np.int64, np.int64], add, "c long, shared long")
 
 
 def _check(similarity: float) -> None:
@@ -204,7 +192,7 @@ def reduced_sets(documents: DataFrame, sizes: DataFrame, similarity: float = SIM
 
     sizes: (c, n) of every class. hs is packed uint64, fs int32.
     """
-    ranges = hash_ranges(documents)
+    ranges = packed.ranges_of(documents)
     # of the least SAMPLE * n + 1 hashes, this share of n at least is common to both sides of a link
     least = max(0.0, min(similarity * SAMPLE - (1 - similarity), SAMPLE - (1 - similarity) / similarity))
     counts = shared_counts(_send(documents, SAMPLE, ranges, size))
@@ -219,50 +207,42 @@ def reduced_sets(documents: DataFrame, sizes: DataFrame, similarity: float = SIM
         picked = F.broadcast(picked)
     own = rows.join(picked, "k", "left_semi")
 
-    def judge(_, h, c, told):
+    n = packed.ranges_of(documents, 1)
+
+    def judge(rows):
+        h, c = _distinct(*_join(rows))
         f = _frequency(h)
-        use = f > 1
-        h, c, f = h[use], c[use], f[use]
-        order = np.argsort(c, kind="stable")
-        h, c, f = h[order], c[order], f[order]
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c)) if len(c) else np.zeros(1, np.int64)
-        yield pa.record_batch([pa.array(c[bounds[:-1]]), K.packed(h, bounds), K.packed(f.astype(np.int32), bounds)], schema=pa.schema([("c", pa.int64()), ("h", pa.binary()), ("f", pa.binary())]))
+        return h[f > 1], c[f > 1], f[f > 1].astype(np.int32)
 
-    packed = _send_all(own, ranges, size)
-    parts = _by_range(packed, judge, "c long, h binary, f binary")
-    lists = parts.groupBy("c").agg(F.collect_list(F.struct("h", "f")).alias("l"))
+    def finish(kept):
+        h, c, f = _join(kept)
+        if len(h):
+            yield packed.pack(K.mix(c.view(np.uint64)), n, h, c, f)
 
-    def join(batches):
-        for batch in batches:
-            rows = []
-            for c, n, items in zip(*(batch.column(x).to_pylist() for x in ("c", "n", "l")), strict=True):
-                h = np.concatenate([np.frombuffer(x["h"], np.uint64) for x in items])
-                f = np.concatenate([np.frombuffer(x["f"], np.int32) for x in items])
-                if len(h) >= least_overlap(n, similarity):
-                    order = np.argsort(h)
-                    rows.append((c, n, h[order].tobytes(), f[order].tobytes()))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["c", "n", "hs", "fs"])
+    def sets(rows):
+        h, c, f = _join(rows)
+        order = np.lexsort((h, c))
+        h, c, f = h[order], c[order], f[order]
+        _, bounds = packed.groups(c)
+        yield pa.record_batch([pa.array(c[bounds[:-1]]), K.packed(h, bounds), K.packed(f, bounds)], names=["c", "hs", "fs"])
 
-    return lists.join(heads.select("c", "n").distinct(), "c").select("c", "n", "l").mapInArrow(join, "c long, n long, hs binary, fs binary")
+    told = packed.by_range(_send_all(own, ranges, size), [np.uint64, np.int64], judge, packed.schema(3), finish)
+    lists = packed.by_range(told, [np.uint64, np.int64, np.int32], sets, "c long, hs binary, fs binary")
+    enough = F.length("hs") >= 8 * F.ceil(F.round(F.col("n") * similarity, 6))
+    return lists.join(heads.select("c", "n").distinct(), "c").where(enough).select("c", "n", "hs", "fs")
 
 
 def _send_all(documents: DataFrame, ranges: int, size: int) -> DataFrame:
-    """All hashes of each text with its class, packed by hash range."""
+    """All hashes of each text with its class, packed by hash."""
 
     def run(batches):
         for batch in batches:
             for _, buf, offs in K.chunks(batch.column("text")):
                 h, bounds = shingle_sets(buf, offs, size)
-                if not len(h):
-                    continue
-                c = np.repeat(class_keys(h, bounds), np.diff(bounds))
-                order = np.argsort(h, kind="stable")
-                h, c = h[order], c[order]
-                r = (h >> np.uint64(40)).astype(np.int64) * ranges >> 24
-                cuts = np.append(np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), len(r))
-                yield pa.record_batch([pa.array(r[cuts[:-1]].astype(np.int32)), K.packed(h, cuts), K.packed(c, cuts)], schema=_PACKED)
+                if len(h):
+                    yield packed.pack(h, ranges, h, np.repeat(class_keys(h, bounds), np.diff(bounds)))
 
-    return documents.select("text").mapInArrow(run, PACKED)
+    return documents.select("text").mapInArrow(run, packed.schema(2))
 
 
 def subset_count(n: int, kept: int, similarity: float) -> int:
@@ -298,11 +278,14 @@ def boundary(reduced: DataFrame, similarity: float) -> int:
 
 
 def list_entries(reduced: DataFrame, light: int, similarity: float) -> DataFrame:
-    """(key, c, n): each class under its subsets if light, and under its rarest hashes if it may meet a heavy one."""
+    """(key, c, n, q, w, i, p): each class under its subsets if light, and under its rarest hashes if it may meet a heavy one. q is
+    how many hashes it shares with any other, w how common its hashes are on average. i marks the entries under which a
+    set meets all its links of the same size or larger: these share more, so fewer of the rarest hashes do. p is the
+    key's place among the set's shared hashes, rarest first."""
 
     def run(batches):
         for batch in batches:
-            keys, owner, size = [], [], []
+            keys, owner, size, shared, weight, place, inner = [], [], [], [], [], [], []
             for c, n, hs, fs in zip(*(batch.column(x).to_pylist() for x in ("c", "n", "hs", "fs")), strict=True):
                 h, f = np.frombuffer(hs, np.uint64), np.frombuffer(fs, np.int32)
                 own = []
@@ -310,23 +293,28 @@ def list_entries(reduced: DataFrame, light: int, similarity: float) -> DataFrame
                     for s in subset_sizes(n, similarity):
                         if s <= len(h):
                             picks = np.array(list(combinations(range(len(h)), s)))
-                            own.append(K.mix(K.mix(h)[picks].sum(axis=1) + np.uint64(s)))
+                            own.append((K.mix(K.mix(h)[picks].sum(axis=1) + np.uint64(s)), len(picks), 0))
                 if floor(round(n / similarity, 9)) > light:
                     # the hashes that no other class has come first in a prefix by rarity
-                    p = n - least_overlap(n, similarity) + 1 - (n - len(h))
-                    own.append(h[np.lexsort((h, f))[: max(0, p)]])
-                for x in own:
+                    p = len(h) - least_overlap(n, similarity) + 1
+                    larger = len(h) - least_overlap(n, 2 * similarity / (1 + similarity)) + 1
+                    own.append((h[np.lexsort((h, f))[: max(0, p)]], larger, 1))
+                for x, i, step in own:
+                    inner.append(np.arange(len(x)) < i)
+                    place.append(np.arange(len(x)) * step)
                     keys.append(x.view(np.int64))
                     owner.append(np.full(len(x), c, np.int64))
                     size.append(np.full(len(x), n, np.int64))
+                    shared.append(np.full(len(x), len(h), np.int64))
+                    weight.append(np.full(len(x), (int(f.sum()) << 10) // n, np.int64))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(cat(keys)), pa.array(cat(owner)), pa.array(cat(size))], names=["key", "c", "n"])
+            yield pa.record_batch([*(pa.array(cat(x)) for x in (keys, owner, size, shared, weight, place)), pa.array(cat(inner).astype(bool))], names=["key", "c", "n", "q", "w", "p", "i"])
 
-    return reduced.mapInArrow(run, "key long, c long, n long")
+    return reduced.mapInArrow(run, "key long, c long, n long, q long, w long, p long, i boolean")
 
 
 def verify(pairs: DataFrame, reduced: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link. The sets of all b travel to their a, which is read once."""
+    """(a, b, linked, d) of pairs (a, b) of classes, d being their distance. The sets of all b travel to their a, which is read once."""
     sets = reduced.select("c", "n", "hs")
     sides = pairs.join(sets, pairs.b == sets.c).select("a", "b", "n", "hs")
     heads = sets.join(pairs.select("a").distinct(), sets.c == F.col("a"), "left_semi").select(F.col("c").alias("a"), F.lit(None).cast("long").alias("b"), "n", "hs")
@@ -345,11 +333,12 @@ def verify(pairs: DataFrame, reduced: DataFrame, similarity: float) -> DataFrame
                 elif at == a:
                     i = np.searchsorted(own, h)
                     both = int((own[np.minimum(i, len(own) - 1)] == h).sum()) if len(own) else 0
-                    if 100 * both >= hundred * (size + m - both):
-                        out.append((a, b))
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
+                    whole = size + m - both
+                    out.append((a, b, 100 * both >= hundred * whole, 1.0 - both / whole))
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([],) * 4, types, strict=True)], names=["a", "b", "linked", "d"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, linked boolean, d double")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -369,22 +358,52 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return label
 
 
-def links(reduced: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between classes that connect every two classes connected by links."""
+def _may_link(n, q, m, r, similarity: float, at=None, place=None):
+    """Whether sets of n and m, with q and r hashes shared with any other set, can link: what they share is in both counts.
+    If a common hash has the given places among these, at most the lesser number before it and from it on is common."""
+    hundred = round(similarity * 100)
+    most = F.least(q, r) if at is None else F.least(at, place) + F.least(q - at, r - place)
+    return most * (100 + hundred) >= (n + m) * hundred
+
+
+def links(reduced: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """Links (a, b) between classes that connect every two classes connected by links.
+
+    First all members of a list are compared with its centre, the one with the most common
+    hashes; then, a few times, members outside a list's largest component with a member
+    of it, chosen by hash. Last, all members of different components are compared. Pairs
+    are left out that can't link: by their sizes and numbers of shared hashes, and in
+    the last step by the places of the common hash and by the triangle inequality on
+    their distances to the centre.
+    """
     entries = cut(list_entries(reduced, boundary(reduced, similarity), similarity))
-    sizes = entries.groupBy("key").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    stars = entries.join(sizes, "key").where("c <> a").select("a", F.col("c").alias("b")).distinct()
-    stars = cut(verify(stars, reduced, similarity))
-    roots = components(stars)
+    who = F.struct("c", "n", "q")
+    centre = entries.groupBy("key").agg(F.max_by(who, F.struct("w", "c")).alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "a")
+    entries = cut(entries.join(centre, "key").select("key", "c", "n", "q", "p", "i", "a"))
+    may = _may_link(F.col("n"), F.col("q"), F.col("a.n"), F.col("a.q"), similarity)
+    told = cut(verify(entries.where(F.col("c") != F.col("a.c")).where(may).select(F.col("a.c").alias("a"), F.col("c").alias("b")).distinct(), reduced, similarity))
+    known = told.where("linked").select("a", "b")
+    roots = components(known)
+    for i in range(rounds):
+        seen = entries.join(roots, "c", "left").select("key", "c", "n", "q", F.coalesce("root", "c").alias("root"))
+        parts = seen.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min_by(who, F.xxhash64("c", F.lit(i))).alias("pick"))
+        main = parts.groupBy("key").agg(F.max_by(F.struct("root", "pick"), F.struct("m", "root")).alias("x"), F.count(F.lit(1)).alias("p")).where("p > 1").select("key", F.col("x.root").alias("main"), F.col("x.pick").alias("a"))
+        pairs = cut(seen.join(main, "key").where("root <> main").where(may).select(F.col("a.c").alias("a"), F.col("c").alias("b")).distinct())
+        new = cut(verify(pairs, reduced, similarity).where("linked").select("a", "b"))
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+        roots = components(known)
     # what is left: members of one list in different components
-    seen = entries.join(roots, "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
+    far = entries.select("key", "c", "n", "q", "p", "i", F.col("a.c").alias("a")).join(told.select("a", F.col("b").alias("c"), "d"), ["a", "c"], "left").select("key", "c", "n", "q", "p", "i", F.when(F.col("c") == F.col("a"), 0.0).otherwise(F.col("d")).alias("d"))
+    seen = far.join(roots, "c", "left").select("key", "c", "n", "q", "p", "i", "d", F.coalesce("root", "c").alias("root"))
     mixed = seen.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     seen = cut(seen.join(mixed, "key", "left_semi"))
-    x, y = seen.alias("x"), seen.alias("y")
-    near = (F.col("x.n") * 100 >= round(similarity * 100) * F.col("y.n")) & (F.col("y.n") * 100 >= round(similarity * 100) * F.col("x.n"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & near)
-    pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    return stars.unionByName(verify(pairs, reduced, similarity))
+    x, y = seen.alias("x"), seen.where("i").alias("y")  # y: the smaller set
+    near = _may_link(F.col("x.n"), F.col("x.q"), F.col("y.n"), F.col("y.q"), similarity, F.col("x.p"), F.col("y.p")) & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9, F.lit(True))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.n") <= F.col("x.n")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & near)
+    pairs = pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+    return known.unionByName(verify(pairs, reduced, similarity).where("linked").select("a", "b"))
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
