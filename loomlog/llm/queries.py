@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, fingerprint, jaccard_join, link_trust, pii, quality, source_mix, substring_dedup, suffix_array_dedup
+from .oracle import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES = {
     for f in (op1_link_trust, op2_substring_dedup, op3_chat_format, op4_decontaminate, op5_pii, op6_fingerprints, op7_quality, op8_source_mix, op9_jaccard_join, op10_suffix_array_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,30 +1,5 @@
 """Tables written half way, in the folder that driver and executors share."""
 
-from __future__ import annotations
+from ..tables import cut, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
-
-
-def shared_folder(df: DataFrame) -> str:
-    """The folder named in spark.checkpoint.dir. Unset, as in tests, one is made and set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back; a lost executor loses none of it."""
-    path = f"{shared_folder(df)}/loomlog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_folder"]
