@@ -20,6 +20,7 @@ from ..schema import MESSAGES, conform
 from ..sources import codex
 from ..sources.adapters import log_from_conversations, log_from_events
 from ..streaming import jobs
+from ..tables import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -575,9 +576,9 @@ def audit_brief(spark, sf_dir):
 @register("SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
 def stream_ingest(spark, sf_dir):
     """Events read as a stream into Parquet until all are in, then counted."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
+    events = table(spark, sf_dir, "events")
+    out = f"{shared_folder(events)}/stream-{uuid.uuid4().hex}"
+    schema = events.schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     jobs.ingest(stream, lambda s: s.select("event_id", "user_id", "event_type", "ts"), f"{out}/data", f"{out}/state", "event_type").awaitTermination()
     return spark.read.parquet(f"{out}/data").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.sum("event_id").alias("ids")).drop("event_type")
