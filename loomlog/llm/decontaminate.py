@@ -7,11 +7,11 @@ the document's words, and the words that agree are counted: an item counts as fo
 where, in some run of ``WINDOW`` of its words, ``MIN_SIMILARITY`` of them agree.
 
 Words are compared after lower-casing; they are what stands between blanks. Only
-DataFrame functions are used. The seeds of the test items are broadcast while they are
-few (``BROADCAST_SEEDS``, counted first), and joined by shuffle beyond.
+DataFrame functions are used. The seeds of the test items, and the hits, are broadcast
+while they are few (``BROADCAST_SEEDS``, counted first), and joined by shuffle beyond.
 
 Defined cases: a null or empty text has no words; items under ``SHORT`` words never
-match, as chance would; items too short for the masks have masks of their own; repeated documents are each reported, repeated items under each id; null ids are
+match, as chance would; items too short for the masks have masks of their own; documents equal in id and text are reported once, repeated items under each id; null ids are
 kept; other columns are ignored; empty tables give no rows.
 """
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 # Each of the eleven positions is ignored by one of the masks; the short ones serve items under eleven words.
 MASKS = ("11011001011", "00110111101", "11101100110")
 SHORT_MASKS = ("111", "11011")
@@ -67,16 +69,21 @@ def find(documents: DataFrame, benchmark: DataFrame, masks=MASKS, window: int =
         brief = {m: len(masks) + i for i, m in enumerate(SHORT_MASKS)}
         marked = marked.unionByName(seeds(items.where(F.size("words") < span), brief))
         used |= brief
-    probes = marked.select("seed", "item_id", F.col("at").alias("item_at"), F.col("words").alias("item")).distinct()
+    probes = marked.select("seed", "item_id", F.col("at").alias("item_at")).distinct()
     if (total or 0) * len(used) <= broadcast_seeds:
         probes = F.broadcast(probes)
     docs = documents.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("k"), words_of(F.col("text")).alias("words"))
-    hits = seeds(docs, used).join(probes, "seed")
+    # the words stay behind: with them, each position would carry a copy of its whole text
+    spots = seeds(docs.select("k", "words"), used).select("k", "at", "seed")
     start = (F.col("at") - F.col("item_at")).cast("int")
+    hits = cut(spots.join(probes, "seed").select("k", "item_id", start.alias("first_word")).distinct())
+    if hits.count() <= broadcast_seeds:
+        hits = F.broadcast(hits)
     skip = F.least(F.col("first_word"), F.lit(0))
-    hits = hits.select("k", "doc_id", "item_id", "item", start.alias("first_word"), F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item") + F.least(start, F.lit(0))).alias("there")).distinct()
+    laid = docs.join(hits, "k").join(items.select("item_id", F.col("words").alias("item")).distinct(), "item_id")
+    laid = laid.select("k", "doc_id", "item_id", "item", "first_word", F.slice("words", F.greatest("first_word", F.lit(0)) + 1, F.size("item") + skip).alias("there"))
     agree = F.transform("item", lambda w, j: F.when((j + skip >= 0) & (F.try_element_at("there", F.greatest(j + skip + 1, F.lit(1)).cast("int")) == w), 1).otherwise(0))
-    hits = hits.withColumn("agree", agree)
+    hits = laid.withColumn("agree", agree)
     run = F.least(F.lit(window), F.size("item"))
     runs = F.transform(F.sequence(F.lit(1), F.size("item") - run + 1), lambda s: F.aggregate(F.slice("agree", s, run), F.lit(0), lambda a, x: a + x))
     found = hits.withColumn("best_run", F.array_max(runs)).where(F.col("best_run") * 100 >= F.round(F.lit(similarity * 100)) * run)
