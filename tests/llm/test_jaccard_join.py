@@ -73,6 +73,22 @@ def test_group_of_near_copies(spark):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows)
 
 
+def test_components_of_a_long_chain(spark):
+    r = random.Random(6)
+    keys = r.sample(range(1, 10**15), 1000)
+    links = spark.createDataFrame(list(zip(keys, keys[1:])), "a long, b long")
+    got = {x.c: x.root for x in J.components(links).collect()}
+    assert got == dict.fromkeys(keys, min(keys))
+
+
+def test_chain_of_revisions(spark):
+    # each text shares 9 of 11 shingles with its neighbours, and too few with any other
+    rows = [(i, " ".join(f"t{j}" for j in range(i, i + 14))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.near_duplicates(df).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows)
+
+
 def test_light_boundary_changes_nothing(spark, monkeypatch):
     rows = list(enumerate(corpus(4)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
