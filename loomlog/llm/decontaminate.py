@@ -11,7 +11,7 @@ DataFrame functions are used. The seeds of the test items, and the hits, are bro
 while they are few (``BROADCAST_SEEDS``, counted first), and joined by shuffle beyond.
 
 Defined cases: a null or empty text has no words; items under ``SHORT`` words never
-match, as chance would; items too short for the masks have masks of their own; documents equal in id and text are reported once, repeated items under each id; null ids are
+match, as chance would; shorter items have masks of their own; documents equal in id and text are reported once, repeated items under each id; null ids are
 kept; other columns are ignored; empty tables give no rows.
 """
 
@@ -22,9 +22,18 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
-# Each of the eleven positions is ignored by one of the masks; the short ones serve items under eleven words.
+# The masks of the SQL form (oracle.py), which finds less than SEED_MASKS do.
 MASKS = ("11011001011", "00110111101", "11101100110")
 SHORT_MASKS = ("111", "11011")
+# From so many words of an item on, its masks: whichever words of a run of WINDOW (or of a shorter item) differ, as many as
+# MIN_SIMILARITY allows, one of the masks fits between them. Each begins and ends with a word that counts, so that words which a
+# document's edge cuts off are words that differ.
+SEED_MASKS = {
+    13: ("111011101", "1110100111", "1001110111"),
+    12: ("11101011", "1111011", "11001111"),
+    11: ("1110111", "11101011", "10110111", "11100111"),
+    5: SHORT_MASKS,
+}
 SHORT = 5
 WINDOW = 13
 MIN_SIMILARITY = 0.8
@@ -53,22 +62,24 @@ def seeds(texts: DataFrame, masks: dict[str, int]) -> DataFrame:
     return spots.withColumn("seed", F.explode(F.array(*hashes))).where("seed is not null")
 
 
-def find(documents: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, similarity: float = MIN_SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, masks=SEED_MASKS, window: int = WINDOW, similarity: float = MIN_SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row per document row k (see below) and item found in it.
 
     Columns: k (a hash of doc_id and text), doc_id, item_id, item_words, matched_words on
     the best alignment, best_run (agreeing words in the best run), first_word (where the
     item's first word falls in the document, which may be before its start).
     """
-    span = min(map(len, masks))
     items = benchmark.select("item_id", F.filter(words_of(F.col("text")), lambda w: w != "").alias("words")).where(F.size("words") >= SHORT)
-    total, least = items.agg(F.sum(F.size("words")), F.min(F.size("words"))).head()
-    used = {m: i for i, m in enumerate(masks)}
-    marked = seeds(items.where(F.size("words") >= span), used)
-    if total and least < span:
-        brief = {m: len(masks) + i for i, m in enumerate(SHORT_MASKS)}
-        marked = marked.unionByName(seeds(items.where(F.size("words") < span), brief))
-        used |= brief
+    items = items.withColumn("n", F.size("words"))
+    bounds = sorted(masks, reverse=True)
+    groups = {lo: (F.col("n") >= lo) & (F.col("n") < hi) if hi else F.col("n") >= lo for lo, hi in zip(bounds, [None, *bounds], strict=False)}
+    total, *held = items.agg(F.sum("n"), *[F.count_if(g) for g in groups.values()]).head()
+    # the documents are hashed under the masks of those lengths that items have
+    used, marked = {}, None
+    for lo, own in ((lo, g) for (lo, g), m in zip(groups.items(), held, strict=True) if m or lo == bounds[0]):
+        ids = {m: used.setdefault(m, len(used)) for m in masks[lo]}
+        some = seeds(items.where(own), ids)
+        marked = some if marked is None else marked.unionByName(some)
     probes = marked.select("seed", "item_id", F.col("at").alias("item_at")).distinct()
     if (total or 0) * len(used) <= broadcast_seeds:
         probes = F.broadcast(probes)
