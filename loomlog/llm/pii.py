@@ -8,7 +8,7 @@ features are bits, the corpus is counted into at most one row per combination (a
 bound), and trees are grown from these counts: no rows are sampled.
 
 Four base kinds (email, ip, card, phone) are exact: what passes their checks is always a
-span. The method adds other kinds where no base span lies.
+span. The method adds spans of other kinds, which may overlap base spans and one another.
 
 Only DataFrame functions run over the data. Patterns are possessive or bounded, so that
 each takes linear time on any text. Positions count code points, ends are exclusive.
@@ -216,13 +216,6 @@ def spans(documents: DataFrame) -> DataFrame:
     base = F.col("kind") < len(BASE)
     kept = found.join(F.broadcast(scored), (F.col("kind") == F.col("k")) & (F.col("bits") == F.col("b")), "left")  # a row per combination of bits at most
     kept = kept.where(F.col("kind").isNull() | F.when(base, F.col("valid")).otherwise(F.col("chosen"))).withColumn("base", base)
-    kept = kept.repartition("row")
-    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
-    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    hit = (F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(before), F.lit(0)) > F.col("start")) | (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(behind) < F.col("end"), F.lit(False)))
-    kept = kept.withColumn("hit", hit).where("kind is null or base or not hit")
-    taken = F.coalesce(F.max(F.when(~F.col("base"), F.col("end"))).over(before), F.lit(0)) > F.col("start")
-    kept = kept.withColumn("hit", taken).where("kind is null or base or not hit")
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     return kept.select("row", "doc_id", F.col("kind").alias("k"), name.alias("kind"), "base", "start", "end", "probability")
 
@@ -243,12 +236,25 @@ def report(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """The documents, all columns kept, with each selected span of text replaced by its kind in brackets."""
     tagged = documents.select(F.col("text"), F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text")]).alias("doc_id"))
-    found = spans(tagged).where("k is not null").select("doc_id", "start", "end", "kind").distinct()
-    # overlapping spans are cut together, under the name of the first
-    w = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "kind")
-    reach = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = found.withColumn("from", F.greatest("start", reach)).withColumn("fresh", F.col("start") >= reach).where("end > from")
-    marks = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from", "end", F.when(F.col("fresh"), F.col("kind")).alias("kind")))).alias("_s"))
+    found = spans(tagged).where("k is not null").select("doc_id", "start", "end", "kind", "base").distinct()
+    # between two neighbouring bounds a base span is cut before an added one; what is cut together has the name of the first
+    opens = F.struct(F.col("start").alias("at"), "base", F.lit(1).alias("step"), "end", "kind")
+    closes = F.struct(F.col("end").alias("at"), "base", F.lit(-1).alias("step"), "end", "kind")
+    ends = found.select("doc_id", F.explode(F.array(opens, closes)).alias("x")).select("doc_id", "x.*")
+    sides = []
+    for side, mine in (("base", F.col("base")), ("more", ~F.col("base"))):
+        fresh = mine & (F.col("step") > 0)
+        sides += [F.sum(F.when(mine, F.col("step")).otherwise(0)).alias(f"{side}_step"), F.count_if(fresh).alias(f"{side}_new")]
+        sides += [F.max(F.when(fresh, F.col("end"))).alias(f"{side}_end"), F.min_by("kind", F.when(fresh, F.struct(-F.col("end"), "kind"))).alias(f"{side}_kind")]
+    w = Window.partitionBy("doc_id").orderBy("at")
+    cuts = ends.groupBy("doc_id", "at").agg(*sides)
+    cuts = cuts.select("*", F.sum("base_step").over(w).alias("base_on"), F.sum("more_step").over(w).alias("more_on"), F.max(F.when(F.col("more_kind").isNotNull(), F.struct("more_end", -F.col("at"), "more_kind"))).over(w).alias("open"), F.lead("at").over(w).alias("end"))
+    # a base span goes on at a bound if more are open there than have begun; so does an added one, unless a base span ended there
+    after = F.coalesce(F.lag("base_on").over(w), F.lit(0)) > 0
+    more = F.when(after | (F.col("more_on") == F.col("more_new")), F.col("open.more_kind"))
+    kind = F.when(F.col("base_on") > 0, F.when(F.col("base_on") == F.col("base_new"), F.col("base_kind"))).otherwise(more)
+    found = cuts.select("doc_id", F.col("at").alias("from"), "end", kind.alias("kind"), (F.col("base_on") + F.col("more_on")).alias("open")).where("open > 0")
+    marks = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from", "end", "kind"))).alias("_s"))
     rows = documents.withColumn("_k", F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text")])).join(marks.withColumnRenamed("doc_id", "_d"), F.col("_k") == F.col("_d"), "left")
     last = F.size("_s")
     piece = F.transform("_s", lambda s, i: F.concat(F.substring("text", F.when(i > 0, F.element_at("_s", F.greatest(i, F.lit(1)))["end"]).otherwise(0).cast("int") + 1, s["from"].cast("int") - F.when(i > 0, F.element_at("_s", F.greatest(i, F.lit(1)))["end"]).otherwise(0).cast("int")), F.coalesce(F.concat(F.lit("["), s["kind"], F.lit("]")), F.lit(""))))

@@ -156,6 +156,18 @@ def test_pii(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
+def test_pii_keeps_spans_beside_base_ones(spark, monkeypatch):
+    key = "abcdef0123ab" + "x4111111111111111x".replace("x", "c") + "deadbeef12"
+    texts = [f"say {key} end", f"secret: {key} end", "token=abc1+1 (017) 555-7713 and more", "a@b.c,1.2.3.4", f"{key} {key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "learn", lambda found: [(k, b, 1.0, True) for k in range(len(pii.BASE), len(pii.KINDS)) for b in range(1 << pii.N_FEATURES)])
+    said = {x.doc_id: x.spans.split(",") for x in pii.report(df).collect()}
+    assert said[0] == ["hex:4:44", "card:17:33"]
+    assert said[1] == ["secret:0:48", "hex:8:48", "card:21:37"]
+    masked = {x.doc_id: x.text for x in pii.redact(df).collect()}
+    assert masked == {0: "say [hex][card][hex] end", 1: "[secret][card][secret] end", 2: "token=abc1[phone] and more", 3: "[email],[ip]", 4: "[hex][card][hex] [hex][card][hex]"}
+
+
 def test_fingerprint(spark):
     texts = ["one two three\nfour five six\nseven eight", "four five six\nseven eight\none two three", "", None, "日本 words\n\nmore words here and there " * 5, "x", "x", "alpha beta " * 50]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, "no id"), (6, "")]
