@@ -97,7 +97,7 @@ def _send(documents: DataFrame, part: float, ranges: int, size: int) -> DataFram
     """Each text's least hashes (the given part of them) with its class, packed by hash.
 
     A hash that several classes of a buffer share is sent with two of them; the others are
-    told at once (a row without hashes holds their classes).
+    told at once (with hash 0 and dealt by class).
     """
 
     def send(held):
@@ -108,9 +108,7 @@ def _send(documents: DataFrame, part: float, ranges: int, size: int) -> DataFram
         place = np.arange(len(h)) - np.repeat(first[:-1], counts)
         told = c[place >= 2]
         h, c = h[place < 2], c[place < 2]
-        yield packed.pack(h, ranges, h, c)
-        if len(told):
-            yield packed.one_row(int(told[0] % ranges), np.zeros(0, np.uint64), told)
+        yield packed.pack(np.concatenate([h, K.mix(told.view(np.uint64))]), ranges, np.concatenate([h, np.zeros(len(told), np.uint64)]), np.concatenate([c, told]))
 
     def run(batches):
         held, n = [], 0
@@ -153,15 +151,13 @@ def _join(rows) -> tuple[np.ndarray, ...]:
 
 def shared_counts(sent: DataFrame) -> DataFrame:
     """(c, shared): how many of a class's hashes another class has too; never too few."""
-    n = packed.ranges_of(sent, 1)
+    n = packed.partitions_of(sent)
 
     def judge(rows):
-        told = [c for h, c in rows if not len(h)]
-        whole = [x for x in rows if len(x[0])]
-        if whole:
-            h, c = _distinct(*_join(whole))
-            told.append(c[_frequency(h) > 1])
-        return np.unique(np.concatenate(told), return_counts=True)
+        h, c = _join(rows)
+        told = c[h == 0]
+        h, c = _distinct(h[h != 0], c[h != 0])
+        return np.unique(np.concatenate([told, c[_frequency(h) > 1]]), return_counts=True)
 
     def finish(kept):
         c, counts = _join(kept)
@@ -173,8 +169,8 @@ def shared_counts(sent: DataFrame) -> DataFrame:
         order, bounds = packed.groups(c)
         yield pa.record_batch([pa.array(c[order][bounds[:-1]]), pa.array(np.add.reduceat(counts[order], bounds[:-1]))], names=["c", "shared"])
 
-    told = packed.by_range(sent, [np.uint64, np.int64], judge, packed.schema(2), finish)
-    return packed.by_range(told, [np.int64, np.int64], add, "c long, shared long")
+    told = packed.by_range(sent, [np.uint64, np.int64], judge, packed.schema(2), n, finish)
+    return packed.by_range(told, [np.int64, np.int64], add, "c long, shared long", n)
 
 
 def _check(similarity: float) -> None:
@@ -207,7 +203,7 @@ def reduced_sets(documents: DataFrame, sizes: DataFrame, similarity: float = SIM
         picked = F.broadcast(picked)
     own = rows.join(picked, "k", "left_semi")
 
-    n = packed.ranges_of(documents, 1)
+    n = packed.partitions_of(documents)
 
     def judge(rows):
         h, c = _distinct(*_join(rows))
@@ -226,8 +222,8 @@ def reduced_sets(documents: DataFrame, sizes: DataFrame, similarity: float = SIM
         _, bounds = packed.groups(c)
         yield pa.record_batch([pa.array(c[bounds[:-1]]), K.packed(h, bounds), K.packed(f, bounds)], names=["c", "hs", "fs"])
 
-    told = packed.by_range(_send_all(own, ranges, size), [np.uint64, np.int64], judge, packed.schema(3), finish)
-    lists = packed.by_range(told, [np.uint64, np.int64, np.int32], sets, "c long, hs binary, fs binary")
+    told = packed.by_range(_send_all(own, ranges, size), [np.uint64, np.int64], judge, packed.schema(3), n, finish)
+    lists = packed.by_range(told, [np.uint64, np.int64, np.int32], sets, "c long, hs binary, fs binary", n)
     enough = F.length("hs") >= 8 * F.ceil(F.round(F.col("n") * similarity, 6))
     return lists.join(heads.select("c", "n").distinct(), "c").where(enough).select("c", "n", "hs", "fs")
 

@@ -126,28 +126,36 @@ def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
     return out
 
 
-def anchors(roll: Rolling, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-grams that are least in some window of the given length.
+def anchors(roll: Rolling, offs: np.ndarray, length: int, k: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the k-grams that are least in some window of ``near`` units, and which of them are least in one
+    of ``length`` units, which is near or more.
 
     Which k-gram of a window is least depends on the window's content alone, so
     equal windows share an anchor at the same distance from their start.
     """
     total = int(offs[-1])
-    w = length - k + 1
-    if total < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if total < near:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     full = roll.windows(k)
     x = (full >> np.uint64(32)).astype(np.uint32)
     np.maximum(x, np.uint32(1), out=x)
     left = np.repeat(offs[1:], np.diff(offs)) - np.arange(total)
-    x[left[: len(x)] < k] = np.iinfo(np.uint32).max
-    least = _slide(x, w, np.minimum)
-    least[left[: len(least)] < length] = 0
-    padded = np.zeros(len(x) + w - 1, dtype=np.uint32)
-    padded[w - 1 : w - 1 + len(least)] = least
-    most = _slide(padded, w, np.maximum)
-    at = np.flatnonzero((most == x) & (left[: len(x)] >= k))
-    return at, full[at]
+    fits = left[: len(x)] >= k
+    x[~fits] = np.iinfo(np.uint32).max
+
+    def least_in(window):
+        w = window - k + 1
+        if len(x) < w:
+            return np.zeros(len(x), bool)
+        least = _slide(x, w, np.minimum)
+        least[left[: len(least)] < window] = 0
+        padded = np.zeros(len(x) + w - 1, dtype=np.uint32)
+        padded[w - 1 : w - 1 + len(least)] = least
+        return (_slide(padded, w, np.maximum) == x) & fits
+
+    here = least_in(near)
+    at = np.flatnonzero(here)
+    return at, full[at], (here if near == length else least_in(length))[at]
 
 
 def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -202,3 +210,23 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(delta, starts, 1)
     np.add.at(delta, ends, -1)
     return np.cumsum(delta[:-1]) > 0
+
+
+def range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of x[lo..hi], both ends included, for each pair of bounds."""
+    if not len(lo):
+        return x[:0]
+    bounds = np.empty(2 * len(lo), np.int64)
+    bounds[::2], bounds[1::2] = lo, hi + 1
+    return np.minimum.reduceat(np.append(x, x[-1:]), bounds)[::2]
+
+
+def common_prefixes(group: np.ndarray, rows: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """How many first items each sorted row shares with the row before it; 0 for the first of a group."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differ = rows[1:] != rows[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        same = np.minimum(same, np.minimum(lens[1:], lens[:-1]))
+        out[1:] = np.where(group[1:] == group[:-1], same, 0)
+    return out

@@ -15,9 +15,24 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 
 
+#: Bytes of a table (as Spark estimates them) for each partition that numbers are dealt to.
+PARTITION_BYTES = 128 << 20
+#: So many numbers are held back until they leave a task as one batch.
+HELD = 4 << 20
+
+
+def partitions_of(df: DataFrame) -> int:
+    """Shuffle partitions as set, or more if the files that df reads are too large for so few."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    # a leaf of unknown size says 2**63 - 1
+    known = sum(x for x in sizes if x < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // PARTITION_BYTES)
+
+
 def ranges_of(df: DataFrame, each: int = 4) -> int:
-    """So many ranges for each shuffle partition."""
-    return each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """So many ranges for each partition: a range is what one step of a task holds in memory."""
+    return each * partitions_of(df)
 
 
 def schema(n: int) -> str:
@@ -34,24 +49,23 @@ def pack(route: np.ndarray, ranges: int, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(r[bounds[:-1]].astype(np.int32)), *(K.packed(a[order], bounds) for a in arrays)], names=names)
 
 
-def one_row(r: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    names = ["r", *(f"a{i}" for i in range(len(arrays)))]
-    return pa.record_batch([pa.array([r], pa.int32()), *(K.packed(a, np.array([0, len(a)])) for a in arrays)], names=names)
-
-
-def by_range(df: DataFrame, dtypes: list, judge: Callable[[list[tuple[np.ndarray, ...]]], Iterator[pa.RecordBatch]], out: str, finish: Callable | None = None) -> DataFrame:
-    """judge(rows of one range) for each range. With finish, judge's results are collected for the task and finish(results)
-    makes its batches: what leaves a task is then again one row per range."""
+def by_range(df: DataFrame, dtypes: list, judge: Callable[[list[tuple[np.ndarray, ...]]], Iterator[pa.RecordBatch]], out: str, n: int, finish: Callable | None = None) -> DataFrame:
+    """judge(rows of one range) for each range, dealt to n partitions. With finish, judge's results are held until they are HELD
+    numbers, and finish(results) makes batches of them: what leaves a task is then again a row or a few per range."""
 
     def run(batches):
-        at, rows, kept = None, [], []
+        at, rows, kept, held = None, [], [], 0
 
         def flush():
-            if rows:
-                if finish is None:
-                    yield from judge(rows)
-                else:
-                    kept.append(judge(rows))
+            nonlocal kept, held
+            if rows and finish is None:
+                yield from judge(rows)
+            elif rows:
+                kept.append(judge(rows))
+                held += len(kept[-1][0])
+                if held >= HELD:
+                    yield from finish(kept)
+                    kept, held = [], 0
 
         for batch in batches:
             rs = K.long_column(batch.column("r"))
@@ -65,7 +79,6 @@ def by_range(df: DataFrame, dtypes: list, judge: Callable[[list[tuple[np.ndarray
         if finish is not None and kept:
             yield from finish(kept)
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, "r").sortWithinPartitions("r").mapInArrow(run, out)
 
 

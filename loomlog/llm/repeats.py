@@ -1,22 +1,25 @@
 """Long repeats across a whole corpus, shared by the two exact substring operators.
 
 A window is a run of ``length`` units (words or bytes) of one document. It is
-repeated when its content also starts anywhere else. Shuffling every window of
+repeated when its content also starts anywhere else. Shuffling every suffix of
 100 TB is out of reach, so the work goes in three exact steps:
 
-1. *Prefixes.* Each window has an anchor, its least k-gram, found from its content
-   alone; equal windows therefore share anchor and offset. Only anchors (one in
-   about half a window) are shuffled, packed into arrays by hash range. Anchors that
-   occur once in the corpus end there: no repeated window holds them.
-2. *Groups.* The occurrences of an anchor that recurs are brought together with the
-   text around them, in sorted order, and compared (``group_kernel``). A group has
-   fewer than ``group_limit`` members, so it fits memory.
-3. *Longer prefixes.* Anchors with more occurrences get a longer prefix at once,
-   the whole window: its hash goes through the exchange of step 1, where what several
-   rows of a task share is sent once.
+1. *Prefixes are counted.* Each window has an anchor, its least k-gram, found from its
+   content alone; equal windows therefore share anchor and offset. Only the suffixes at
+   anchors are shuffled, under their first k units, packed into arrays by hash range.
+   Prefixes that occur once in the corpus are leaves: no repeated window holds them.
+2. *Groups.* The suffixes under a prefix that recurs are brought together in sorted
+   order, each with the units before it, and a kernel reads the repeats off them. A group
+   has fewer than ``group_limit`` members, so it fits memory.
+3. *Longer prefixes.* Where a prefix has more suffixes, those at every window around it
+   get their own prefix, as long as a window, and are counted like those of step 1. What
+   shares so long a prefix is repeated, so its group needs no kernel and may have any
+   size; what several rows of a task share is sent once.
 
 Nothing is dropped on the way: every window is judged by step 2 or step 3, and an
-anchor's occurrences all take the same step. Hashes have 64 bits.
+anchor's occurrences all take the same step. Prefixes are named by 64-bit hashes; in step
+2 the units themselves are compared. Rows equal in id and text are told the same once, so
+their cost is in proportion to their number.
 """
 
 from __future__ import annotations
@@ -35,25 +38,31 @@ SCATTERED = packed.schema(3)
 REPLY = "k long, p binary"
 REPLY_ARROW = pa.schema([("k", pa.int64()), ("p", pa.binary())])
 SEND_ROWS = 400_000
+# In place of a position: a prefix that is known to be frequent. Below it, coded positions of such prefixes.
+_FREQUENT = -1
 
 
 def scatter(parts: Iterator[tuple[np.ndarray, ...]], ranges: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Pack (hash, key, position) by hash. What occurs limit times in a buffer is known to be frequent: it is sent once,
-    with key 0 and position -1, and its own positions go out marked (~position) without their hashes."""
+    with key 0 and _FREQUENT as position, and its own positions go out coded, dealt by key."""
 
     def send(held):
         h, k, p = (np.concatenate(x) for x in zip(*held, strict=True))
         order, first = packed.groups(h)
-        h, k, p = h[order], k[order], p[order]
+        h, k, p = h[order], k[order], p[order].astype(np.int64)
         counts = np.diff(first)
         often = np.repeat(counts >= limit, counts)
+        route = h
         if often.any():
-            yield packed.one_row(int(k[often][0] % ranges), np.zeros(0, np.uint64), k[often], ~p[often])
             one = np.zeros(len(h), dtype=bool)
             one[first[:-1]] = True
+            marker = often & one
+            told = (K.mix(k[often].view(np.uint64)), np.zeros(int(often.sum()), np.uint64), k[often], _FREQUENT - 1 - p[often])
             keep = ~often | one
-            h, k, p = h[keep], np.where(often, 0, k)[keep], np.where(often, -1, p)[keep]
-        yield packed.pack(h, ranges, h, k, p.astype(np.int64))
+            k, p = np.where(marker, 0, k)[keep], np.where(marker, _FREQUENT, p)[keep]
+            h = h[keep]
+            route, h, k, p = (np.concatenate(x) for x in zip((h, h, k, p), told, strict=True))
+        yield packed.pack(route, ranges, h, k, p)
 
     held, n = [], 0
     for part in parts:
@@ -67,40 +76,47 @@ def scatter(parts: Iterator[tuple[np.ndarray, ...]], ranges: int, limit: int) ->
         yield from send(held)
 
 
-def recurring(scattered: DataFrame, limit: int) -> DataFrame:
-    """(k, ps): per key the packed positions whose hash occurs again anywhere; ~position if limit times or more.
+def recurring(scattered: DataFrame, limit: int, partitions: int) -> DataFrame:
+    """(k, ps): per key the packed positions whose hash occurs again anywhere, each once; ~position if limit times or more.
 
     The answers go back packed by ranges of keys.
     """
-    n = packed.ranges_of(scattered, 1)
 
     def judge(rows):
-        known = [(k, p) for h, k, p in rows if not len(h)]
-        h, k, p = (np.concatenate(x) for x in zip(*rows, strict=True)) if len(known) < len(rows) else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
-        if known:
-            mine = np.concatenate([np.full(len(x[1]), not len(x[0])) for x in rows])
-            k, p = (k[~mine], p[~mine]) if len(known) < len(rows) else (k, p)
-        order, first = packed.groups(h)
-        h, k, p = h[order], k[order], p[order]
-        if len(h):
-            marker = p == -1
-            total = np.repeat(np.add.reduceat(np.where(marker, limit, 1), first[:-1]), np.diff(first))
-            out = (total > 1) & ~marker
-            known.append((k[out], np.where(total[out] >= limit, ~p[out], p[out])))
-        return tuple(np.concatenate(x) for x in zip(*known, strict=True))
+        h, k, p = (np.concatenate(x) for x in zip(*rows, strict=True))
+        told = p < _FREQUENT
+        known = (k[told], p[told] - _FREQUENT)  # ~position
+        order, first = packed.groups(h[~told])
+        h, k, p = h[~told][order], k[~told][order], p[~told][order]
+        if not len(h):
+            return known
+        marker = p == _FREQUENT
+        total = np.repeat(np.add.reduceat(np.where(marker, limit, 1), first[:-1]), np.diff(first))
+        out = (total > 1) & ~marker
+        return np.concatenate([known[0], k[out]]), np.concatenate([known[1], np.where(total[out] >= limit, ~p[out], p[out])])
 
     def finish(kept):
         k, p = (np.concatenate(x) for x in zip(*kept, strict=True))
         if len(k):
-            yield packed.pack(k, n, k, p)
+            yield packed.pack(k, partitions, k, p)
 
     def regroup(rows):
         k, p = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order, bounds = packed.groups(k)
-        yield pa.record_batch([pa.array(k[order][bounds[:-1]]), K.packed(p[order], bounds)], schema=REPLY_ARROW)
+        k, p = _each_once(k, p)
+        _, bounds = packed.groups(k)
+        yield pa.record_batch([pa.array(k[bounds[:-1]]), K.packed(p, bounds)], schema=REPLY_ARROW)
+
+    told = packed.by_range(scattered, [np.uint64, np.int64, np.int64], judge, packed.schema(2), partitions, finish)
+    return packed.by_range(told, [np.int64, np.int64], regroup, REPLY, partitions).select("k", F.array("p").alias("ps"))
+
 
-    told = packed.by_range(scattered, [np.uint64, np.int64, np.int64], judge, packed.schema(2), finish)
-    return packed.by_range(told, [np.int64, np.int64], regroup, REPLY).select("k", F.array("p").alias("ps"))
+def _each_once(k: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of several columns in order, each once."""
+    order = np.lexsort((*reversed(more), k))
+    out = [x[order] for x in (k, *more)]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in out], axis=0)
+    return tuple(x[new] for x in out)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -134,12 +150,14 @@ def _spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, back: bool) -> pa
 
 def _hits(batches, units: Callable, frequent: bool):
     """Of rows (doc_id, text, k, ps), a few megabytes at a time: row keys, symbols, rolling hash, row offsets, and row and
-    position of the anchors of one kind, in order."""
+    position of those anchors of one kind that windows of the full length have, in order. Positions are coded as by repeat_intervals."""
     for batch in batches:
         keys = K.long_column(batch.column("k"))
         pos, row = positions_of(batch.column("ps"))
         own = (pos < 0) == frequent
-        pos, row = np.where(pos < 0, ~pos, pos)[own], row[own]
+        pos = np.where(pos < 0, ~pos, pos)
+        own &= (pos & 1).astype(bool)
+        pos, row = pos[own] >> 1, row[own]
         order = np.lexsort((pos, row))
         pos, row = pos[order], row[order]
         for at, buf, offs in K.chunks(batch.column("text")):
@@ -150,14 +168,20 @@ def _hits(batches, units: Callable, frequent: bool):
                 yield keys[at : at + len(offs) - 1], symbols, K.Rolling(codes), uoffs, d, uoffs[d] + pos[lo:hi]
 
 
+#: Anchors whose surroundings leave a task as one batch.
+CONTEXT_ROWS = 10_000
+
+
 def context_rows(units: Callable, length: int, k: int) -> Callable:
     """Step 2: each anchor with the text before and after it that a window may hold."""
 
     def run(batches):
         for keys, symbols, roll, uoffs, d, w in _hits(batches, units, False):
-            begin, end = uoffs[d], uoffs[d + 1]
-            left, right = np.maximum(begin, w - (length - k)), np.minimum(end, w + length)
-            yield pa.record_batch([pa.array(roll.slices(w, w + k).view(np.int64)), _spans(symbols, left, w, True), _spans(symbols, w, right, False), pa.array(keys[d]), pa.array(w - begin)], schema=CONTEXT_ARROW)
+            for at in range(0, len(d), CONTEXT_ROWS):
+                di, wi = d[at : at + CONTEXT_ROWS], w[at : at + CONTEXT_ROWS]
+                begin, end = uoffs[di], uoffs[di + 1]
+                left, right = np.maximum(begin, wi - (length - k)), np.minimum(end, wi + length)
+                yield pa.record_batch([pa.array(roll.slices(wi, wi + k).view(np.int64)), _spans(symbols, left, wi, True), _spans(symbols, wi, right, False), pa.array(keys[di]), pa.array(wi - begin)], schema=CONTEXT_ARROW)
 
     return run
 
@@ -202,16 +226,11 @@ def group_rows(kernel: Callable, dtype, length: int, k: int, batch_rows: int = 4
 
         left, llen = matrix(1, a_max)
         right, rlen = matrix(2, b_max)
-        marks = kernel(a, left, llen, right, rlen, length)
-        row, lo, hi = _runs(marks)
+        row, lo, hi = _runs(kernel(a, left, llen, right, rlen, length, k))
         if len(row):
-            spans = np.empty((len(row), 2), np.int64)
-            spans[:, 0] = p[row] - hi
-            spans[:, 1] = p[row] - lo + length
-            order = np.argsort(keys[row], kind="stable")
-            ks, spans = keys[row][order], spans[order]
-            bounds = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1], [True]]))
-            yield pa.record_batch([pa.array(ks[bounds[:-1]]), K.packed(spans.ravel(), bounds * 2)], schema=REPLY_ARROW)
+            ks, begin, end = _each_once(keys[row], p[row] - hi, p[row] - lo + length)
+            _, bounds = packed.groups(ks)
+            yield pa.record_batch([pa.array(ks[bounds[:-1]]), K.packed(np.column_stack([begin, end]).ravel(), bounds * 2)], schema=REPLY_ARROW)
 
     def run(batches):
         held, n = [], 0
@@ -249,9 +268,13 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, lo, hi - 1
 
 
-def repeat_intervals(docs: DataFrame, units: Callable, dtype, kernel: Callable, length: int, k: int, group_limit: int) -> DataFrame:
-    """keyed() rows -> (k, ps): packed (start, end) intervals, in units, that repeated windows cover."""
-    ranges = packed.ranges_of(docs)
+def shared_prefixes(docs: DataFrame, units: Callable, length: int, k: int, group_limit: int, near: int | None = None) -> DataFrame:
+    """Step 1. keyed() rows -> (k, ps): the anchors of each key whose k-gram occurs again anywhere.
+
+    Anchors are the least k-grams of windows of near units (length unless given); those of windows of the full length are
+    among them. A position p is coded 2 * p, plus 1 for these; frequent ones are inverted.
+    """
+    ranges, near = packed.ranges_of(docs), near or length
 
     def find(batches):
         def parts():
@@ -259,15 +282,19 @@ def repeat_intervals(docs: DataFrame, units: Callable, dtype, kernel: Callable,
                 keys = K.long_column(batch.column("k"))
                 for at, buf, offs in K.chunks(batch.column("text")):
                     _, codes, uoffs = units(buf, offs)
-                    p, h = K.anchors(K.Rolling(codes), uoffs, length, k)
+                    p, h, whole = K.anchors(K.Rolling(codes), uoffs, length, k, near)
                     doc = np.searchsorted(uoffs, p, side="right") - 1
-                    yield h, keys[doc + at], p - uoffs[doc]
+                    yield h, keys[doc + at], 2 * (p - uoffs[doc]) + whole
 
         yield from scatter(parts(), ranges, group_limit)
 
-    hits = recurring(docs.select("text", "k").mapInArrow(find, SCATTERED), group_limit)
-    found = docs.join(hits.hint("shuffle_hash"), "k").select("doc_id", "text", "k", "ps")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return recurring(docs.select("text", "k").mapInArrow(find, SCATTERED), group_limit, packed.partitions_of(docs))
+
+
+def repeat_intervals(docs: DataFrame, hits: DataFrame, units: Callable, dtype, kernel: Callable, length: int, k: int) -> DataFrame:
+    """keyed() rows and their shared_prefixes -> (k, ps): packed (start, end) intervals, in units, that repeated windows cover."""
+    ranges, n = packed.ranges_of(docs), packed.partitions_of(docs)
+    found = docs.join(hits, "k").select("doc_id", "text", "k", "ps")
     groups = found.mapInArrow(context_rows(units, length, k), CONTEXT).repartition(n, "a").sortWithinPartitions("a", "r").mapInArrow(group_rows(kernel, dtype, length, k), REPLY)
 
     def spans(batches):
@@ -280,6 +307,6 @@ def repeat_intervals(docs: DataFrame, units: Callable, dtype, kernel: Callable,
             bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
             yield pa.record_batch([pa.array(keys[bounds[:-1]]), K.packed(out.ravel(), bounds * 2)], schema=REPLY_ARROW)
 
-    windows = recurring(found.mapInArrow(window_rows(units, length, k, ranges), SCATTERED), 2)
+    windows = recurring(found.mapInArrow(window_rows(units, length, k, ranges), SCATTERED), 2, n)
     frequent = windows.mapInArrow(spans, REPLY)
     return groups.unionByName(frequent).groupBy("k").agg(F.collect_list("p").alias("ps"))

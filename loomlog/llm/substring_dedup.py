@@ -1,11 +1,13 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-The corpus is one sequence of words per document. Its suffixes are split by prefixes
-of variable length into groups that fit memory (``repeats``: first a content-chosen
-k-gram, and the whole window where that is too frequent), and each group's subtree is
-examined by itself: its leaves are the group's suffixes, and an internal node at least
-``length`` words deep is a repeat of that length. Leaves under such a node are marked,
-and marked leaves that follow one another join to maximal repeats.
+The corpus is one sequence of words per document. Its suffixes are split by prefixes of
+variable length into groups that fit memory (``repeats``): those at content-chosen words
+under their first ``GRAM`` words, and those around a prefix that is too frequent under a
+whole window. Each group's suffix tree is built by itself (``internal_nodes``): its leaves
+are the group's sorted suffixes, its internal nodes the runs of suffixes with a common
+prefix. A node whose depth, together with the words that its leaves share before their
+prefix, reaches ``length`` is a repeat of that length; leaves under such nodes are marked,
+and marked windows that follow one another join to maximal repeats.
 
 Defined cases: a null or empty text has no words and loses none; rows equal in id and
 text are separate documents that repeat each other; a null id is kept; other columns
@@ -34,30 +36,62 @@ def word_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (h >> np.uint64(32)).astype(np.uint32), h, bounds
 
 
-def subtree_leaves(a, left, llen, right, rlen, need: int) -> np.ndarray:
-    """Marks (context, words before the anchor) of the leaves under a node of depth need or more.
+def internal_nodes(lcp: np.ndarray, least: int) -> np.ndarray:
+    """The internal nodes at least so deep of the trees over sorted suffixes: first leaf, last leaf, depth, depth of the parent.
 
-    A leaf is the suffix that starts so many words before its anchor; its node at depth
-    need is named by a hash of the anchor group, the distance and the path's words.
+    lcp[i] is the common prefix of leaves i - 1 and i. Nodes whose parent is less deep than least have least - 1 there.
+    """
+    out, open_nodes = [], []
+    for i, depth in enumerate([*lcp[1:].tolist(), 0], 1):
+        first = i - 1
+        while open_nodes and open_nodes[-1][0] > depth:
+            d, first = open_nodes.pop()
+            above = max(depth, open_nodes[-1][0] if open_nodes else 0, least - 1)
+            out.append((first, i - 1, d, above))
+        if depth >= least and (not open_nodes or open_nodes[-1][0] < depth):
+            open_nodes.append((depth, first))
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
+def tree_leaves(a, left, llen, right, rlen, need: int, gram: int) -> np.ndarray:
+    """Marks (suffix, words before it) of the windows that lie under a node of depth need, in the trees of sorted suffixes.
+
+    A node of depth d stands for all prefixes down to its parent's depth. Its leaves are taken in the order of the words before
+    them: two neighbours that share need - d such words, or more, are under a node of depth need if the suffixes are begun
+    that much earlier.
     """
     n, most = left.shape
-    line = np.concatenate([left[:, ::-1], right], axis=1).astype(np.uint64) + np.uint64(1)
-    up, down = K._power(line.shape[1])
-    sums = np.zeros((n, line.shape[1] + 1), np.uint64)
-    np.cumsum(K.mix(line) * up[: line.shape[1]], axis=1, out=sums[:, 1:])
-    back = np.arange(most + 1)
-    at = most - back
-    path = (sums[:, at + need] - sums[:, at]) * down[at]
-    whole = (llen[:, None] >= back) & (rlen[:, None] >= need - back)
-    node = K.mix(path + a.view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + back.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    out = np.zeros((n, most + 1), dtype=bool)
-    out[whole] = K.repeated_values(node[whole])
-    return out
+    nodes = internal_nodes(K.common_prefixes(a, right, rlen), gram)
+    marks = np.zeros((n, most + 2), np.int32)
+    if not len(nodes):
+        return marks[:, :-1] > 0
+    before = np.lexsort((*left.T[::-1], a))
+    shared = K.common_prefixes(a[before], left[before], llen[before])
+    place = np.empty(n, np.int64)
+    place[before] = np.arange(n)
+    first, last, depth, above = nodes.T
+    sizes = last - first + 1
+    node = np.repeat(np.arange(len(nodes)), sizes)
+    leaf = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[node]
+    order = np.argsort(node * n + place[leaf])
+    node, leaf = node[order], leaf[order]
+    kin = np.flatnonzero(node[1:] == node[:-1])
+    most_shared = np.full(len(leaf), -1)
+    with_next = K.range_min(shared, place[leaf[kin]] + 1, place[leaf[kin + 1]])
+    most_shared[kin] = with_next
+    most_shared[kin + 1] = np.maximum(most_shared[kin + 1], with_next)
+    begin, end = np.maximum(need - depth[node], 0), np.minimum(need - above[node] - 1, most_shared)
+    ok = begin <= end
+    np.add.at(marks, (leaf[ok], begin[ok]), 1)
+    np.add.at(marks, (leaf[ok], end[ok] + 1), -1)
+    return np.cumsum(marks, axis=1)[:, :-1] > 0
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """``keyed`` documents -> (k, ps): packed (first word, end word) of the repeats, which may overlap."""
-    return repeats.repeat_intervals(docs, word_units, np.uint32, subtree_leaves, length, min(GRAM, length), group_limit)
+    gram = min(GRAM, length)
+    hits = repeats.shared_prefixes(docs, word_units, length, gram, group_limit)
+    return repeats.repeat_intervals(docs, hits, word_units, np.uint32, tree_leaves, length, gram)
 
 
 CLEAN = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
@@ -99,5 +133,4 @@ def _cut(with_text: bool):
 def remove_repeats(documents: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, with_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the words left, joined by one space) and its sha256."""
     docs = repeats.keyed(documents)
-    spans = repeated_spans(docs, length, group_limit)
-    return docs.join(spans.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "k", "ps").mapInArrow(_cut(with_text), CLEAN)
+    return docs.join(repeated_spans(docs, length, group_limit), "k", "left").select("doc_id", "text", "k", "ps").mapInArrow(_cut(with_text), CLEAN)

@@ -2,17 +2,23 @@
 
 Texts are UTF-8 bytes. As in induced sorting, only a content-chosen subset of suffixes
 (the anchors of ``repeats``) is sorted outright: Spark's external sort, which spills to
-disk, is the queue that delivers their tuples (anchor, bytes from it, bytes before it)
-in order. Neighbours' common-prefix values then follow in one pass, and all other
-suffixes are induced from the sorted ones: the suffix that starts l bytes earlier keeps
-its anchor's order inside the class of equal l preceding bytes, and its common prefix
-is the anchors' plus l. A step refines the classes of the step before by one byte and
-lowers by one the anchor prefix needed, so a shard of any size is read as a stream of
-groups; groups above the limit go on with a longer prefix (see ``repeats``).
+disk, is the queue that delivers their tuples (first GRAM bytes, bytes from there, bytes
+before) in order. Neighbours' common-prefix values follow in one pass. All other suffixes
+are induced from these (``induce``): those that begin one byte earlier come in the order
+of that byte and, among equal bytes, of the suffixes they were induced from; the common
+prefix of two new neighbours is one more than the least between the two they came from.
+Tuples whose common prefix has ended leave; the rest are carried on, byte by byte, as far
+back as a window can begin. A task reads its shard as a stream and holds ``batch_rows``
+tuples, or those of one group, at a time, so a shard may be of any size; groups above the
+limit go on under prefixes as long as a window (see ``repeats``).
+
+A passage shorter than ``length`` isn't removed, but told: ``n_shared`` counts the anchors
+of windows of ``NEAR`` bytes whose GRAM bytes occur again anywhere. Whatever repeats over
+NEAR bytes or more holds one.
 
 Defined cases: a null or empty text has no bytes; matches end at a document's edges;
 rows equal in id and text are separate documents; a null id is kept; other columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from . import kernels as K
 from . import repeats
 
 LENGTH = 400
-GRAM = 64
+NEAR = 300
+GRAM = 224
 GROUP_LIMIT = 400
 
 
@@ -35,45 +42,42 @@ def byte_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return buf, K.byte_codes(buf), offs
 
 
-def induce(a, left, llen, right, rlen, need: int) -> np.ndarray:
-    """Marks (context, bytes before the anchor) of suffixes that share need bytes with another.
+def induce(a, left, llen, right, rlen, need: int, gram: int) -> np.ndarray:
+    """Marks (suffix, bytes before it) of the suffixes that share need bytes with another, from suffixes sorted by (a, right).
 
-    Contexts come sorted by (a, right). lcp[i] is the common prefix of i - 1 and i, 0
-    across anchors; runs of lcp >= need - l are the suffixes whose part from the anchor on
-    agrees, and equal ``before`` those whose l bytes before it agree.
+    A queue of tuples (suffix, group, common prefix with the tuple before) is carried back byte by byte, always in the
+    order of the suffixes that begin there.
     """
     n, most = left.shape
     out = np.zeros((n, most + 1), dtype=bool)
-    if n < 2:
-        return out
-    differ = right[1:] != right[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), right.shape[1])
-    lcp = np.minimum(lcp, np.minimum(rlen[1:], rlen[:-1]))
-    lcp[a[1:] != a[:-1]] = 0
-    group = np.concatenate([[0], np.cumsum(a[1:] != a[:-1])]).astype(np.uint64)
-    before = np.zeros(n, np.uint64)
-    live = np.arange(n)
+    suffix = np.arange(n)
+    group = np.cumsum(np.append(0, a[1:] != a[:-1])[:n])
+    lcp = K.common_prefixes(a, right, rlen)
     for back in range(most + 1):
         if back:
-            live = live[llen[live] >= back]
-            before[live] = K.mix(before[live] + K._TABLE[left[live, back - 1]] + np.uint64(back))
-            if back & (back - 1) == 0:
-                live = live[K.repeated_values(K.mix(before[live] + group[live] * np.uint64(0x9E3779B97F4A7C15)))]
-        if len(live) < 2:
+            held = np.flatnonzero(llen[suffix] >= back)
+            order = np.argsort(group[held] * 256 + left[suffix[held], back - 1], kind="stable")
+            came = held[order]
+            byte = left[suffix[came], back - 1]
+            kin = np.flatnonzero((group[came[1:]] == group[came[:-1]]) & (byte[1:] == byte[:-1]))
+            now = np.zeros(len(came), np.int64)
+            now[kin + 1] = 1 + K.range_min(lcp, came[kin] + 1, came[kin + 1])
+            suffix, group, lcp = suffix[came], group[came], now
+        longest = np.maximum(lcp, np.append(lcp[1:], 0)[: len(lcp)])
+        out[suffix[longest >= need], back] = True
+        # whoever differs from both neighbours before the anchor's end does so from now on
+        stay = np.flatnonzero(longest >= back + gram)
+        if len(stay) < 2:
             break
-        run = np.concatenate([[0], np.cumsum(lcp < need - back)]).astype(np.uint64)
-        now = live[rlen[live] >= need - back]
-        out[now, back] = K.repeated_values(K.mix(before[now] + run[now] * np.uint64(0xD1B54A32D192ED03)))
+        if len(stay) < len(suffix):
+            now = np.zeros(len(stay), np.int64)
+            now[1:] = K.range_min(lcp, stay[:-1] + 1, stay[1:])
+            suffix, group, lcp = suffix[stay], group[stay], now
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``keyed`` documents -> (k, ps): packed (first byte, end byte) of the repeats, which may overlap."""
-    return repeats.repeat_intervals(docs, byte_units, np.uint8, induce, length, min(GRAM, length), group_limit)
-
-
-CLEAN = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-_CLEAN_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+CLEAN = "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary, kept_sha256 string"
+_CLEAN_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_shared", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
 
 def _cut(with_text: bool):
@@ -84,6 +88,7 @@ def _cut(with_text: bool):
             spans, row = pos.reshape(-1, 2), row[::2]
             order = np.argsort(row, kind="stable")
             spans, row = spans[order], row[order]
+            shared = np.bincount(repeats.positions_of(batch.column("hs"))[1], minlength=batch.num_rows)
             for at, buf, offs in K.chunks(batch.column("text")):
                 n = len(offs) - 1
                 lo, hi = np.searchsorted(row, [at, at + n])
@@ -97,13 +102,16 @@ def _cut(with_text: bool):
                 left = np.concatenate([[0], np.cumsum(~gone)])[offs]
                 raw = buf[~gone].tobytes()
                 texts = [raw[left[i] : left[i + 1]] for i in range(n)]
-                yield pa.record_batch([ids.slice(at, n), pa.array(np.diff(offs)), pa.array(np.diff(offs) - np.diff(left)), pa.array(np.diff(runs)), pa.array(texts if with_text else [None] * n, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], schema=_CLEAN_ARROW)
+                yield pa.record_batch([ids.slice(at, n), pa.array(np.diff(offs)), pa.array(np.diff(offs) - np.diff(left)), pa.array(np.diff(runs)), pa.array(shared[at : at + n]), pa.array(texts if with_text else [None] * n, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], schema=_CLEAN_ARROW)
 
     return run
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, with_text: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept bytes and their sha256."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, n_shared, kept bytes and their sha256."""
     docs = repeats.keyed(documents)
-    spans = repeated_spans(docs, length, group_limit)
-    return docs.join(spans.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "k", "ps").mapInArrow(_cut(with_text), CLEAN)
+    gram, near = (GRAM, NEAR) if length >= NEAR else (min(64, length), length)
+    hits = repeats.shared_prefixes(docs, byte_units, length, gram, group_limit, near)
+    spans = repeats.repeat_intervals(docs, hits, byte_units, np.uint8, induce, length, gram)
+    rows = docs.join(spans, "k", "left").join(hits.withColumnRenamed("ps", "hs"), "k", "left")
+    return rows.select("doc_id", "text", "k", "ps", "hs").mapInArrow(_cut(with_text), CLEAN)

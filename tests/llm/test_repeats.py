@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -72,6 +73,40 @@ def test_bytes_against_brute_force(spark, seed, length, limit):
     assert sorted([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got], key=str) == brute_bytes(rows, length)
 
 
+def test_full_length_and_shorter_passages(spark):
+    r = random.Random(9)
+    line = lambda n: "".join(r.choice("abcdefgh ij") for _ in range(n))
+    long, short, copy = line(900), line(320), line(3000)
+    rows = [(i, line(r.randint(0, 2500)) + (long[r.randint(0, 300) :] if i % 3 == 0 else "") + (short if i % 4 == 1 else "") + line(r.randint(0, 900))) for i in range(30)]
+    rows += [(40, copy), (41, copy), (42, copy[:1500] + "X" + copy[1500:]), (43, line(100_000)), (44, "y" * 5000), (45, line(399)), (46, short[:223])]
+    for limit in (400, 3):
+        got = suffix_array_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_limit=limit).collect()
+        assert sorted([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got], key=str) == brute_bytes(rows, 400)
+        told = {x.doc_id: x.n_shared for x in got}
+        assert all(told[i] > 0 for i in range(30) if i % 4 == 1 or i % 3 == 0)
+        assert told[43] == told[45] == told[46] == 0 and sum(told[i] > 0 for i in range(30) if i % 4 != 1 and i % 3) == 0
+
+
+@pytest.mark.parametrize("n", [70, 1500])
+def test_rows_equal_in_all_cost_in_proportion(spark, n):
+    text = texts(4)[1] + " ".join(f"w{i}" for i in range(400))
+    rows = [(None, text)] * n + [(1, "other words"), (None, "x " * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = substring_dedup.remove_repeats(df).collect()
+    assert len(got) == n + 2 and sum(x.n_removed == x.n_words for x in got) == n + 1
+    got = suffix_array_dedup.remove_repeats(df).collect()
+    assert len(got) == n + 2 and sum(x.n_removed == x.n_bytes for x in got) == n + 1
+    assert time.time() - began < 60
+
+
+def test_internal_nodes():
+    # leaves: aab aab aac b -> (aab), (aa), and nothing above depth 1
+    nodes = substring_dedup.internal_nodes(np.array([0, 3, 2, 0]), 1)
+    assert nodes.tolist() == [[0, 1, 3, 2], [0, 2, 2, 0]]
+    assert substring_dedup.internal_nodes(np.array([0, 3, 2, 0]), 3).tolist() == [[0, 1, 3, 2]]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.remove_repeats(df).count() == 0
