@@ -10,9 +10,11 @@ Words are compared after lower-casing; they are what stands between blanks. Only
 DataFrame functions are used. The seeds of the test items, and the hits, are broadcast
 while they are few (``BROADCAST_SEEDS``, counted first), and joined by shuffle beyond.
 
-Defined cases: a null or empty text has no words; items under ``SHORT`` words never
-match, as chance would; shorter items have masks of their own; documents equal in id and text are reported once, repeated items under each id; null ids are
-kept; other columns are ignored; empty tables give no rows.
+Defined cases: a null or empty text has no words; items under five words must agree in all
+of them (``least_words`` leaves items out that chance would match); documents equal in id
+and text are reported once, repeated items under each id; null ids of either table are
+kept; other columns are ignored by ``find`` and kept by ``drop_contaminated``, whatever
+their names; empty tables give no rows. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,11 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, unused
 
-# The masks of the SQL form (oracle.py), which finds less than SEED_MASKS do.
-MASKS = ("11011001011", "00110111101", "11101100110")
-SHORT_MASKS = ("111", "11011")
 # From so many words of an item on, its masks: whichever words of a run of WINDOW (or of a shorter item) differ, as many as
 # MIN_SIMILARITY allows, one of the masks fits between them. Each begins and ends with a word that counts, so that words which a
 # document's edge cuts off are words that differ.
@@ -32,9 +31,12 @@ SEED_MASKS = {
     13: ("111011101", "1110100111", "1001110111"),
     12: ("11101011", "1111011", "11001111"),
     11: ("1110111", "11101011", "10110111", "11100111"),
-    5: SHORT_MASKS,
+    5: ("111", "11011"),
+    4: ("1111",),
+    3: ("111",),
+    2: ("11",),
+    1: ("1",),
 }
-SHORT = 5
 WINDOW = 13
 MIN_SIMILARITY = 0.8
 BROADCAST_SEEDS = 1_000_000
@@ -62,14 +64,14 @@ def seeds(texts: DataFrame, masks: dict[str, int]) -> DataFrame:
     return spots.withColumn("seed", F.explode(F.array(*hashes))).where("seed is not null")
 
 
-def find(documents: DataFrame, benchmark: DataFrame, masks=SEED_MASKS, window: int = WINDOW, similarity: float = MIN_SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, masks=SEED_MASKS, window: int = WINDOW, similarity: float = MIN_SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS, least_words: int = 1) -> DataFrame:
     """One row per document row k (see below) and item found in it.
 
     Columns: k (a hash of doc_id and text), doc_id, item_id, item_words, matched_words on
     the best alignment, best_run (agreeing words in the best run), first_word (where the
     item's first word falls in the document, which may be before its start).
     """
-    items = benchmark.select("item_id", F.filter(words_of(F.col("text")), lambda w: w != "").alias("words")).where(F.size("words") >= SHORT)
+    items = benchmark.select("item_id", F.xxhash64(F.col("item_id").cast("string"), F.col("text")).alias("item_key"), F.filter(words_of(F.col("text")), lambda w: w != "").alias("words")).where(F.size("words") >= least_words)
     items = items.withColumn("n", F.size("words"))
     bounds = sorted(masks, reverse=True)
     groups = {lo: (F.col("n") >= lo) & (F.col("n") < hi) if hi else F.col("n") >= lo for lo, hi in zip(bounds, [None, *bounds], strict=False)}
@@ -80,18 +82,18 @@ def find(documents: DataFrame, benchmark: DataFrame, masks=SEED_MASKS, window: i
         ids = {m: used.setdefault(m, len(used)) for m in masks[lo]}
         some = seeds(items.where(own), ids)
         marked = some if marked is None else marked.unionByName(some)
-    probes = marked.select("seed", "item_id", F.col("at").alias("item_at")).distinct()
+    probes = marked.select("seed", "item_key", F.col("at").alias("item_at")).distinct()
     if (total or 0) * len(used) <= broadcast_seeds:
         probes = F.broadcast(probes)
     docs = documents.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("k"), words_of(F.col("text")).alias("words"))
     # the words stay behind: with them, each position would carry a copy of its whole text
     spots = seeds(docs.select("k", "words"), used).select("k", "at", "seed")
     start = (F.col("at") - F.col("item_at")).cast("int")
-    hits = cut(spots.join(probes, "seed").select("k", "item_id", start.alias("first_word")).distinct())
+    hits = cut(spots.join(probes, "seed").select("k", "item_key", start.alias("first_word")).distinct())
     if hits.count() <= broadcast_seeds:
         hits = F.broadcast(hits)
     skip = F.least(F.col("first_word"), F.lit(0))
-    laid = docs.join(hits, "k").join(items.select("item_id", F.col("words").alias("item")).distinct(), "item_id")
+    laid = docs.join(hits, "k").join(items.select("item_key", "item_id", F.col("words").alias("item")).distinct(), "item_key")
     laid = laid.select("k", "doc_id", "item_id", "item", "first_word", F.slice("words", F.greatest("first_word", F.lit(0)) + 1, F.size("item") + skip).alias("there"))
     agree = F.transform("item", lambda w, j: F.when((j + skip >= 0) & (F.try_element_at("there", F.greatest(j + skip + 1, F.lit(1)).cast("int")) == w), 1).otherwise(0))
     hits = laid.withColumn("agree", agree)
@@ -106,6 +108,7 @@ def find(documents: DataFrame, benchmark: DataFrame, masks=SEED_MASKS, window: i
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents in which no item is found, all columns kept."""
-    bad = find(documents, benchmark, **how).select(F.col("k").alias("_bad")).distinct()
-    rows = documents.withColumn("_k", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
-    return rows.join(bad, F.col("_k") == F.col("_bad"), "left_anti").drop("_k")
+    key = unused(documents, "key")
+    bad = find(documents, benchmark, **how).select(F.col("k").alias(key)).distinct()
+    rows = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    return rows.join(bad, key, "left_anti").select(*documents.columns)

@@ -1,7 +1,7 @@
 """SQL of the numbered queries that SQL can state, each over its whole table."""
 
 from .chat_format import END, MIDDLE, START
-from .decontaminate import MASKS, SHORT, WINDOW
+from .decontaminate import WINDOW
 from .jaccard_join import SHINGLE
 from .substring_dedup import LENGTH
 
@@ -23,19 +23,13 @@ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT)
 CAST(sum({_FIXED} + length(replace({_MARKED.format("role")}, ':', '\:')) + length({_MARKED.format("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
 
-def _seed(words: str, at: str) -> str:
-    """The list of an item's or a document's seeds at a 0-based position: one per mask, as text."""
-    picked = ["concat_ws(' ', " + ", ".join([f"'{i}'", *(f"{words}[{at} + {j + 1}]" for j, bit in enumerate(m) if bit == "1")]) + ")" for i, m in enumerate(MASKS)]
-    return "[" + ", ".join(picked) + "]"
-
-
-_SPAN = len(MASKS[0])
+# No masks: every placement of an item on a document that has enough equal words in place.
 LEAKS = rf"""WITH i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS item FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
-si AS (SELECT item_id, item, p, unnest({_seed("item", "p")}) AS seed FROM i, unnest(range(0, len(item) - {_SPAN - 1})) AS r(p) WHERE len(item) >= {max(SHORT, _SPAN)}),
-sd AS (SELECT doc_id, p AS at_p, unnest({_seed("w", "p")}) AS seed FROM d, unnest(range(0, len(w) - {_SPAN - 1})) AS r(p)),
-hits AS (SELECT DISTINCT doc_id, item_id, item, at_p - p AS first_word FROM sd JOIN si USING (seed)),
-f AS (SELECT doc_id, item_id, item, first_word, list_transform(range(1, len(item) + 1), lambda j: CASE WHEN first_word + j >= 1 AND w[first_word + j] = item[j] THEN 1 ELSE 0 END) AS agree FROM hits JOIN d USING (doc_id)),
+iw AS (SELECT item_id, len(item) AS n, item[j] AS word, j FROM i, unnest(range(1, len(item) + 1)) AS r(j)),
+dw AS (SELECT doc_id, w[p] AS word, p FROM d, unnest(range(1, len(w) + 1)) AS r(p)),
+hits AS (SELECT doc_id, item_id, p - j AS first_word FROM dw JOIN iw USING (word) GROUP BY doc_id, item_id, n, p - j HAVING count(*) * 100 >= 80 * least({WINDOW}, n)),
+f AS (SELECT doc_id, item_id, item, first_word, list_transform(range(1, len(item) + 1), lambda j: CASE WHEN first_word + j >= 1 AND w[first_word + j] = item[j] THEN 1 ELSE 0 END) AS agree FROM hits JOIN d USING (doc_id) JOIN i USING (item_id)),
 g AS (SELECT *, list_max(list_transform(range(1, len(item) - least({WINDOW}, len(item)) + 2), lambda s: list_sum(agree[s:s + least({WINDOW}, len(item)) - 1]))) AS best, list_sum(agree) AS n FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, best DESC, first_word) AS r FROM g WHERE best * 100 >= 80 * least({WINDOW}, len(item)))
 SELECT doc_id, item_id, CAST(len(item) AS BIGINT) AS item_words, CAST(n AS BIGINT) AS matched_words, CAST(best AS BIGINT) AS best_run, CAST(first_word AS BIGINT) AS first_word FROM k WHERE r = 1"""
