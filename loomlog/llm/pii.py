@@ -1,11 +1,13 @@
 """PII by candidate gradient boosting.
 
 High-recall patterns propose spans, which may overlap. Each candidate has yes-or-no
-features of its format and context; boosted trees of depth two learn, from all
-candidates of the corpus, how likely the checks of a span's kind hold, and a threshold per
-kind, calibrated to ``PRECISION`` on the same table, selects the spans to redact. As all
-features are bits, the corpus is counted into at most one row per combination (a fixed
-bound), and trees are grown from these counts: no rows are sampled.
+features of its format and of the words around it. Boosted trees of depth two learn from
+planted spans (``examples``): values of each format, written after words that go with
+personal data, with other data, or with neither, of which it is known what they stand
+for. Trees are grown on one half of them; on the other half a threshold per kind is
+calibrated, the lowest at which ``PRECISION`` of the selected spans are personal. The
+trees become one column expression, so whether a span is selected depends on its own
+document alone.
 
 Four base kinds (email, ip, card, phone) are exact: what passes their checks is always a
 span. The method adds spans of other kinds, which may overlap base spans and one another.
@@ -14,17 +16,18 @@ Only DataFrame functions run over the data. Patterns are possessive or bounded,
 each takes linear time on any text. Positions count code points, ends are exclusive.
 
 Defined cases: a null text is empty; each row is judged by itself, equal rows alike; a
-null id is kept; other columns are ignored; an empty table gives no rows; without
-candidates nothing is added.
+null id is kept; other columns are ignored by ``report`` and kept by ``redact``, whatever
+their names; an empty table gives no rows; without candidates nothing is added. Very long
+texts are searched whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import unused
 
 # The base formats, in the order in which kinds are listed, then the generators' formats.
 BASE = ("email", "ip", "card", "phone")
@@ -55,7 +58,10 @@ GUARDS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CUES = r"(?i)(?:mail|phone|tel|call|fax|host|server|addr|card|visa|account|iban|ssn|token|key|secret|password|contact|user)[^A-Za-z0-9]{0,4}$"
+_OTHERS = r"(?i)(?:order|ref|part|item|invoice|version|build|commit|sha|md5|checksum|serial|ticket|page|row|until)[^A-Za-z0-9]{0,4}$"
 
+#: Planted spans that the trees learn from.
+EXAMPLES = 24_000
 PRECISION = 0.9
 ROUNDS = 40
 RATE = 0.3
@@ -90,7 +96,7 @@ def _iban(x: Column) -> Column:
 
 
 def _valid(kind: Column, hit: Column) -> Column:
-    """The check of each kind. For base kinds it decides; for others it is what the trees learn."""
+    """The check of each kind. For base kinds it decides; for others it is a feature."""
     n = F.length(_digits(hit))
     varied = F.size(F.array_distinct(F.split(hit, ""))) >= 10
     return (
@@ -106,9 +112,11 @@ def _valid(kind: Column, hit: Column) -> Column:
     )
 
 
-def _features(hit: Column, before: Column, after: Column) -> list[Column]:
+def _features(kind: Column, hit: Column, before: Column, after: Column) -> list[Column]:
     n = F.length(_digits(hit))
     return [
+        _valid(kind, hit),
+        before.rlike(_OTHERS),
         before.rlike(_CUES),
         (before == "") | before.rlike(r"[\s\"'(\[<:=]$"),
         (after == "") | after.rlike(r"^[\s\"')\]>.,;:!?]"),
@@ -123,7 +131,7 @@ def _features(hit: Column, before: Column, after: Column) -> list[Column]:
     ]
 
 
-N_FEATURES = 11
+N_FEATURES = 13
 
 
 def _candidate(kind: int, pieces: str):
@@ -137,7 +145,7 @@ def _candidate(kind: int, pieces: str):
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """One row per candidate, and one with a null kind per document: row, doc_id, kind, start, end, valid, bits."""
+    """One row per candidate, and one with a null kind per document: row, doc_id, kind, start, end, bits (of which bit 0 says that the check holds)."""
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind, pattern in PATTERNS.items():
         at = F.col("text").rlike(GUARDS[kind])
@@ -150,74 +158,108 @@ def candidates(documents: DataFrame) -> DataFrame:
     found = found.withColumn("end", end).withColumn("start", F.col("end") - F.length("hit"))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     bits = F.lit(0)
-    for i, f in enumerate(_features(F.col("hit"), F.col("before"), F.col("after"))):
+    for i, f in enumerate(_features(name, F.col("hit"), F.col("before"), F.col("after"))):
         bits = bits + F.when(f, 1 << i).otherwise(0)
     known = F.col("kind").isNotNull()
-    return found.select("row", "doc_id", "kind", "start", "end", F.when(known, F.coalesce(_valid(name, F.col("hit")), F.lit(False))).alias("valid"), F.when(known, bits).alias("bits"))
-
-
-def boost(x: np.ndarray, good: np.ndarray, total: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
-    """Logistic gradient boosting of depth-two trees over counted rows of yes-or-no features; each row's probability."""
-    score = np.zeros(len(x))
-
-    def leaf(rows, g, h):
-        return g[rows].sum() / (h[rows].sum() + 1.0)
-
-    def split(rows, g, h):
-        if not rows.any():
-            return None, 0.0
+    return found.select("row", "doc_id", "kind", "start", "end", F.when(known, bits).alias("bits"))
+
+
+def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
+    """Planted spans: doc_id, which holds the id, the kind and whether the span is personal, and text. Made by rule from row numbers."""
+    at = lambda i: F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(1 << 40))
+    one = lambda i, *xs: F.element_at(F.array(*map(F.lit, xs)), (at(i) % len(xs) + 1).cast("int"))
+    number = lambda i, width, least=0: F.lpad((at(i) % (10**width - least) + least).cast("string"), width, "0")
+    name, site = one(1, "ann", "j.doe", "k_lee", "office"), one(2, "mail1", "corp", "home-7", "zone")
+    hexed = F.substring(F.sha2(F.col("id").cast("string"), 256), F.lit(1), one(3, 32, 40, 64))
+    account = number(4, 9), number(5, 9)
+    check = F.lit(98) - F.concat(*account, F.lit("131400")).cast("decimal(38,0)") % 97
+    iban = lambda off: F.concat(F.lit("DE"), F.lpad(((check - 2 + off) % 97 + 2).cast("int").cast("string"), 2, "0"), *account)
+    # per kind: the good value, a value of the format that is none, the words before good and other ones, and how often the good value is personal where neither kind of word stands before it
+    kinds = {
+        "secret": (F.concat(one(6, "token", "api_key", "password", "secret"), one(7, " = \"", ": ", "="), one(8, hexed, F.substring(F.base64(F.unhex(hexed)), 1, 20))), F.concat(one(6, "token", "api_key", "password", "secret"), one(7, " = \"", ": ", "="), one(9, "changeme", "your_value_here", "xxxxxxxxxxxx", "undefined", "00000000")), ("user", "key"), ("page", "item"), 97),
+        "hex": (hexed, F.repeat(one(10, "0", "a", "f"), 40), ("secret key", "token = \"", "api key:", "private key"), ("commit", "md5", "checksum", "build"), 15),
+        "ssn": (F.concat(number(11, 3, 101), F.lit("-"), number(12, 2, 10), F.lit("-"), number(13, 4, 1000)), F.concat(F.lit("000-"), number(12, 2, 10), F.lit("-"), number(13, 4, 1000)), ("ssn", "account", "ssn:"), ("order", "part", "ref"), 92),
+        "iban": (iban(0), iban(1), ("iban", "account", "iban:"), ("serial", "ref", "item"), 97),
+        "local": (F.concat(one(14, "(", ""), number(15, 3, 201), one(14, ") ", "-"), number(16, 3, 201), F.lit("-"), number(17, 4)), F.concat(F.lit("0"), number(15, 2), F.lit("-1"), number(16, 2), F.lit("-"), number(17, 4)), ("call", "tel", "phone:", "fax"), ("part", "order", "version", "ticket"), 60),
+        "spelled": (F.concat(name, one(18, " [at] ", "(at)", " (at) "), site, one(19, " [dot] ", "(dot)", "."), one(20, "com", "org", "de")), F.concat(name, F.lit(" (at) "), number(21, 2), F.lit("."), number(22, 2)), ("mail", "contact"), ("until", "row"), 92),
+    }
+    personal, value, cue, kind = (F.lit(None).cast(t) for t in ("boolean", "string", "string", "int"))
+    which, good = at(30) % len(kinds), at(31) % 4 > 0
+    for i, (k, (yes, no, near, far, share)) in enumerate(kinds.items()):
+        mine = which == i
+        words = F.when(at(32) % 3 == 0, one(33, *near)).when(at(32) % 3 == 1, one(33, *far)).otherwise(one(33, "and", "then,", "the", "of"))
+        value, cue, kind = F.when(mine, F.when(good, yes).otherwise(no)).otherwise(value), F.when(mine, words).otherwise(cue), F.when(mine, KINDS.index(k)).otherwise(kind)
+        personal = F.when(mine, good & ((at(32) % 3 == 0) | (at(32) % 3 == 2) & (at(34) % 100 < share))).otherwise(personal)
+    text = F.concat(one(35, "It was said that ", "re ", "On Monday, "), cue, F.when(cue.endswith('"'), "").otherwise(" "), value, one(36, "\" ", " and so on", ", later.", ""))
+    rows = spark.range(n)
+    return rows.select(((F.col("id") * 16 + kind) * 2 + personal.cast("int")).alias("doc_id"), text.alias("text"))
+
+
+def boost(x: np.ndarray, good: np.ndarray, total: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple]:
+    """Logistic gradient boosting over counted rows of yes-or-no features. A tree is (feature, then, else), a leaf a number."""
+    score, trees = np.zeros(len(x)), []
+
+    def grow(rows, g, h, depth):
+        leaf = rate * float(g[rows].sum() / (h[rows].sum() + 1.0))
         yes = x[rows]
-        gy, hy = g[rows] @ yes, h[rows] @ yes
-        ga, ha = g[rows].sum(), h[rows].sum()
+        gy, hy, ga, ha = g[rows] @ yes, h[rows] @ yes, g[rows].sum(), h[rows].sum()
         gain = gy**2 / (hy + 1.0) + (ga - gy) ** 2 / (ha - hy + 1.0) - ga**2 / (ha + 1.0)
         best = int(gain.argmax())
-        return (best, gain[best]) if gain[best] > 1e-9 else (None, 0.0)
+        return leaf if not depth or gain[best] <= 1e-9 else (best, grow(rows & x[:, best], g, h, depth - 1), grow(rows & ~x[:, best], g, h, depth - 1))
 
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-score))
-        g, h = good - total * p, total * p * (1 - p)
-        rows = np.ones(len(x), dtype=bool)
-        top, _ = split(rows, g, h)
-        parts = [rows] if top is None else [rows & x[:, top], rows & ~x[:, top]]
-        for part in parts:
-            under, _ = split(part, g, h)
-            for last in [part] if under is None else [part & x[:, under], part & ~x[:, under]]:
-                if last.any():
-                    score[last] += rate * leaf(last, g, h)
-    return 1.0 / (1.0 + np.exp(-score))
-
-
-def learn(found: DataFrame, precision: float = PRECISION) -> list[tuple[int, int, float, bool]]:
-    """(kind, bits, probability, selected) of every combination seen; at most one per kind and bit set comes to the driver."""
-    rows = found.where("kind is not null").groupBy("kind", "bits").agg(F.sum(F.col("valid").cast("long")).alias("good"), F.count(F.lit(1)).alias("total")).orderBy("kind", "bits").collect()
-    if not rows:
-        return []
-    kind, bits = np.array([r.kind for r in rows]), np.array([r.bits for r in rows])
-    good, total = np.array([r.good for r in rows], float), np.array([r.total for r in rows], float)
-    x = np.column_stack([(bits >> i) & 1 for i in range(N_FEATURES)] + [kind == k for k in range(len(KINDS))]).astype(bool)
-    p = boost(x, good, total)
-    chosen = np.zeros(len(rows), dtype=bool)
+        trees.append(grow(np.ones(len(x), dtype=bool), good - total * p, total * p * (1 - p), 2))
+        score += value_of(trees[-1], x)
+    return trees
+
+
+def value_of(tree, x: np.ndarray) -> np.ndarray:
+    return np.full(len(x), tree) if isinstance(tree, float) else np.where(x[:, tree[0]], value_of(tree[1], x), value_of(tree[2], x))
+
+
+def learn(spark: SparkSession, precision: float = PRECISION) -> tuple[list, dict[int, float]]:
+    """The trees, and the least score selected of each added kind (absent: none). A row per kind and bits of the examples comes to the driver."""
+    found = candidates(examples(spark)).where("kind = floor(doc_id / 2) % 16")
+    rows = found.groupBy("kind", "bits", (F.floor(F.col("doc_id") / 32) % 2).alias("half")).agg(F.sum(F.col("doc_id") % 2).alias("good"), F.count(F.lit(1)).alias("total")).orderBy("half", "kind", "bits").collect()
+    kind, bits, half, good, total = (np.array([r[c] for r in rows]) for c in ("kind", "bits", "half", "good", "total"))
+    x = np.column_stack([*((bits >> i) & 1 for i in range(N_FEATURES)), *(kind == k for k in range(len(KINDS)))]).astype(bool)
+    grown = half == 0
+    trees = boost(x[grown], good[grown].astype(float), total[grown].astype(float))
+    score, least = sum(value_of(t, x) for t in trees), {}
     for k in range(len(BASE), len(KINDS)):
-        own = np.flatnonzero(kind == k)
-        own = own[np.argsort(-p[own], kind="stable")]
+        own = np.flatnonzero((kind == k) & ~grown)
+        own = own[np.argsort(-score[own], kind="stable")]
         fine = np.cumsum(good[own]) >= precision * np.cumsum(total[own])
-        # the lowest threshold above which the kind still has the precision; equal scores stay together
-        last = np.flatnonzero(fine & np.append(p[own][1:] != p[own][:-1], True)) if len(own) else []
+        # equal scores stay together
+        last = np.flatnonzero(fine & np.append(score[own][1:] != score[own][:-1], True)[: len(own)])
         if len(last):
-            chosen[own[: last[-1] + 1]] = True
-    return [(int(a), int(b), float(c), bool(d)) for a, b, c, d in zip(kind, bits, p, chosen, strict=True)]
+            least[k] = float(score[own[last[-1]]])
+    return trees, least
+
+
+def selected(trees: list, least: dict[int, float]) -> Column:
+    """Whether a candidate (kind, bits) is a span."""
+
+    def value(tree):
+        if isinstance(tree, float):
+            return F.lit(tree)
+        yes = (F.col("bits").bitwiseAND(F.lit(1 << tree[0])) != 0) if tree[0] < N_FEATURES else F.col("kind") == tree[0] - N_FEATURES
+        return F.when(yes, value(tree[1])).otherwise(value(tree[2]))
+
+    limit = F.lit(None).cast("double")
+    for k, x in least.items():
+        # sums are taken in the same order as in learn(), but for their start
+        limit = F.when(F.col("kind") == k, x - 1e-9).otherwise(limit)
+    score = sum((value(t) for t in trees), F.lit(0.0))
+    return F.when(F.col("kind") < len(BASE), F.col("bits") % 2 == 1).otherwise(F.coalesce(score >= limit, F.lit(False)))
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """Selected spans, and one row with a null kind per document: row, doc_id, kind (name), base, start, end, probability."""
-    found = cut(candidates(documents))
-    table = learn(found)
-    scored = documents.sparkSession.createDataFrame(table or [(-1, 0, 0.0, False)], "k int, b int, probability double, chosen boolean")
-    base = F.col("kind") < len(BASE)
-    kept = found.join(F.broadcast(scored), (F.col("kind") == F.col("k")) & (F.col("bits") == F.col("b")), "left")  # a row per combination of bits at most
-    kept = kept.where(F.col("kind").isNull() | F.when(base, F.col("valid")).otherwise(F.col("chosen"))).withColumn("base", base)
+    """Selected spans, and one row with a null kind per document: row, doc_id, k (number of the kind), kind (name), base, start, end."""
+    kept = candidates(documents).where(F.col("kind").isNull() | selected(*learn(documents.sparkSession)))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    return kept.select("row", "doc_id", F.col("kind").alias("k"), name.alias("kind"), "base", "start", "end", "probability")
+    return kept.select("row", "doc_id", F.col("kind").alias("k"), name.alias("kind"), (F.col("kind") < len(BASE)).alias("base"), "start", "end")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -254,9 +296,10 @@ def redact(documents: DataFrame) -> DataFrame:
     more = F.when(after | (F.col("more_on") == F.col("more_new")), F.col("open.more_kind"))
     kind = F.when(F.col("base_on") > 0, F.when(F.col("base_on") == F.col("base_new"), F.col("base_kind"))).otherwise(more)
     found = cuts.select("doc_id", F.col("at").alias("from"), "end", kind.alias("kind"), (F.col("base_on") + F.col("more_on")).alias("open")).where("open > 0")
-    marks = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from", "end", "kind"))).alias("_s"))
-    rows = documents.withColumn("_k", F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text")])).join(marks.withColumnRenamed("doc_id", "_d"), F.col("_k") == F.col("_d"), "left")
-    last = F.size("_s")
-    piece = F.transform("_s", lambda s, i: F.concat(F.substring("text", F.when(i > 0, F.element_at("_s", F.greatest(i, F.lit(1)))["end"]).otherwise(0).cast("int") + 1, s["from"].cast("int") - F.when(i > 0, F.element_at("_s", F.greatest(i, F.lit(1)))["end"]).otherwise(0).cast("int")), F.coalesce(F.concat(F.lit("["), s["kind"], F.lit("]")), F.lit(""))))
-    tail = F.substring("text", F.element_at("_s", last)["end"].cast("int") + 1, F.length("text"))
-    return rows.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), tail))).drop("_k", "_d", "_s")
+    key, own, spans_of = (unused(documents, c) for c in ("key", "own", "spans"))
+    marks = found.groupBy(F.col("doc_id").alias(own)).agg(F.array_sort(F.collect_list(F.struct("from", "end", "kind"))).alias(spans_of))
+    rows = documents.withColumn(key, F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text")])).join(marks, F.col(key) == F.col(own), "left")
+    before = lambda i: F.when(i > 0, F.element_at(spans_of, F.greatest(i, F.lit(1)))["end"]).otherwise(0).cast("int")
+    piece = F.transform(spans_of, lambda s, i: F.concat(F.substring("text", before(i) + 1, s["from"].cast("int") - before(i)), F.coalesce(F.concat(F.lit("["), s["kind"], F.lit("]")), F.lit(""))))
+    tail = F.substring("text", F.element_at(spans_of, F.size(spans_of))["end"].cast("int") + 1, F.length("text"))
+    return rows.withColumn("text", F.when(F.col(spans_of).isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), tail))).select(*documents.columns)

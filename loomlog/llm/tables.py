@@ -1,5 +1,5 @@
-"""Tables written half way, in the folder that driver and executors share."""
+"""Tables written half way, in the folder that driver and executors share, and names that no table has yet."""
 
-from ..tables import cut, shared_folder
+from ..tables import cut, shared_folder, unused
 
-__all__ = ["cut", "shared_folder"]
+__all__ = ["cut", "shared_folder", "unused"]
