@@ -18,7 +18,7 @@ from . import kernels as K
 #: Bytes of a table (as Spark estimates them) for each partition that numbers are dealt to.
 PARTITION_BYTES = 128 << 20
 #: So many numbers are held back until they leave a task as one batch.
-HELD = 4 << 20
+HELD = 1 << 20
 
 
 def partitions_of(df: DataFrame) -> int:

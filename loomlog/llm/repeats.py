@@ -38,18 +38,18 @@ SCATTERED = packed.schema(3)
 REPLY = "k long, p binary"
 REPLY_ARROW = pa.schema([("k", pa.int64()), ("p", pa.binary())])
 SEND_ROWS = 400_000
-# In place of a position: a prefix that is known to be frequent. Below it, coded positions of such prefixes.
-_FREQUENT = -1
+# In place of a position (32 bits, as no text is longer): a prefix that is known to be frequent.
+_FREQUENT = (1 << 32) - 1
 
 
 def scatter(parts: Iterator[tuple[np.ndarray, ...]], ranges: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Pack (hash, key, position) by hash. What occurs limit times in a buffer is known to be frequent: it is sent once,
-    with key 0 and _FREQUENT as position, and its own positions go out coded, dealt by key."""
+    with key 0 and _FREQUENT as position, and its own positions go out under hash 0, dealt by key."""
 
     def send(held):
         h, k, p = (np.concatenate(x) for x in zip(*held, strict=True))
         order, first = packed.groups(h)
-        h, k, p = h[order], k[order], p[order].astype(np.int64)
+        h, k, p = np.maximum(h[order], np.uint64(1)), k[order], p[order].astype(np.uint32)
         counts = np.diff(first)
         often = np.repeat(counts >= limit, counts)
         route = h
@@ -57,9 +57,9 @@ def scatter(parts: Iterator[tuple[np.ndarray, ...]], ranges: int, limit: int) ->
             one = np.zeros(len(h), dtype=bool)
             one[first[:-1]] = True
             marker = often & one
-            told = (K.mix(k[often].view(np.uint64)), np.zeros(int(often.sum()), np.uint64), k[often], _FREQUENT - 1 - p[often])
+            told = (K.mix(k[often].view(np.uint64)), np.zeros(int(often.sum()), np.uint64), k[often], p[often])
             keep = ~often | one
-            k, p = np.where(marker, 0, k)[keep], np.where(marker, _FREQUENT, p)[keep]
+            k, p = np.where(marker, 0, k)[keep], np.where(marker, np.uint32(_FREQUENT), p)[keep]
             h = h[keep]
             route, h, k, p = (np.concatenate(x) for x in zip((h, h, k, p), told, strict=True))
         yield packed.pack(route, ranges, h, k, p)
@@ -84,8 +84,8 @@ def recurring(scattered: DataFrame, limit: int, partitions: int) -> DataFrame:
 
     def judge(rows):
         h, k, p = (np.concatenate(x) for x in zip(*rows, strict=True))
-        told = p < _FREQUENT
-        known = (k[told], p[told] - _FREQUENT)  # ~position
+        told, p = h == 0, p.astype(np.int64)
+        known = (k[told], ~p[told])
         order, first = packed.groups(h[~told])
         h, k, p = h[~told][order], k[~told][order], p[~told][order]
         if not len(h):
@@ -106,7 +106,7 @@ def recurring(scattered: DataFrame, limit: int, partitions: int) -> DataFrame:
         _, bounds = packed.groups(k)
         yield pa.record_batch([pa.array(k[bounds[:-1]]), K.packed(p, bounds)], schema=REPLY_ARROW)
 
-    told = packed.by_range(scattered, [np.uint64, np.int64, np.int64], judge, packed.schema(2), partitions, finish)
+    told = packed.by_range(scattered, [np.uint64, np.int64, np.uint32], judge, packed.schema(2), partitions, finish)
     return packed.by_range(told, [np.int64, np.int64], regroup, REPLY, partitions).select("k", F.array("p").alias("ps"))
 
 

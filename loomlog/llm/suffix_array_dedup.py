@@ -33,8 +33,8 @@ from . import kernels as K
 from . import repeats
 
 LENGTH = 400
-NEAR = 272
-GRAM = 192
+NEAR = 280
+GRAM = 184
 GROUP_LIMIT = 400
 
 
