@@ -24,7 +24,8 @@ ends are already known to be connected.
 Defined cases: a null text, an empty one or one of blanks has an empty set and its own
 id as component; fewer words than five make one shingle; repeated rows are one class; a
 null id takes part but never names a component unless it's alone; other columns are
-ignored; an empty table gives no rows. Words are what stands between blanks, A-Z lowered.
+ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names; an empty
+table gives no rows; very long texts are read whole. Words are what stands between blanks, A-Z lowered.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .tables import cut
+from .tables import cut, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -423,10 +424,11 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size:
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """One document of each component, all columns kept: the least doc_id (nulls last), then the least hash. Empty sets all stay."""
     told = cut(near_duplicates(documents, similarity, size))
+    key, one, place = (unused(documents, c) for c in ("key", "one", "place"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    kept = told.where("n_shingles > 0").groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.k").alias("_k"), F.lit(True).alias("_one"))
-    kept = kept.unionByName(told.where("n_shingles = 0").select(F.col("k").alias("_k"), F.lit(False).alias("_one")).distinct())
-    rows = documents.withColumn("_k", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))).join(kept, "_k")
+    kept = told.where("n_shingles > 0").groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.k").alias(key), F.lit(True).alias(one))
+    kept = kept.unionByName(told.where("n_shingles = 0").select(F.col("k").alias(key), F.lit(False).alias(one)).distinct())
+    rows = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))).join(kept, key)
     # rows equal in id and text share a hash
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_k").orderBy("_k")))
-    return rows.where("_at = 1 or not _one").select(*documents.columns)
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return rows.where((F.col(place) == 1) | ~F.col(one)).select(*documents.columns)
