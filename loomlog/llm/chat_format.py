@@ -2,17 +2,18 @@
 
 A conversation is stored as events: a message, the streamed deltas of a message, an edit
 that replaces it, a regeneration that starts it anew, or a deletion. Logs are partitioned
-by conversation and sorted by turn and sequence number; one pass folds the events of a
-turn into its final message and renders it, so a task holds one turn at a time, however
-long its conversation is.
+by conversation and sorted by turn, message and sequence number; one pass folds the events
+of a message into its final form and renders it, so a task holds one message at a time,
+however long its conversation is. Two streams within a turn are told apart by their message.
 
 A turn is rendered as ``### role: text </turn>`` and a newline. Inside role and text a
 backslash goes before each backslash, each ``#``, each ``</turn>`` and, in roles, each
 colon; ``read_back`` undoes this.
 
 Defined cases: null texts are empty; null roles are empty roles; events with equal turn
-and sequence keep a fixed order (kind, role, text); a turn with several ``message``
-events holds several messages, one after another; a null conversation id is a
+and sequence keep a fixed order (kind, role, text); a log without message numbers has one
+stream a turn, in which every ``message`` event begins another message; deltas without a
+message before them begin one; repeated rows are messages of their own; a null conversation id is a
 conversation of its own; other columns are ignored; an empty log gives no rows.
 """
 
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, MIDDLE, END = "### ", ": ", " </turn>\n"
@@ -76,40 +77,52 @@ def read_back(rendered: str) -> Iterator[tuple[str, str, int, int]]:
         at = end + len(END)
 
 
-EVENTS = ("conv_id", "turn", "seq", "kind", "role", "text")
+EVENTS = ("conv_id", "turn", "message", "seq", "kind", "role", "text")
+#: Characters of a streamed piece.
+PIECE = 256
 TURNS = "conv_id long, turn long, role string, text string, rendered string, loss_start long, loss_end long"
 _TURNS_ARROW = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("rendered", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """One message event per row of a plain (conv_id, turn, role, text) table."""
-    return conversations.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+def events_of(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A plain (conv_id, turn, role, text) table as the log that it came from: an assistant's row is an empty message and its text
+    streamed in deltas, any other row one message. Rows of one turn are numbered by role and text."""
+    text, streamed = F.coalesce("text", F.lit("")), F.col("role") == LOSS_ROLE
+    w = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text)
+    rows = conversations.select("conv_id", "turn", F.row_number().over(w).cast("long").alias("message"), "role", "text")
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(piece)))
+    deltas = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.struct(F.lit("delta").alias("kind"), F.substring(text, i, F.lit(piece)).alias("text")))
+    whole = lambda x: F.array(F.struct(F.lit("message").alias("kind"), x.alias("text")))
+    made = F.when(streamed, F.concat(whole(F.lit("")), deltas)).otherwise(whole(text))
+    return rows.select("conv_id", "turn", "message", "role", F.posexplode(made).alias("seq", "e")).select("conv_id", "turn", "message", F.col("seq").cast("long").alias("seq"), "e.kind", "role", "e.text")
 
 
 def ordered(events: DataFrame) -> DataFrame:
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "message" not in events.columns:
+        events = events.withColumn("message", F.lit(0).cast("long"))
     return events.select(*EVENTS).repartition(n, "conv_id").sortWithinPartitions(*EVENTS)
 
 
 def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Sorted events -> (conv_id, turn, role, text) of final messages, in order."""
     at, role, pieces = None, "", None
-    for conv, turn, _, kind, who, text in rows:
+    for conv, turn, message, _, kind, who, text in rows:
         text = text or ""
-        if (conv, turn) != at or kind == "message":
+        if (conv, turn, message) != at or kind == "message":
             if pieces is not None:
-                yield (*at, role, "".join(pieces))
-            at, role, pieces = (conv, turn), who or "", None
+                yield (*at[:2], role, "".join(pieces))
+            at, role, pieces = (conv, turn, message), who or "", None
         if kind in ("message", "edit", "regenerate"):
-            pieces = [text]
-            role = who or role
+            pieces, role = [text], who or role
         elif kind == "delta":
-            pieces = [*(pieces or []), text] if pieces is None else (pieces.append(text) or pieces)
+            pieces = pieces or []
+            pieces.append(text)
             role = role or who or ""
         elif kind == "delete":
             pieces = None
     if pieces is not None:
-        yield (*at, role, "".join(pieces))
+        yield (*at[:2], role, "".join(pieces))
 
 
 def _rows(batches) -> Iterator[tuple]:

@@ -6,12 +6,14 @@ does not depend on their order, and a paragraph is added or taken away by adding
 subtracting its vector (``combine``). The vector has two parts: ``EXACT`` lanes from a
 hash of the whole paragraph, for equality, and 65 lanes for likeness: how many pairs of
 neighbouring words the paragraph has, and how many of these have each bit of their hash
-set. Two texts' likeness is the cosine of the signed sums (2 * lane - count): near 1 for
+set. The fingerprint as text holds all lanes, so likeness can be read from two of them
+(``lanes``). Two texts' likeness is the cosine of the signed sums (2 * lane - count): near 1 for
 the same pairs, near 0 for others.
 
 Only DataFrame functions are used, and one exchange of the texts: rows are dealt by
 ranges of doc_id, so that a row's successor is in its own range; the first rows of a range
-are also sent to the range before.
+are also sent to the range before. An id that has many rows (null, or repeated) is split
+into ranges by a hash of the text, which is also what orders its rows.
 
 Defined cases: a null text is empty; an empty text has one empty paragraph; a null id
 comes first; rows with equal ids are ordered by a hash of their text, equal rows follow
@@ -73,8 +75,13 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def digest(v: Column) -> Column:
-    """The fingerprint as text: the exact lanes and the pair count, in hex."""
-    return F.lower(F.array_join(F.transform(F.slice(v, 1, EXACT + 1), lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    """The fingerprint as text: all lanes in hex, eight digits each."""
+    return F.lower(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+
+
+def lanes(fingerprint: Column) -> Column:
+    """The lanes of a fingerprint given as text."""
+    return F.transform(F.regexp_extract_all(fingerprint, F.lit("[0-9a-f]{8}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -99,25 +106,36 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return vectors(rows, ["row", "doc_id"], "text").select("doc_id", digest(F.col("v")).alias("fingerprint"), "v")
 
 
+#: Ranges for each shuffle partition, so that partitions are about equal though ranges are dealt by hash.
+EACH = 16
+
+
 def _dealt(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, text, k, z (its range) of all rows; and the first (doc_id, k) of each range.
 
-    The table of ranges has RANGES quantiles, each split evenly so that there are about
-    four ranges for each shuffle partition.
+    Cells lie between RANGES quantiles of the ids and are split evenly by id, so that there are about EACH ranges for each
+    shuffle partition. The rows of an id that holds several quantiles, or is null, are split by k instead.
     """
     spark = documents.sparkSession
-    split = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // RANGES)
+    split = max(1, EACH * int(spark.conf.get("spark.sql.shuffle.partitions")) // RANGES)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.xxhash64("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(RANGES + 1)], 20 * RANGES), F.min("doc_id"), F.max("doc_id")).head()
-    bounds = sorted({*(cuts[0] or []), *(x for x in cuts[1:] if x is not None)})
-    edges = F.array(*[F.lit(int(x)).cast("long") for x in bounds]) if bounds else F.array(F.lit(0).cast("long"))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(RANGES + 1)], 20 * RANGES), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull()), F.count(F.lit(1))).head()
+    quantiles = [x for x in cuts[0] or [] if x is not None]
+    bounds = sorted({*quantiles, *(x for x in cuts[1:3] if x is not None)})
+    # how many ranges the rows of an id alone, or of null, are worth
+    worth = lambda held: max(1, held * split)
+    parts = [worth(quantiles.count(x)) if quantiles.count(x) > 1 else 0 for x in bounds]
+    nulls = worth(RANGES * cuts[3] // max(1, cuts[4]))
+    arrays = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs or [0]])
+    edges, alone = arrays(bounds), arrays(parts)
     cell = F.size(F.filter(edges, lambda e: e <= F.col("doc_id")))
-    low = F.element_at(edges, F.greatest(F.col("cell"), F.lit(1)))
+    low, own = (F.element_at(x, F.greatest(F.col("cell"), F.lit(1))) for x in (edges, alone))
     high = F.element_at(edges, F.least(F.col("cell") + 1, F.size(edges)))
-    inner = F.when(high > low, F.floor((F.col("doc_id") - low).cast("double") / (high - low).cast("double") * split)).otherwise(0)
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("cell") * split + F.least(inner, F.lit(split - 1)))
-    rows = rows.withColumn("cell", F.when(F.col("doc_id").isNull(), 0).otherwise(cell)).withColumn("z", place.cast("long")).drop("cell")
+    by_id = F.when(high > low, F.floor((F.col("doc_id") - low).cast("double") / (high - low).cast("double") * split)).otherwise(0)
+    by_text = lambda n: F.floor((F.shiftright("k", 32) + F.lit(1 << 31)) * n / F.lit(1 << 32))
+    inner = F.when(F.col("doc_id").isNull(), by_text(F.lit(nulls))).when((own > 0) & (F.col("doc_id") == low), by_text(own)).otherwise(own + F.least(by_id, F.lit(split - 1)))
+    rows = rows.withColumn("cell", F.when(F.col("doc_id").isNull(), 0).otherwise(cell)).withColumn("z", (F.col("cell") * F.lit(1 << 32) + inner).cast("long")).drop("cell")
     firsts = rows.groupBy("z").agg(F.min(F.struct("doc_id", "k")).alias("f"))
     return rows, firsts
 

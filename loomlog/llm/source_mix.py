@@ -3,7 +3,13 @@
 Slot i of the mix has the golden-ratio point frac((i + 1) * phi), which falls into one
 source's share of [0, 1); any run of slots thus holds each source close to its share.
 A source's documents are shuffled by hash and laid end to end, twice if its target needs
-it, and cut into blocks of equal token counts; its r-th slot takes its r-th block.
+it, and cut into blocks of equal token counts; its r-th slot takes its r-th block. The
+schedule comes within a block or so of each target. What a source then lacks is taken at
+the end of the mix, and its last block is cut where its target is met, so that a source
+whose target is less than a block isn't lost.
+
+What goes through windows without partitions is one row for each source, not one for each
+document.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of
 its own, weighed last; rows equal in all are separate documents; null ids are kept;
@@ -104,11 +110,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     buckets = buckets.join(shares.select("sid", F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("bs"), F.col("b").alias("bb"), "sid", "source_size", "target", "bucket_start")
     placed = rows.join(buckets, F.col("source").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("bb"))).drop("bs", "bb")
     placed = placed.withColumn("start", F.col("bucket_start") + _before("size", ["sid", "b"], ["h", "size"]))
-    passes = placed.where("size > 0").select("sid", "start", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("pass"))
+    passes = placed.where("size > 0").select("sid", "start", "size", "source_size", F.round("target").cast("long").alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("pass"))
     passes = passes.withColumn("from", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
+    passes = passes.where(F.col("from") < F.col("whole")).withColumn("to", F.least("to", "whole"))
     pieces = passes.select("sid", "start", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
     pieces = pieces.withColumn("words", F.least(F.col("to"), (F.col("rank") + 1) * block) - F.greatest(F.col("from"), F.col("rank") * block))
-    taken = pieces.join(schedule(shares, n).select("sid", "rank"), ["sid", "rank"]).groupBy("sid", "start").agg(F.sum("words").alias("taken"))
+    dealt = schedule(shares, n).select("sid", "rank")
+    # blocks for which a source has no slot
+    had = shares.select("sid", F.ceil(F.round("target") / block).alias("blocks")).join(dealt.groupBy("sid").agg(F.count(F.lit(1)).alias("slots")), "sid", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    late = had.where("slots < blocks").select("sid", F.explode(F.sequence("slots", F.col("blocks") - 1)).alias("rank"))
+    taken = pieces.join(dealt.unionByName(late), ["sid", "rank"]).groupBy("sid", "start").agg(F.sum("words").alias("taken"))
     taken = taken.select(F.col("sid").alias("tid"), F.col("start").alias("ts"), "taken")
     out = placed.join(taken, (F.col("sid") == F.col("tid")) & (F.col("start") == F.col("ts")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
