@@ -15,7 +15,7 @@ ORACLE_SQL = None
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranker puts above its cut."""
     ranker = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scores(docs, ranker, *docs.columns).where("score >= 0.5").select(*docs.columns)
+    return quality.keep(docs, ranker)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
