@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "(unknown)"
+NO_SUBAGENTS = "no sub-session among the rows: the split by kind has one side only"
 TOKEN_FIELDS = ("input", "output", "reasoning", "cache_read", "cache_write", "total")
 
 
@@ -28,9 +29,7 @@ def metric(name: str, columns: Sequence[str]) -> list[Column]:
     if name == "edits":
         return [(F.sum(F.coalesce("edits", F.lit(1))) if has("edits") else F.count(F.lit(1))).alias("edits")]
     if name == "intents":
-        one = F.array_compact(F.array(_strip(F.col("intent")))) if has("intent") else F.array().cast("array<string>")
-        many = F.filter(F.transform("intents", lambda x: F.trim(x)), lambda x: x != "") if has("intents") else F.array().cast("array<string>")
-        return [F.size(F.array_distinct(F.flatten(F.collect_set(F.concat(one, F.coalesce(many, F.array().cast("array<string>"))))))).cast("bigint").alias("intents")]
+        return [F.count_distinct(_strip(F.col("intent"))).alias("intents") if has("intent") else F.lit(0).cast("bigint").alias("intents")]
     if name == "agents":
         return [F.sort_array(F.collect_set(_strip(F.col("agent")))).alias("agents")]
     if name == "messages":
@@ -55,6 +54,21 @@ def group_key(key: Column, is_list: bool = False) -> Column:
     return F.explode(key) if is_list else F.coalesce(F.nullif(key.cast("string"), F.lit("")), F.lit(UNKNOWN))
 
 
+def _measure(rows: DataFrame, keys: list[str], metrics: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
+    """The metrics of rows by keys. A list column of intents is counted from a row per intent, never gathered in one row."""
+    listed = "intents" in metrics and "intents" in rows.columns
+    own = [m for m in metrics if m != "intents" or not listed]
+    grouped = rows.groupBy(*keys) if keys else rows.groupBy()
+    out = grouped.agg(*[c for m in own for c in metric(m, rows.columns)], *more, F.count(F.lit(1)).alias("_n"))
+    if listed:
+        one = [F.col("intent")] if "intent" in rows.columns else []
+        each = rows.select(*keys, F.explode(F.concat(F.array(*one).cast("array<string>"), F.coalesce("intents", F.array().cast("array<string>")))).alias("intent"))
+        told = (each.groupBy(*keys) if keys else each.groupBy()).agg(F.count_distinct(_strip(F.col("intent"))).alias("intents"))
+        joined = out.join(told, keys, "left") if keys else out.crossJoin(told)  # without keys: one row each
+        out = joined.withColumn("intents", F.coalesce("intents", F.lit(0)))
+    return out.drop("_n")
+
+
 def aggregate(rows: DataFrame, group_by: str | Column, metrics: Sequence[str] = ("count",), rank_by: str = "edits", top: int = 0) -> DataFrame:
     """One row per label with the metrics and its rank. Columns of the ranking that were not asked for are skipped."""
     if rank_by not in RANKS:
@@ -62,7 +76,7 @@ def aggregate(rows: DataFrame, group_by: str | Column, metrics: Sequence[str] =
     key = F.col(group_by) if isinstance(group_by, str) else group_by
     listed = isinstance(group_by, str) and dict(rows.dtypes)[group_by].startswith("array")
     labelled = rows.withColumn("group", group_key(key, listed))
-    out = labelled.groupBy("group").agg(*[c for m in metrics for c in metric(m, rows.columns)])
+    out = _measure(labelled, ["group"], metrics)
     order = [F.desc(c) for c in RANKS[rank_by] if c in out.columns] + [F.asc("group")]
     out = out.orderBy(*order)
     return out.limit(top) if top else out
@@ -71,7 +85,14 @@ def aggregate(rows: DataFrame, group_by: str | Column, metrics: Sequence[str] =
 def totals(rows: DataFrame, metrics: Sequence[str] = ("count",), kind_split: bool = False) -> DataFrame:
     """The metrics over all rows, each counted once however many labels it has."""
     more = [F.coalesce(F.bool_or(F.col("kind") == "subagent"), F.lit(False)).alias("has_subagents")] if kind_split else []
-    return rows.agg(*[c for m in metrics for c in metric(m, rows.columns)], *more)
+    out = _measure(rows, [], metrics, more)
+    return out.withColumn("note", F.when(~F.col("has_subagents"), F.lit(NO_SUBAGENTS))) if kind_split else out
+
+
+def file_totals(edits: DataFrame, path: str = "/") -> DataFrame:
+    """One row over all edits of the files that file_frequency() reads: files, edits, sessions, intents, agents."""
+    rows = edits if path == "/" else edits.where(F.contains("file", F.lit(path)))
+    return rows.agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("edits"), F.count_distinct("session_id").alias("sessions"), F.count_distinct(_strip(F.col("intent"))).alias("intents"), F.array_join(F.sort_array(F.collect_set("agent")), ",").alias("agents"))
 
 
 def component_totals(rows: DataFrame, column: str = "components") -> DataFrame:

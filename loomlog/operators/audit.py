@@ -41,7 +41,9 @@ def incidents(events: DataFrame, messages: DataFrame, category: str | None = Non
     calls = calls.where(F.size("patterns") > 0)
     if category:
         calls = calls.where(F.exists("patterns", lambda p: p.startswith(category + ".")))
-    rows = calls.join(reaction(messages, D.REGRET, reaction_window).select(*SESSION, "message_index", "reaction"), [*SESSION, "message_index"], "left")
+    # reactions are looked for in sessions with a hit only
+    near = messages.join(calls.select(*SESSION).distinct(), list(SESSION), "left_semi")
+    rows = calls.join(reaction(near, D.REGRET, reaction_window).select(*SESSION, "message_index", "reaction"), [*SESSION, "message_index"], "left")
     rows = rows.withColumn("confirmed", F.col("reaction").isNotNull())
     if confirmed != "include":
         rows = rows.where(F.col("confirmed") == (confirmed == "only"))
@@ -84,6 +86,13 @@ def network(events: DataFrame, kind: str | None = None, risk: str = "include", d
     return redacted(rows, ["url", "query"]) if mask else rows
 
 
+def network_totals(requests: DataFrame) -> DataFrame:
+    """(by, label, requests, risky) of network()'s rows: one row over all (by = all), one per host, one per risk."""
+    risky = F.when(F.size("risks") > 0, 1).otherwise(0)
+    rows = requests.select(risky.alias("risky"), F.explode(F.concat(F.array(F.struct(F.lit("all").alias("by"), F.lit("").alias("label"))), F.array_compact(F.array(F.when(F.col("host").isNotNull(), F.struct(F.lit("host").alias("by"), F.col("host").alias("label"))))), F.transform("risks", lambda r: F.struct(F.lit("risk").alias("by"), r.alias("label"))))).alias("x"))
+    return rows.groupBy("x.by", "x.label").agg(F.count(F.lit(1)).alias("requests"), F.sum("risky").alias("risky"))
+
+
 def is_human(text: Column) -> Column:
     """A user's own words: no wrapper, placeholder or long paste."""
     t = strip(text)
@@ -157,6 +166,14 @@ def task_summaries(messages: DataFrame) -> DataFrame:
     return pair.select(*SESSION, F.array_join(words, " ").alias("summary"))
 
 
+def verb_usage(calls: DataFrame, declared: DataFrame, since=None) -> DataFrame:
+    """(tool, calls, params_used, undeclared, unused) of each declared or called tool, sorted names; since: only calls from then on."""
+    rows = calls if since is None else calls.where(F.col("ts") >= F.lit(since))
+    n = rows.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"))
+    params = parameter_usage(rows, declared).groupBy("tool").agg(*[F.array_sort(F.collect_set(F.when(x, F.col("param")))).alias(name) for name, x in (("params_used", F.col("calls") > 0), ("undeclared", ~F.col("declared")), ("unused", F.col("declared") & (F.col("calls") == 0)))])
+    return n.join(params, "tool", "full_outer").select("tool", F.coalesce("calls", F.lit(0)).alias("calls"), "params_used", "undeclared", "unused")
+
+
 def parameter_usage(calls: DataFrame, declared: DataFrame) -> DataFrame:
     """(tool, param, declared, calls): input keys used, against those declared(tool, param)."""
     keys = F.explode(F.json_object_keys("body"))
@@ -165,11 +182,15 @@ def parameter_usage(calls: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def unmentioned_files(files: DataFrame, messages: DataFrame) -> DataFrame:
-    """(session_id, file, mentioned): whether an assistant text or tool input of the session has the file's base name."""
+    """(session_id, file, mentioned): whether an assistant text or tool input of the session has the file's base name.
+
+    Each message is read against the names of its own session; no session is gathered in one row.
+    """
     hay = F.concat_ws("\n", "text", F.transform("tool_use", lambda t: t["input"]))
-    said = messages.where("role = 'assistant'").groupBy("session_id").agg(F.collect_list(hay).alias("hay"))
-    base = F.element_at(F.split("file", "/"), -1)
-    return files.join(said, "session_id", "left").select("session_id", "file", F.coalesce(F.exists("hay", lambda h: F.contains(h, base)), F.lit(False)).alias("mentioned"))
+    named = files.select("session_id", "file").distinct().withColumn("base", F.element_at(F.split("file", "/"), -1))
+    said = messages.where("role = 'assistant'").select("session_id", hay.alias("hay")).where("hay <> ''")
+    found = named.join(said, "session_id").where(F.contains("hay", F.col("base"))).select("session_id", "file").distinct().withColumn("mentioned", F.lit(True))
+    return files.select("session_id", "file").join(found, ["session_id", "file"], "left").withColumn("mentioned", F.coalesce("mentioned", F.lit(False)))
 
 
 def required_sections(notes: DataFrame, required: list[str]) -> DataFrame:

@@ -15,12 +15,16 @@ def _events_with_raw(events: DataFrame) -> DataFrame:
     return events.where(F.col("type").startswith("tool_call("))
 
 
-def file_edits(events: DataFrame, messages: DataFrame, path: str | None = None, include_input: bool = False) -> DataFrame:
-    """One row per edited file of each edit call or shell redirect, with the request behind it.
+def file_edits(events: DataFrame, messages: DataFrame, path: str | None = None, include_input: bool = False, since=None, until=None) -> DataFrame:
+    """One row per edited file of each edit call or shell redirect, with the request behind it and what the assistant said with it.
 
     Without the input, its hash and length stand for it.
     """
     calls = _events_with_raw(events)
+    if since is not None:
+        calls = calls.where(F.col("ts") >= F.lit(since))
+    if until is not None:
+        calls = calls.where(F.col("ts") <= F.lit(until))
     direct = calls.where(F.col("tool").isin(*D.EDIT_TOOLS) & F.col("file").isNotNull()).withColumn("append", F.lit(None).cast("boolean")).withColumn("via", F.lit("tool"))
     shell = calls.where(F.col("tool").isin(*D.SHELL_TOOLS)).withColumn("t", F.explode(redirect_targets(command_of(F.col("body")))))
     shell = shell.withColumn("file", F.col("t.path")).withColumn("append", F.col("t.append")).drop("t").withColumn("via", F.lit("shell"))
@@ -28,6 +32,8 @@ def file_edits(events: DataFrame, messages: DataFrame, path: str | None = None,
     if path:
         rows = rows.where(F.contains("file", F.lit(path)))
     rows = with_intent(rows, messages)
+    said = messages.where("role = 'assistant'").select(*SESSION, "message_index", F.nullif("text", F.lit("")).alias("assistant_text"))
+    rows = rows.join(said, [*SESSION, "message_index"], "left")
     if include_input:
         return rows.withColumn("input", redact(F.col("body"))["text"])
     return rows.withColumn("input_sha256", F.sha2(F.coalesce(F.to_json(decode(F.col("body"))), F.col("body")), 256)).withColumn("input_length", F.length("body"))

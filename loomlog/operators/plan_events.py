@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rendered, strip
+from ..functions.text import CUT, redacted, rendered, strip
 from .normalise import SESSION
 
 
@@ -112,13 +112,37 @@ def plans(events: DataFrame, messages: DataFrame) -> DataFrame:
     return out.withColumn("user_edited", F.col("edited_body").isNotNull()).withColumn("body", F.coalesce("edited_body", "body")).drop("edited_body")
 
 
-def bodies(ids: DataFrame, events: DataFrame, messages: DataFrame, max_chars: int = 0, shallow: bool = False) -> DataFrame:
-    """(id, body) of events and plans; shallow: a superseded plan gives the highest version of its task."""
-    rows = events.select("id", *SESSION, "type", "task_key", F.coalesce("body", "text").alias("own"))
+#: Characters of a body, unless told otherwise.
+BODY_CHARS = 500_000
+
+
+def bodies(ids: DataFrame, events: DataFrame, messages: DataFrame, max_chars: int = BODY_CHARS, shallow: bool = False, thinking: bool = False) -> DataFrame:
+    """(id, type, body, verdict, plan_id, pairs, thinking, drafts, truncated) of events, plans and feedback refs; unknown ids have no row.
+
+    shallow: a superseded plan gives the highest version of its task, and drafts lists the ids of that task's other versions. A
+    feedback ref (session:pfN) gives the raw answer. thinking: what the assistant thought with an event. Masked, then cut.
+    """
+    told = responses(events, messages).select(F.format_string("%s:pf%d", F.col("session_id"), F.col("ordinal")).alias("id"), F.lit("plan_feedback").alias("type"), F.col("raw").alias("own"), "verdict", "plan_id", "pairs")
+    out = _event_bodies(ids, events, messages, shallow, thinking).unionByName(ids.join(told, "id"), allowMissingColumns=True)
+    out = redacted(out, ["own", "thinking", "pairs"])
+    cut = (F.length("own") > max_chars) if max_chars > 0 else F.lit(False)
+    body = F.when(cut, F.concat(F.left("own", F.lit(max_chars)), F.lit(CUT))).otherwise(F.col("own"))
+    return out.select("id", "type", body.alias("body"), "verdict", "plan_id", "pairs", "thinking", "drafts", F.coalesce(cut, F.lit(False)).alias("truncated"))
+
+
+def _event_bodies(ids: DataFrame, events: DataFrame, messages: DataFrame, shallow: bool, thinking: bool) -> DataFrame:
+    rows = events.select("id", *SESSION, "message_index", "type", "task_key", F.coalesce("body", "text").alias("own"))
     out = ids.join(rows, "id")
+    if thinking:
+        out = out.join(messages.select(*SESSION, "message_index", F.nullif("thinking", F.lit("")).alias("thinking")), [*SESSION, "message_index"], "left")
+    else:
+        out = out.withColumn("thinking", F.lit(None).cast("string"))
     if shallow:
-        best = plans(events, messages).groupBy(*SESSION, "task_key").agg(F.max_by("body", "version").alias("best"))
-        out = out.join(best, [*SESSION, "task_key"], "left").withColumn("own", F.when(F.col("type") == "plan_event", F.coalesce("best", "own")).otherwise(F.col("own")))
-    body = F.col("own") if not max_chars else F.left("own", F.lit(max_chars))
-    return out.select("id", body.alias("body"), (F.length("own") > F.lit(max_chars or 2**31 - 1)).alias("truncated"))
+        best = plans(events, messages).groupBy(*SESSION, "task_key").agg(F.max_by("body", "version").alias("best"), F.max_by("id", "version").alias("best_id"), F.array_sort(F.collect_list(F.struct("version", "id"))).alias("all"))
+        plan = F.col("type") == "plan_event"
+        out = out.join(best, [*SESSION, "task_key"], "left").withColumn("own", F.when(plan, F.coalesce("best", "own")).otherwise(F.col("own")))
+        drafts = F.when(plan, F.transform(F.filter("all", lambda x: x["id"] != F.col("best_id")), lambda x: x["id"]))
+    else:
+        drafts = F.lit(None).cast("array<string>")
+    return out.select("id", "type", "own", drafts.alias("drafts"), "thinking")
 

@@ -6,7 +6,7 @@ Facets make one predicate; masks and cuts come last, on the rows that are left.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as D
 from ..functions.text import contains_ci, preview, redacted, under
 from .normalise import SESSION, with_intent
+from .search import bm25
 
 TYPES = ("user_turn", "assistant_turn", "plan_event", "tool_call", *(f"tool_call({k})" for k in D.TOOL_KINDS))
 WRAPPED = ("task", "skill", "mcp", "web")
@@ -79,8 +80,15 @@ def facets(
     return out
 
 
-def sessions_where(sessions: DataFrame, noise: str = "include", project_dir: str | None = None, since=None, until=None) -> DataFrame:
-    """Sessions without sub-sessions (exclude), only those (only) or all; in a directory or below; in a span of dates."""
+def sessions_where(sessions: DataFrame, noise: str = "include", project_dir: str | None = None, since=None, until=None, days: int = 0, now=None) -> DataFrame:
+    """Sessions without sub-sessions (exclude), only those (only) or all; in a directory or below; in a span of dates. until may
+    be a date, which then counts to its end; days: only the last so many before now, which is an argument."""
+    if days:
+        if now is None:
+            raise ValueError("days needs now")
+        sessions = sessions.where(F.col("date") >= F.lit(now - timedelta(days=days)))
+    if until is not None and not isinstance(until, datetime):
+        until = datetime.combine(until, time(23, 59, 59))
     _check("noise", noise, ("include", "exclude", "only"))
     sub = F.coalesce(F.col("kind") == "subagent", F.lit(False)) | F.col("parent_uuid").isNotNull()
     out = sessions if noise == "include" else sessions.where(sub if noise == "only" else ~sub)
@@ -91,19 +99,25 @@ def sessions_where(sessions: DataFrame, noise: str = "include", project_dir: str
     return out if until is None else out.where(F.col("date") <= F.lit(until))
 
 
-def query(events: DataFrame, sessions: DataFrame | None = None, messages: DataFrame | None = None, limit: int = 0, previews: bool = False, mask: bool = True, **given) -> DataFrame:
-    """Events that fit all facets, by time (nulls last), then session and seq.
+def query(events: DataFrame, sessions: DataFrame | None = None, messages: DataFrame | None = None, limit: int = 0, previews: bool = False, mask: bool = True, sort: str = "date", **given) -> DataFrame:
+    """Events that fit all facets, by time (nulls last), then session and seq; sort = relevance: by the score of the text facet first.
 
-    sessions: only their events (a semi-join); messages: adds each event's intent.
+    sessions: only their events (a semi-join); messages: adds each event's intent. Masks and cuts keep the order.
     """
+    _check("sort", sort, ("date", "relevance"))
     out = events.where(facets(**given))
     if sessions is not None:
         out = out.join(sessions.select(*SESSION), list(SESSION), "left_semi")
-    out = out.orderBy(F.col("ts").asc_nulls_last(), "session_id", "seq")
+    order = [F.col("ts").asc_nulls_last(), F.col("session_id"), F.col("seq")]
+    if sort == "relevance" and given.get("text"):
+        out = bm25(out.withColumn("_hay", F.concat_ws("\n", "text", "body")), "id", "_hay", given["text"]).drop("_hay")
+        order = [F.desc("score"), *order]
     if limit:
-        out = out.limit(limit)
+        # the intent is looked up for these rows only
+        out = out.orderBy(*order).limit(limit)
     if messages is not None:
         out = with_intent(out, messages)
+    out = out.orderBy(*order)
     if mask:
         out = redacted(out, [c for c in ("text", "body", "intent") if c in out.columns])
     if previews:

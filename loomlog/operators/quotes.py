@@ -40,3 +40,8 @@ def quotes(messages: DataFrame, least: int = 40, back: int = 60) -> DataFrame:
     quote = F.substring("text", F.col("b_start"), F.col("length").cast("int"))
     rest = F.trim(F.concat(F.substring("text", F.lit(1), F.col("b_start") - 1), F.lit(" "), F.substring("text", F.col("b_start") + F.col("length").cast("int"), F.length("text"))))
     return out.select(*SESSION, F.col("b_id").alias("message_index"), F.col("a_id").alias("source_index"), quote.alias("quote"), F.col("length"), rest.alias("comment"))
+
+
+def quote_totals(found: DataFrame, kind: str) -> DataFrame:
+    """(kind, quotes, sessions, length) of quotations by a label column of their sources."""
+    return found.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("quotes"), F.count_distinct(*SESSION).alias("sessions"), F.sum("length").alias("length"))

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import redact
+from ..functions.dictionaries import MASK
+from ..functions.text import has_secret, redacted, secret_types
 from ..tables import cut
 from .aggregate import UNKNOWN, aggregate, totals
+from .normalise import previous_text
 
 
 def children(sessions: DataFrame) -> DataFrame:
@@ -20,16 +22,24 @@ def children(sessions: DataFrame) -> DataFrame:
     return p.join(c, ["agent", "parent_id"])
 
 
-def descendants(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
-    """(root, id): everything below each root along (parent, child), the root itself left out; cycles end by themselves."""
-    seen = roots.select(F.col("id").alias("root"), "id").distinct()
-    front = seen
-    for _ in range(rounds):
-        front = front.join(edges, front.id == edges.parent).select("root", F.col("child").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
-        front = cut(front)
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id): everything below each root along (parent, child), the root itself left out; cycles end by themselves.
+
+    Each round doubles the length of the known paths, so the rounds grow with the logarithm of the depth. A pair is known
+    once, so the loop ends when no new one is found.
+    """
+    wanted = roots.select(F.col("id").alias("root")).distinct()
+    # only what hangs below a root is followed
+    seen = cut(edges.select("parent", "child").distinct().join(wanted, F.col("parent") == F.col("root"), "left_semi").select(F.col("parent").alias("root"), F.col("child").alias("id")))
+    step, known = cut(edges.select("parent", "child").distinct()), -1
+    while (n := seen.count()) > known:
+        known = n
+        further = seen.join(step, seen.id == step.parent).select("root", F.col("child").alias("id"))
+        seen = cut(seen.unionByName(further).distinct())
+        # paths twice as long, from those nodes that are reached
+        near = step.join(seen.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+        longer = near.alias("a").join(step.alias("b"), F.col("a.child") == F.col("b.parent")).select(F.col("a.parent").alias("parent"), F.col("b.child").alias("child"))
+        step = cut(near.unionByName(longer).distinct())
     return seen.where("root <> id")
 
 
@@ -42,9 +52,22 @@ def full_overlay(a: DataFrame, b: DataFrame, key: str, prefer_b: list[str], pref
 
 
 def inventory(sessions: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
-    """Newest sessions first."""
+    """Newest sessions first, each with the total of all and whether the page leaves later ones out."""
     out = sessions.orderBy(F.desc_nulls_last("date"), "session_id").offset(offset)
-    return out.limit(limit) if limit else out
+    return with_total(out.limit(limit) if limit else out, sessions, offset + limit if limit else None)
+
+
+def with_total(page: DataFrame, whole: DataFrame, until: int | None = None) -> DataFrame:
+    """The page's rows with total, the number of all rows, and truncated: whether there are more than until (None: never)."""
+    total = whole.agg(F.count(F.lit(1)).alias("total"))
+    out = page.crossJoin(F.broadcast(total))  # one row
+    return out.withColumn("truncated", F.lit(False) if until is None else F.col("total") > until)
+
+
+def last_models(messages: DataFrame) -> DataFrame:
+    """(agent, session_id, model): the last model that an assistant's message names; null where none does."""
+    named = F.when((F.col("role") == "assistant") & (F.col("model") != ""), F.col("message_index"))
+    return messages.groupBy("agent", "session_id").agg(F.max_by("model", named).alias("model"))
 
 
 def recency(sessions: DataFrame, now: Column, threshold: int = 600) -> DataFrame:
@@ -84,6 +107,18 @@ def diagnostics(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("agent").agg(F.count(F.lit(1)).alias("sessions"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
+def hints(sessions: DataFrame, since=None, until=None, wanted: DataFrame | None = None, texts: tuple[str, ...] = ()) -> DataFrame:
+    """(hint): why a query with these filters may be empty: dates outside the corpus, unknown ids, texts that are or hold masks."""
+    span = sessions.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    late = F.when(F.lit(since).cast("timestamp") > F.col("last"), F.concat(F.lit("since is after the last session, "), F.date_format("last", "yyyy-MM-dd")))
+    early = F.when(F.lit(until).cast("timestamp") < F.col("first"), F.concat(F.lit("until is before the first session, "), F.date_format("first", "yyyy-MM-dd")))
+    said = [F.when(F.lit(MASK in t), F.lit(f"{t!r} holds a mask; stored texts hold none")).otherwise(F.when(has_secret(F.lit(t)), F.concat(F.lit("a text looks like a secret ("), F.array_join(secret_types(F.lit(t)), ", "), F.lit(") and would be shown masked")))) for t in texts]
+    out = span.select(F.explode(F.array_compact(F.array(late, early, F.when(F.col("last").isNull(), F.lit("there are no sessions")), *said))).alias("hint"))
+    if wanted is not None:
+        out = out.unionByName(missing(wanted, sessions).select(F.concat(F.lit("no session has the id "), "session_id").alias("hint")))
+    return out
+
+
 def missing(wanted: DataFrame, sessions: DataFrame) -> DataFrame:
     """The wanted session ids that don't exist."""
     return wanted.join(sessions.select("session_id"), "session_id", "left_anti")
@@ -108,12 +143,17 @@ def closest_titles(sessions: DataFrame, needle: str, ratio: float = 0.5, n: int
     return sessions.select("title").distinct().withColumn("ratio", like("title")).where(F.col("ratio") >= ratio).orderBy(F.desc("ratio"), "title").limit(n)
 
 
-def read(messages: DataFrame, session_id: str, offset: int = 0, limit: int = 0, thinking: bool = False, most: int = 1000) -> DataFrame:
-    """A session's rows (role, content, ts, model): text, then tool inputs and results; rows without content are dropped."""
+def read(messages: DataFrame, session_id: str, offset: int = 0, limit: int = 0, thinking: bool = False, most: int = 1000, below: DataFrame | None = None) -> DataFrame:
+    """A session's rows (session_id, role, content, ts, model, intent, qa, tokens): text, then questions with answers, tool inputs
+    and results; rows without content are dropped. below: (session_id) of sub-sessions whose rows follow the session's own."""
+    asked = F.transform("qa", lambda q: F.concat(F.lit("Q: "), q["question"], F.lit(" A: "), F.coalesce(q["answer"], F.lit(""))))
     calls = F.transform("tool_use", lambda t: F.concat(F.lit("["), t["name"], F.lit("] "), F.coalesce(t["input"], F.lit(""))))
     told = F.transform("tool_result", lambda r: r["content"])
-    content = F.concat_ws("\n", F.nullif("text", F.lit("")), *([F.col("thinking")] if thinking else []), calls, told)
-    rows = messages.where(F.col("session_id") == session_id).select("message_index", "role", content.alias("content"), "ts", "model").where("content <> ''")
-    w = Window.orderBy("message_index")  # one session
+    content = F.concat_ws("\n", F.nullif("text", F.lit("")), *([F.col("thinking")] if thinking else []), asked, calls, told)
+    own = messages.where(F.col("session_id") == session_id)
+    if below is not None:
+        own = own.unionByName(messages.join(below.select("session_id").where(F.col("session_id") != session_id).distinct(), "session_id", "left_semi").select(*messages.columns))
+    rows = previous_text(own).select("session_id", "message_index", "role", content.alias("content"), "ts", "model", "intent", "qa", "tokens").where("content <> ''")
+    w = Window.orderBy(F.col("session_id") != session_id, "session_id", "message_index")  # one session and what it spawned
     rows = rows.withColumn("n", F.row_number().over(w)).where((F.col("n") > offset) & (F.col("n") <= offset + (min(limit, most) if limit > 0 else most)))
-    return rows.withColumn("content", redact(F.col("content"))["text"]).drop("n")
+    return redacted(rows.drop("n"), ["content", "intent", "qa"])

@@ -23,7 +23,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """path: the directory that holds the session directories."""
     # named in full, as directories with a leading dot are passed over in listings
     places = [f"{d}{n}" for d in (".system_generated/logs/", "") for n in NAMES]
-    lines = C.read_files(spark, f"{path.rstrip('/')}/*/{{{','.join(places)}}}")
+    return records_of(C.read_files(spark, f"{path.rstrip('/')}/*/{{{','.join(places)}}}"))
+
+
+def records_of(lines: DataFrame) -> DataFrame:
+    """Lines (file, at, value) as records."""
     rows = C.from_lines(lines).withColumn("session_id", _session(F.col("file")))
     v = F.col("v")
     side = F.upper(F.coalesce(C.string(v, "$.source"), C.string(v, "$.type"), F.lit("")))

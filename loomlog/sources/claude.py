@@ -42,7 +42,12 @@ def _subagent(v: Column) -> Column:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    return C.read_jsonl(spark, path).withColumn("session_id", C.stem(F.col("file"))).withColumn("type", C.string(F.col("v"), "$.type"))
+    return records_of(C.read_lines(spark, path))
+
+
+def records_of(lines: DataFrame) -> DataFrame:
+    """Lines (file, at, value) as records."""
+    return C.from_lines(lines).withColumn("session_id", C.stem(F.col("file"))).withColumn("type", C.string(F.col("v"), "$.type"))
 
 
 def messages(rows: DataFrame) -> DataFrame:
@@ -73,14 +78,21 @@ def messages(rows: DataFrame) -> DataFrame:
     return conform(link_answers(out), MESSAGES)
 
 
+ANSWER = r'"((?:[^"\\]|\\.)*)"\s*=\s*"((?:[^"\\]|\\.)*)"'
+
+
 def link_answers(rows: DataFrame) -> DataFrame:
-    """qa: for each answered question tool call, its questions with the answers of the result's "question"="answer" pairs."""
+    """qa: for each answered question tool call, its questions with the answers of the result's "question"="answer" pairs.
+
+    Quotes in either may be escaped by a backslash.
+    """
     asked = rows.select("session_id", F.explode("tool_use").alias("t")).where("t.name = 'AskUserQuestion'")
     asked = asked.select("session_id", F.col("t.tool_use_id").alias("id"), C.array(F.try_parse_json(F.col("t.input")), "$.questions").alias("questions"))
     told = rows.select("session_id", "message_index", F.explode("tool_result").alias("r")).select("session_id", "message_index", F.col("r.tool_use_id").alias("id"), F.col("r.content").alias("content"))
-    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(r'"([^"]*)"="([^"]*)"'), F.lit(1)).alias("q"), F.regexp_extract_all("content", F.lit(r'"([^"]*)"="([^"]*)"'), F.lit(2)).alias("a"))
+    plain = lambda i: F.transform(F.regexp_extract_all("content", F.lit(ANSWER), F.lit(i)), lambda x: F.trim(F.replace(F.replace(F.replace(x, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))))
+    pairs = F.arrays_zip(plain(1).alias("q"), plain(2).alias("a"))
     both = told.join(asked, ["session_id", "id"]).withColumn("pairs", pairs)
-    qa = F.transform("questions", lambda q: F.struct(C.string(q, "$.question").alias("question"), F.array_compact(F.transform(C.array(q, "$.options"), lambda o: C.string(o, "$.label"))).alias("options"), F.get(F.filter("pairs", lambda p: p["q"] == C.string(q, "$.question")), F.lit(0))["a"].alias("answer")))
+    qa = F.transform("questions", lambda q: C.asked(q, F.get(F.filter("pairs", lambda p: p["q"] == F.trim(C.string(q, "$.question"))), F.lit(0))["a"]))
     linked = both.groupBy("session_id", "message_index").agg(F.flatten(F.collect_list(qa)).alias("qa"))
     return rows.join(linked, ["session_id", "message_index"], "left")
 
@@ -112,8 +124,13 @@ def sessions(rows: DataFrame, meta: DataFrame | None = None) -> DataFrame:
 def spawn_meta(spark: SparkSession, path: str) -> DataFrame:
     """The sidecar files of spawned sessions, keyed like their transcripts."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.meta.json").text(path, wholetext=True)
+    return spawns_of(raw.select(F.col("_metadata.file_path").alias("p"), "value"))
+
+
+def spawns_of(files: DataFrame) -> DataFrame:
+    """spawn_meta() of files (p, value)."""
     v = F.try_parse_json("value")
-    return raw.select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.meta\.json$", "").alias("session_id"), C.string(v, "$.toolUseId").alias("toolUseId"), C.integer(v, "$.spawnDepth").alias("spawnDepth"), C.string(v, "$.agentType").alias("agentType"))
+    return files.select(F.regexp_replace(F.element_at(F.split("p", "/"), -1), r"\.meta\.json$", "").alias("session_id"), C.string(v, "$.toolUseId").alias("toolUseId"), C.integer(v, "$.spawnDepth").alias("spawnDepth"), C.string(v, "$.agentType").alias("agentType"))
 
 
 def repair_parents(all_sessions: DataFrame, all_messages: DataFrame) -> DataFrame:
@@ -126,10 +143,15 @@ def repair_parents(all_sessions: DataFrame, all_messages: DataFrame) -> DataFram
 
 def desktop_meta(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, d_title, d_dir, d_date): a desktop client's own record of sessions; the last path wins."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("v", F.try_parse_json("value"))
-    v = F.col("v")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return desktop_of(raw.select(F.col("_metadata.file_path").alias("p"), "value"))
+
+
+def desktop_of(files: DataFrame) -> DataFrame:
+    """desktop_meta() of files (p, value)."""
+    raw, v = files.withColumn("v", F.try_parse_json("value")), F.col("v")
     key = F.coalesce(F.nullif(C.string(v, "$.cliSessionId"), F.lit("")), C.string(v, "$.sessionId"))
-    rows = raw.select(key.alias("session_id"), C.string(v, "$.title").alias("d_title"), F.coalesce(C.string(v, "$.originCwd"), C.string(v, "$.cwd")).alias("d_dir"), F.coalesce(C.millis(v, "$.lastActivityAt"), C.millis(v, "$.createdAt")).alias("d_date"), C.model_name(v, "$.model").alias("d_model"), F.col("_metadata.file_path").alias("p"))
+    rows = raw.select(key.alias("session_id"), C.string(v, "$.title").alias("d_title"), F.coalesce(C.string(v, "$.originCwd"), C.string(v, "$.cwd")).alias("d_dir"), F.coalesce(C.millis(v, "$.lastActivityAt"), C.millis(v, "$.createdAt")).alias("d_date"), C.model_name(v, "$.model").alias("d_model"), "p")
     return rows.where("session_id is not null").groupBy("session_id").agg(F.max_by(F.struct("d_title", "d_dir", "d_date", "d_model"), "p").alias("x")).select("session_id", "x.*")
 
 

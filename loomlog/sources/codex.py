@@ -17,6 +17,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "rollout-*.jsonl").text(path)
     lines = raw.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")).alias("at"), "value")
     times = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed")).distinct()
+    return records_of(lines, times)
+
+
+def records_of(lines: DataFrame, times: DataFrame) -> DataFrame:
+    """Lines (file, at, value) of files last changed at times (file, changed) as records."""
     rows = C.from_lines(lines)
     v = F.col("v")
     rows = rows.withColumn("type", C.string(v, "$.type")).withColumn("ptype", C.string(v, "$.payload.type"))
@@ -80,7 +85,20 @@ def messages(rows: DataFrame) -> DataFrame:
         F.when(told & (F.col("role") == "user"), images).alias("user_refs"),
     )
     out = out.withColumn("tool_result", F.transform("tool_result", lambda r: F.struct(r["ord"].alias("ord"), r["content"].alias("content"), r["is_error"].alias("is_error"), r["tool_use_id"].alias("tool_use_id"), F.lit(None).cast("struct<agent_type:string,model:string,status:string,duration_ms:bigint,tool_uses:bigint,total_tokens:bigint>").alias("subagent"))))
-    return conform(out, MESSAGES)
+    return conform(link_answers(out), MESSAGES)
+
+
+def link_answers(rows: DataFrame) -> DataFrame:
+    """qa of answered request_user_input calls: answers are keyed by the question's id; several are joined."""
+    asked = rows.select("session_id", F.explode("tool_use").alias("t")).where("t.name = 'request_user_input'")
+    asked = asked.select("session_id", F.col("t.tool_use_id").alias("id"), C.array(F.try_parse_json(F.col("t.input")), "$.questions").alias("questions"))
+    told = rows.select("session_id", "message_index", F.explode("tool_result").alias("r")).select("session_id", "message_index", F.col("r.tool_use_id").alias("id"), F.col("r.content").alias("content"))
+    both = told.join(asked, ["session_id", "id"]).select("session_id", "message_index", "content", F.explode("questions").alias("q")).withColumn("key", C.string(F.col("q"), "$.id"))
+    # one path per question, so the answers are parsed to a map by key
+    both = both.withColumn("given", F.from_json("content", "answers map<string,struct<answers:array<string>>>"))
+    answer = F.coalesce(F.array_join(F.try_element_at(F.col("given.answers"), F.col("key"))["answers"], " | "), F.lit(""))
+    qa = F.collect_list(C.asked(F.col("q"), answer))
+    return rows.join(both.where(C.string(F.col("q"), "$.question").isNotNull()).groupBy("session_id", "message_index").agg(qa.alias("qa")), ["session_id", "message_index"], "left")
 
 
 def last_counter(rows: DataFrame) -> DataFrame:

@@ -109,3 +109,15 @@ def tokens(**parts: Column) -> Column:
     none = F.lit(None).cast("bigint")
     made = F.struct(*[parts.get(n, none).cast("bigint").alias(n) for n in names], F.nullif(total.cast("bigint"), F.lit(0).cast("bigint")).alias("total"))
     return F.when(F.nullif(total, F.lit(0)).isNotNull(), made)
+
+
+def asked(q: Column, answer: Column) -> Column:
+    """A question of an interactive call with its option labels (objects or plain strings) and the answer."""
+    options = F.transform(array(q, "$.options"), lambda o: F.nullif(F.coalesce(string(o, "$.label"), string(o, "$")), F.lit("")))
+    return F.struct(F.trim(string(q, "$.question")).alias("question"), F.array_compact(options).alias("options"), answer.alias("answer"))
+
+
+def chosen(v: Column, path: str) -> Column:
+    """The answers at a path, a list or one value, joined; null if there are none."""
+    items = F.filter(F.transform(array(v, path), lambda a: F.coalesce(string(a, "$"), F.to_json(a))), lambda x: x.isNotNull())
+    return F.coalesce(F.when(F.size(items) > 0, F.array_join(items, " | ")), string(v, path))

@@ -39,6 +39,9 @@ def messages(session: DataFrame, message: DataFrame, part: DataFrame) -> DataFra
     files = F.transform(F.filter("parts", lambda p: _kind(p).isin("file", "patch")), lambda p, i: F.struct((i + 1000).alias("ord"), _kind(p).alias("name"), _compact(p["v"]).alias("input"), none.alias("tool_use_id"), F.lit(None).cast("timestamp").alias("ts")))
     done = F.filter("parts", lambda p: (_kind(p) == "tool") & (C.as_text(p["v"], "$.state.output").isNotNull() | (C.string(p["v"], "$.state.status") == "error")))
     results = F.transform(done, lambda p, i: F.struct(i.alias("ord"), F.coalesce(C.as_text(p["v"], "$.state.output"), C.string(p["v"], "$.state.error"), F.lit("")).alias("content"), (C.string(p["v"], "$.state.status") == "error").alias("is_error"), C.string(p["v"], "$.callID").alias("tool_use_id"), F.lit(None).cast("struct<agent_type:string,model:string,status:string,duration_ms:bigint,tool_uses:bigint,total_tokens:bigint>").alias("subagent")))
+    asked = _of("tool", lambda p: F.when(C.string(p["v"], "$.tool") == "question", F.struct(C.array(p["v"], "$.state.input.questions").alias("qs"), C.array(p["v"], "$.state.metadata.answers").alias("as"))))
+    # answers stand in a list beside the questions
+    qa = F.flatten(F.transform(F.array_compact(asked), lambda x: F.transform(F.filter(x["qs"], lambda q: C.string(q, "$.question").isNotNull()), lambda q, i: C.asked(q, F.coalesce(C.chosen(F.get(x["as"], i), "$"), F.lit(""))))))
     refs = _of("file", lambda p: F.struct(F.when(C.string(p["v"], "$.mime").startswith("image/"), F.lit("image")).otherwise(F.lit("attachment")).alias("kind"), C.string(p["v"], "$.filename").alias("target"), F.lit("structured").alias("origin")))
     usage = C.tokens(input=C.integer(v, "$.tokens.input"), output=C.integer(v, "$.tokens.output"), reasoning=C.integer(v, "$.tokens.reasoning"), cache_read=C.integer(v, "$.tokens.cache.read"), cache_write=C.integer(v, "$.tokens.cache.write"))
     w = Window.partitionBy("session_id").orderBy("time_created", "id")
@@ -49,7 +52,7 @@ def messages(session: DataFrame, message: DataFrame, part: DataFrame) -> DataFra
         F.nullif(C.strings(_of("reasoning", lambda p: F.nullif(C.string(p["v"], "$.text"), F.lit("")))), F.lit("")).alias("thinking"),
         F.when(role == "assistant", C.model_name(v, "$.modelID")).alias("model"),
         F.when(role == "assistant", F.concat(calls, files)).otherwise(calls).alias("tool_use"), results.alias("tool_result"),
-        F.when(role == "user", refs).alias("user_refs"), F.when(role == "assistant", usage).alias("tokens"),
+        F.when(F.size(qa) > 0, qa).alias("qa"), F.when(role == "user", refs).alias("user_refs"), F.when(role == "assistant", usage).alias("tokens"),
     )
     return conform(out, MESSAGES)
 

@@ -11,7 +11,12 @@ from . import common as C
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    rows = C.read_jsonl(spark, path).withColumn("type", C.string(F.col("v"), "$.type"))
+    return records_of(C.read_lines(spark, path))
+
+
+def records_of(lines: DataFrame) -> DataFrame:
+    """Lines (file, at, value) as records."""
+    rows = C.from_lines(lines).withColumn("type", C.string(F.col("v"), "$.type"))
     ids = rows.groupBy("file").agg(C.first_in_order(F.when(F.col("type") == "session", C.string(F.col("v"), "$.id")), F.col("line_no")).alias("session_id"))
     return rows.join(ids.where("session_id is not null"), "file")
 

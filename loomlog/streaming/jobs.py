@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import dictionaries as D
 from ..functions.text import labels
-from ..operators.audit import command_of
+from ..operators.audit import command_of, reaction
 from ..operators.normalise import subtype
 
 
@@ -72,3 +72,20 @@ def live_incidents(messages: DataFrame) -> DataFrame:
     calls = messages.select("agent", "session_id", "message_index", "ts", F.explode("tool_use").alias("t")).where(subtype(F.col("t.name")) == "bash")
     rows = calls.withColumn("command", command_of(F.col("t.input"))).withColumn("patterns", labels(F.col("command"), D.DANGER))
     return rows.where(F.size("patterns") > 0).drop("t")
+
+
+def confirm_incidents(batch: DataFrame, messages: DataFrame, window: int = 6) -> DataFrame:
+    """A batch of live incidents with the regret that followed within the next messages stored so far. For foreachBatch, which
+    may see a later message only in a later batch: reread the last batches' incidents then."""
+    keys = ["agent", "session_id", "message_index"]
+    near = messages.join(batch.select("agent", "session_id").distinct(), ["agent", "session_id"], "left_semi")
+    told = reaction(near, D.REGRET, window).select(*keys, "reaction")
+    return batch.join(told, keys, "left").withColumn("confirmed", F.col("reaction").isNotNull())
+
+
+def read_from(lines: DataFrame, offsets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, line_no, ...) past each file's offset (file, line_no; none: from its start), and the new offsets."""
+    new = lines.join(offsets.select("file", F.col("line_no").alias("_seen")), "file", "left").where(F.col("line_no") > F.coalesce("_seen", F.lit(0))).drop("_seen")
+    told = lines.groupBy("file").agg(F.max("line_no").alias("line_no"))
+    kept = offsets.select("file", "line_no").unionByName(told).groupBy("file").agg(F.max("line_no").alias("line_no"))
+    return new, kept
