@@ -25,21 +25,16 @@ def children(sessions: DataFrame) -> DataFrame:
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id): everything below each root along (parent, child), the root itself left out; cycles end by themselves.
 
-    Each round doubles the length of the known paths, so the rounds grow with the logarithm of the depth. A pair is known
-    once, so the loop ends when no new one is found.
+    One round for each level, until a level has nothing new. A pair is met once, so the loop ends.
     """
-    wanted = roots.select(F.col("id").alias("root")).distinct()
-    # only what hangs below a root is followed
-    seen = cut(edges.select("parent", "child").distinct().join(wanted, F.col("parent") == F.col("root"), "left_semi").select(F.col("parent").alias("root"), F.col("child").alias("id")))
-    step, known = cut(edges.select("parent", "child").distinct()), -1
-    while (n := seen.count()) > known:
-        known = n
-        further = seen.join(step, seen.id == step.parent).select("root", F.col("child").alias("id"))
-        seen = cut(seen.unionByName(further).distinct())
-        # paths twice as long, from those nodes that are reached
-        near = step.join(seen.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
-        longer = near.alias("a").join(step.alias("b"), F.col("a.child") == F.col("b.parent")).select(F.col("a.parent").alias("parent"), F.col("b.child").alias("child"))
-        step = cut(near.unionByName(longer).distinct())
+    seen = front = cut(roots.select(F.col("id").alias("root"), "id").distinct())
+    steps, level = cut(edges.select("parent", "child").distinct()), 0
+    while not front.isEmpty():
+        below = front.join(steps, front.id == steps.parent).select("root", F.col("child").alias("id")).distinct()
+        front = cut(below.join(seen, ["root", "id"], "left_anti"))
+        seen, level = seen.unionByName(front), level + 1
+        if level % 8 == 0:
+            seen = cut(seen)
     return seen.where("root <> id")
 
 

@@ -43,17 +43,17 @@ class Stalled(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = max((int(x.timestamp() * 1000) for pdf in rows for x in pdf["ts"].dropna()), default=0)
         old = self.last.get() if self.last.exists() else (0, 0)
         if old[1]:
             self.handle.deleteTimer(old[1])
-        timer = timer_values.getCurrentProcessingTimeInMs() + self.after_ms
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.after_ms
         self.handle.registerTimer(timer)
         self.last.update((max(at, old[0]), timer))
         yield pd.DataFrame({"session_id": pd.Series(dtype=str), "last_ms": pd.Series(dtype="int64")})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = self.last.get()[0]
         self.last.clear()
         yield pd.DataFrame({"session_id": [key[0]], "last_ms": [at]})
