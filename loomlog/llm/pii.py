@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import unused
+from .tables import cut, unused
 
 # The base formats, in the order in which kinds are listed, then the generators' formats.
 BASE = ("email", "ip", "card", "phone")
@@ -214,6 +214,16 @@ def boost(x: np.ndarray, good: np.ndarray, total: np.ndarray, rounds: int = ROUN
     return trees
 
 
+def merged(trees: list) -> list:
+    """Trees that ask the same questions added up to one, so that the expression over the corpus stays short."""
+    shape = lambda t: None if isinstance(t, float) else (t[0], shape(t[1]), shape(t[2]))
+    add = lambda a, b: a + b if isinstance(a, float) else (a[0], add(a[1], b[1]), add(a[2], b[2]))
+    out: dict = {}
+    for t in trees:
+        out[shape(t)] = add(out[shape(t)], t) if shape(t) in out else t
+    return list(out.values())
+
+
 def value_of(tree, x: np.ndarray) -> np.ndarray:
     return np.full(len(x), tree) if isinstance(tree, float) else np.where(x[:, tree[0]], value_of(tree[1], x), value_of(tree[2], x))
 
@@ -225,7 +235,7 @@ def learn(spark: SparkSession, precision: float = PRECISION) -> tuple[list, dict
     kind, bits, half, good, total = (np.array([r[c] for r in rows]) for c in ("kind", "bits", "half", "good", "total"))
     x = np.column_stack([*((bits >> i) & 1 for i in range(N_FEATURES)), *(kind == k for k in range(len(KINDS)))]).astype(bool)
     grown = half == 0
-    trees = boost(x[grown], good[grown].astype(float), total[grown].astype(float))
+    trees = merged(boost(x[grown], good[grown].astype(float), total[grown].astype(float)))
     score, least = sum(value_of(t, x) for t in trees), {}
     for k in range(len(BASE), len(KINDS)):
         own = np.flatnonzero((kind == k) & ~grown)
@@ -257,7 +267,8 @@ def selected(trees: list, least: dict[int, float]) -> Column:
 
 def spans(documents: DataFrame) -> DataFrame:
     """Selected spans, and one row with a null kind per document: row, doc_id, k (number of the kind), kind (name), base, start, end."""
-    kept = candidates(documents).where(F.col("kind").isNull() | selected(*learn(documents.sparkSession)))
+    # written once: else the trees' expression would be laid over that of every feature they ask for
+    kept = cut(candidates(documents)).where(F.col("kind").isNull() | selected(*learn(documents.sparkSession)))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     return kept.select("row", "doc_id", F.col("kind").alias("k"), name.alias("kind"), (F.col("kind") < len(BASE)).alias("base"), "start", "end")
 
