@@ -341,19 +341,20 @@ def verify(pairs: DataFrame, reduced: DataFrame, similarity: float) -> DataFrame
 def components(links: DataFrame) -> DataFrame:
     """(c, root): the least class reachable, for classes with links. Until none changes, each class and each root takes the least
     label beside it (of a root: beside any class under it), then the label's own label. The rounds grow with the logarithm of a
-    chain's length; labels only fall, so the loop ends."""
+    chain's length; labels only fall, so the loop ends. While the links are counted to be few, labels are broadcast to them."""
     edges = cut(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct())
-    label = edges.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    label = cut(label)
+    # there are no more classes than edges
+    side = F.broadcast if edges.count() <= BROADCAST_KEYS else lambda df: df
+    label = cut(edges.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     changed = True
     while changed:
-        near = edges.join(label, edges.b == label.c).groupBy(F.col("a").alias("c")).agg(F.min("root").alias("near"))
+        near = edges.join(side(label), edges.b == label.c).groupBy(F.col("a").alias("c")).agg(F.min("root").alias("near"))
         own = F.struct("c", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         hook = F.struct(F.col("root").alias("c"), F.col("near").alias("root"), F.lit(None).cast("long").alias("was"))
-        told = label.join(near, "c").select(F.explode(F.array(own, hook)).alias("x")).select("x.*")
+        told = near.join(side(label), "c").select(F.explode(F.array(own, hook)).alias("x")).select("x.*")
         step = told.groupBy("c").agg(F.min("root").alias("root"), F.max("was").alias("was"))
         jump = label.select(F.col("c").alias("root"), F.col("root").alias("far"))
-        new = cut(step.join(jump, "root", "left").select("c", F.least("root", F.coalesce("far", "root")).alias("root"), "was"))
+        new = cut(step.join(side(jump), "root", "left").select("c", F.least("root", F.coalesce("far", "root")).alias("root"), "was"))
         changed = not new.where("root <> was").isEmpty()
         label = new.select("c", "root")
     return label
