@@ -76,19 +76,22 @@ def redact(text: Column) -> Column:
     Texts without any pattern's signs cost a few searches for literals; those in which one type fires cost that type's
     pattern; only where several fire, which may overlap, all are looked for at once.
     """
-    fires = [_fires(text, name, p) for name, p in D.SECRETS]
-    n = sum((F.when(x, 1).otherwise(0) for x in fires), F.lit(0))
-    whole = _redact_all(text)
-    masked, hits = F.when(n == 0, text), F.when(n == 0, F.array().cast("array<string>"))
-    for (name, p), x in zip(D.SECRETS, fires, strict=True):
-        value = re.search(r"(?<!\\)\((?!\?)", p)
-        shown = F.lit(f"{D.MASK}{name}]")
-        # the value is the tail of its match
-        one = F.regexp_replace(text, F.lit(p), shown) if value is None else F.regexp_replace(text, F.lit(f"({p[: value.start()]}){p[value.start() :]}"), F.concat(F.lit("$1"), shown))
-        masked = masked.when((n == 1) & x, one)
-        hits = hits.when((n == 1) & x, F.array_repeat(F.lit(name), F.regexp_count(text, F.lit(p))))
-    none = text.isNull()
-    return F.struct(F.when(none, text).otherwise(masked.otherwise(whole["text"])).alias("text"), F.when(none, F.array().cast("array<string>")).otherwise(hits.otherwise(whole["hits"])).alias("hits"))
+    code = sum((F.when(_fires(text, name, p), 1 << i).otherwise(0) for i, (name, p) in enumerate(D.SECRETS)), F.lit(0))
+    none = F.array().cast("array<string>")
+    told = lambda masked, hits: F.struct(masked.alias("text"), hits.alias("hits"))
+
+    def masked(c):
+        out = F.when(text.isNull() | (c == 0), told(text, none))
+        for i, (name, p) in enumerate(D.SECRETS):
+            value = re.search(r"(?<!\\)\((?!\?)", p)
+            shown = F.lit(f"{D.MASK}{name}]")
+            # the value is the tail of its match
+            one = F.regexp_replace(text, F.lit(p), shown) if value is None else F.regexp_replace(text, F.lit(f"({p[: value.start()]}){p[value.start() :]}"), F.concat(F.lit("$1"), shown))
+            out = out.when(c == 1 << i, told(one, F.array_repeat(F.lit(name), F.regexp_count(text, F.lit(p)))))
+        return out.otherwise(_redact_all(text))
+
+    # the list of one item binds the code, so that it is worked out once
+    return F.get(F.transform(F.array(code), masked), F.lit(0))
 
 
 def _redact_all(text: Column) -> Column:

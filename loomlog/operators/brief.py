@@ -37,8 +37,9 @@ def audit_brief(events: DataFrame, messages: DataFrame, errors: DataFrame | None
     tools = F.concat(F.lit("## Tools\n"), F.coalesce(F.concat_ws(" ", F.col("calls").cast("string"), "by_kind"), F.lit("0")))
     base = [part("User", "turns"), part("Plans", "plan_titles"), tools]
     ladder = [[*base, part("Plan bodies", "plan_bodies"), part("Files", "files"), part("Errors", "errors")], [*base, part("Plan bodies", "plan_bodies"), part("Files", "files")], [*base, part("Plan bodies", "plan_bodies")], base]
-    for i, parts in enumerate(ladder):
-        rows = rows.withColumn(f"_b{i}", redact(F.concat_ws("\n", *parts))["text"])
+    # the texts in columns of their own, as the mask reads them many times
+    rows = rows.withColumns({f"_c{i}": F.concat_ws("\n", *parts) for i, parts in enumerate(ladder)})
+    rows = rows.withColumns({f"_b{i}": redact(F.col(f"_c{i}"))["text"] for i in range(len(ladder))})
     chosen = F.coalesce(*[F.when(F.length(f"_b{i}") <= budget, F.col(f"_b{i}")) for i in range(4)], F.col("_b3"))
     level = F.coalesce(*[F.when(F.length(f"_b{i}") <= budget, F.lit(i)) for i in range(4)], F.lit(3))
     return rows.select(*SESSION, chosen.alias("brief"), level.alias("dropped"), (F.length("_b3") > budget).alias("over_budget"), "calls", "n_files")
@@ -52,4 +53,4 @@ def markdown(sessions: DataFrame, messages: DataFrame, events: DataFrame) -> Dat
     rows = sessions.join(goal, list(SESSION), "left").join(made, list(SESSION), "left").join(footprint(events), list(SESSION), "left")
     section = lambda title, c: F.concat(F.lit(f"## {title}\n"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)")))
     doc = F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled"))), section("Goal", "goal"), section("Files touched", "files"), section("Decisions", "decisions"), section("Last request", "last"))
-    return rows.select(*SESSION, redact(doc)["text"].alias("document"))
+    return rows.select(*SESSION, doc.alias("document")).withColumn("document", redact(F.col("document"))["text"])

@@ -564,13 +564,22 @@ def recency(spark, sf_dir):
     return sessions.recency(s.crossJoin(F.broadcast(now)), F.col("now"), 3600).select("session_id", "age_sec", "stale")  # one row
 
 
-@register()
+@register(f"""WITH {LOG}, x AS (SELECT *, {_SAID} AS said, CASE tool WHEN 'Bash' THEN '{{"command":"' || CASE k % 4 WHEN 0 THEN 'rm -rf /home/x' WHEN 1 THEN 'git push --force' WHEN 2 THEN 'git push --force-with-lease' ELSE 'ls -la' END || '"}}' ELSE '{{"file_path":"src/m' || (k % 7) || '.py","k":' || k || '}}' END AS body FROM log),
+u AS (SELECT session_id, string_agg('> ' || said, chr(10) ORDER BY seq) AS turns FROM x WHERE tool IS NULL GROUP BY 1),
+n AS (SELECT session_id, kind, count(*) AS n FROM x WHERE tool IS NOT NULL GROUP BY 1, 2), t AS (SELECT session_id, CAST(sum(n) AS BIGINT) AS calls, string_agg(kind || ':' || n, ',' ORDER BY kind || ':' || n) AS by_kind FROM n GROUP BY 1),
+f AS (SELECT session_id, 'src/m' || (k % 7) || '.py' AS file, count(*) AS n FROM x WHERE tool = 'Edit' GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, file) AS r FROM f),
+fs AS (SELECT session_id, count(*) AS n_files, string_agg(n || '× ' || file, chr(10) ORDER BY r) FILTER (WHERE r <= 20) AS files FROM fr GROUP BY 1),
+prior AS (SELECT session_id, tool, lag(CASE WHEN tool IS NOT NULL THEN event_id END) OVER (PARTITION BY session_id ORDER BY seq) AS id FROM log), bad AS (SELECT DISTINCT session_id, id FROM prior WHERE tool = 'Bash' AND id IS NOT NULL),
+e AS (SELECT x.session_id, x.seq, x.tool || ' ' || body AS detail, row_number() OVER (PARTITION BY x.session_id ORDER BY seq) AS r FROM x JOIN bad ON x.session_id = bad.session_id AND x.event_id = bad.id), es AS (SELECT session_id, string_agg(detail, chr(10) ORDER BY seq) AS errors FROM e WHERE r <= 10 GROUP BY 1),
+b AS (SELECT u.session_id, concat_ws(chr(10), '## User' || chr(10) || turns, '## Tools' || chr(10) || coalesce(calls || ' ' || by_kind, '0')) AS base, '## Files' || chr(10) || files AS files, '## Errors' || chr(10) || errors AS errors, calls, coalesce(n_files, 0) AS n_files FROM u LEFT JOIN t USING (session_id) LEFT JOIN fs USING (session_id) LEFT JOIN es USING (session_id)),
+l AS (SELECT *, concat_ws(chr(10), base, files, errors) AS b0, concat_ws(chr(10), base, files) AS b1 FROM b)
+SELECT session_id, CASE WHEN length(b0) <= 700 THEN b0 WHEN length(b1) <= 700 THEN b1 ELSE base END AS brief, CASE WHEN length(b0) <= 700 THEN 0 WHEN length(b1) <= 700 THEN 1 WHEN length(base) <= 700 THEN 2 ELSE 3 END AS dropped, length(base) > 700 AS over_budget, calls, n_files FROM l""")
 def audit_brief(spark, sf_dir):
     """A digest of each session within a budget."""
     m = _with_errors_as_results(_talk(spark, sf_dir))
     e = normalise.events(m)
     bad = normalise.with_errors(e, m).where("is_error").withColumn("detail", F.concat_ws(" ", "tool", "body"))
-    return brief.audit_brief(e, m, bad, budget=3000)
+    return brief.audit_brief(e, m, bad, budget=700).drop("agent")
 
 
 @register("SELECT count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
