@@ -89,11 +89,11 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         at = to
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and each row's first word (one more entry than rows)."""
+def words(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and each row's first word (one more entry than rows). space: which bytes are in no word."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~space[buf]
     first = np.zeros(len(buf) + 1, dtype=bool)
     first[offs] = True
     before = np.empty(len(buf), dtype=bool)

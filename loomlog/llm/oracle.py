@@ -1,6 +1,7 @@
 """SQL of the numbered queries that SQL can state, each over its whole table."""
 
 from .chat_format import END, MIDDLE, START
+from .collocations import LONGEST, SUPPORT, TOP
 from .decontaminate import WINDOW
 from .jaccard_join import SHINGLE
 from .substring_dedup import LENGTH
@@ -43,4 +44,18 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(other) FROM r WHERE r.doc_id = w.doc_id), w.doc_id)) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id"""
 
-ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op3_chat_format": CHATS, "op4_decontaminate": LEAKS, "op9_jaccard_join": NEAR_COPIES}
+_SPLIT = r"regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"
+COLLOCATIONS = rf"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest({_SPLIT}) AS piece FROM documents)),
+size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, w[i:i + m - 1] AS ph FROM p, unnest(range(1, len(w) + 1)) AS r(i), unnest(range(1, {LONGEST + 1})) AS s(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, ph, count(*) AS f FROM g GROUP BY lang, ph HAVING count(*) >= {SUPPORT}),
+c AS (SELECT lang, ph, f AS a, k FROM f, unnest(range(1, len(ph))) AS r(k) WHERE len(ph) > 1),
+s AS (SELECT c.lang, c.ph, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM c JOIN size USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[k + 1:len(c.ph)]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS first FROM s),
+longer AS (SELECT lang, ph[i:i + m - 1] AS ph, max(f) AS most FROM f, unnest(range(1, len(ph) + 1)) AS r(i), unnest(range(2, len(ph))) AS t(m) WHERE i + m - 1 <= len(ph) GROUP BY ALL),
+k AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b LEFT JOIN longer ON b.lang = longer.lang AND b.ph = longer.ph WHERE first = 1 AND coalesce(most, 0) < a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k) WHERE rank <= {TOP}"""
+
+
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op3_chat_format": CHATS, "op4_decontaminate": LEAKS, "op9_jaccard_join": NEAR_COPIES, "op13_collocations": COLLOCATIONS}

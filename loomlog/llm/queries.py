@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, hash_tree, jaccard_join, link_trust, pii, quality, source_mix, substring_dedup, suffix_array_dedup
+from . import chat_format, collocations, decontaminate, fingerprint, hash_tree, jaccard_join, link_trust, pii, prefix_trie, quality, source_mix, substring_dedup, suffix_array_dedup
 from .oracle import ORACLE_SQL
 
 
@@ -69,9 +69,17 @@ def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_link_trust, op2_substring_dedup, op3_chat_format, op4_decontaminate, op5_pii, op6_fingerprints, op7_quality, op8_source_mix, op9_jaccard_join, op10_suffix_array_dedup, op11_hash_tree)
+    for f in (op1_link_trust, op2_substring_dedup, op3_chat_format, op4_decontaminate, op5_pii, op6_fingerprints, op7_quality, op8_source_mix, op9_jaccard_join, op10_suffix_array_dedup, op11_hash_tree, op12_prefix_trie, op13_collocations)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
