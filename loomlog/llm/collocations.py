@@ -42,7 +42,7 @@ SCALE = 1_000
 SHARD_WORDS = 1 << 22
 #: Bits of the map of phrases that may be frequent: 16 MiB.
 MAP_BITS = 27
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SALTS = 64
 #: A word of any piece, as a pattern over whole texts.
@@ -54,9 +54,12 @@ _OUTSIDE = _STOP.copy()
 _OUTSIDE[list(BLANKS)] = True
 
 
-def _seed(lang: str, n: int) -> np.uint64:
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _seed(lang: str) -> np.uint64:
     raw = lang.encode()
-    return K.mix(np.array([zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1], n)], np.uint64))[0] + np.uint64(n)
+    return K.mix(np.array([zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1], 1)], np.uint64))[0]
 
 
 class Words:
@@ -67,34 +70,47 @@ class Words:
         self.starts, self.ends, first = K.words(buf, offs, _OUTSIDE)
         self.hashes = K.word_hashes(self.text, self.starts, self.ends)
         row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-        self.piece = np.cumsum(_STOP[buf])[self.starts] + row if len(buf) else row
+        self.piece = (np.cumsum(_STOP[buf])[self.starts] + row if len(buf) else row).astype(np.int32)
 
     def phrase(self, i: int, n: int) -> bytes:
         return b" ".join(self.text[self.starts[j] : self.ends[j]].tobytes() for j in range(i, i + n))
 
 
-def grams(hashes: np.ndarray, piece: np.ndarray, at: np.ndarray, n: int, seed: np.uint64, roll: K.Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the positions at which a phrase of n words of one piece begins, and its hashes."""
-    at = at[at + n <= len(hashes)]
-    at = at[piece[at] == piece[at + n - 1]]
-    return at, K.mix(roll.slices(at, at + n) ^ seed)
+class Grams:
+    """Phrases of 1, 2, ... words: ``at``, where they begin, and ``hashes``. Each step keeps those of which both shorter parts were kept."""
+
+    def __init__(self, hashes: np.ndarray, piece: np.ndarray, lang: str):
+        self.words, self.piece, self.n = hashes, piece, 1
+        self.at = np.arange(len(hashes), dtype=np.int32)
+        self.hashes = K.mix(hashes ^ _seed(lang))
+
+    def longer(self, kept: np.ndarray) -> None:
+        """On to one word more, from the phrases that are kept (a mask over ``at``)."""
+        alive = np.zeros(len(self.words) + 1, bool)
+        alive[self.at[kept]] = True
+        kept = kept & alive[self.at + 1] & (self.at + self.n < len(self.words))
+        self.at, h = self.at[kept], self.hashes[kept]
+        same = self.piece[self.at] == self.piece[self.at + self.n]
+        self.at, h = self.at[same], h[same]
+        self.hashes = K.mix(h * _STEP + self.words[self.at + self.n])
+        self.n += 1
 
 
 def mine(hashes: np.ndarray, piece: np.ndarray, lang: str, least: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of all phrases that occur at least so often here."""
-    roll, alive = K.Rolling(hashes), np.ones(len(hashes) + 1, bool)
-    alive[-1] = False
-    out_h, out_c = [], []
-    for n in range(1, longest + 1):
-        at, h = grams(hashes, piece, np.flatnonzero(alive[:-1] & (alive[1:] if n > 1 else True)), n, _seed(lang, n), roll)
-        order, bounds = packed.groups(h)
+    g, out_h, out_c = Grams(hashes, piece, lang), [], []
+    while True:
+        order, bounds = packed.groups(g.hashes)
         counts = np.diff(bounds)
         often = counts >= least
-        out_h.append(h[order][bounds[:-1][often]])
+        out_h.append(g.hashes[order[bounds[:-1][often]]])
         out_c.append(counts[often])
-        alive = np.zeros(len(hashes) + 1, bool)
-        alive[at[order[np.repeat(often, counts)]]] = True
-    return np.concatenate(out_h), np.concatenate(out_c)
+        if g.n == longest:
+            return np.concatenate(out_h), np.concatenate(out_c)
+        kept = np.zeros(len(order), bool)
+        kept[order[np.repeat(often, counts)]] = True
+        del order
+        g.longer(kept)
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
@@ -120,8 +136,13 @@ def shards(docs: DataFrame, support: int, ranges: int, shard_words: int = SHARD_
         words = 0
 
         def flush():
-            for lang, parts in held.items():
+            for lang in list(held):
+                # a shard is let go language by language
+                parts = held.pop(lang)
+                if not parts:
+                    continue
                 h, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+                del parts
                 slack = max(1, _ceil(support * len(h), max(1, total[lang]))) - 1
                 found, counts = mine(h, p, lang, slack + 1)
                 dealt = packed.pack(found.view(np.int64), ranges, found, (counts - slack).astype(np.uint32))
@@ -134,7 +155,8 @@ def shards(docs: DataFrame, support: int, ranges: int, shard_words: int = SHARD_
                 for _, buf, offs in K.chunks(texts, CHUNK):
                     w = Words(buf, offs)
                     parts = held.setdefault(lang, [])
-                    parts.append((w.hashes, w.piece + (parts[-1][1][-1] + 1 if parts and len(parts[-1][1]) else 0)))
+                    if len(w.hashes):
+                        parts.append((w.hashes, w.piece + np.int32(parts[-1][1][-1] + 1 if parts else 0)))
                     words += len(w.hashes)
                     if words >= shard_words:
                         yield from flush()
@@ -205,19 +227,18 @@ def counted(docs: DataFrame, known, bits: int = MAP_BITS, longest: int = LONGEST
                 found = held.setdefault(lang, {})
                 for _, buf, offs in K.chunks(texts, CHUNK):
                     w = Words(buf, offs)
-                    roll, alive = K.Rolling(w.hashes), np.ones(len(w.hashes) + 1, bool)
-                    alive[-1] = False
-                    for n in range(1, longest + 1):
-                        at, h = grams(w.hashes, w.piece, np.flatnonzero(alive[:-1] & (alive[1:] if n > 1 else True)), n, _seed(lang, n), roll)
-                        place = (h >> np.uint64(64 - bits)).astype(np.int64)
+                    g = Grams(w.hashes, w.piece, lang)
+                    while True:
+                        place = (g.hashes >> np.uint64(64 - bits)).astype(np.int64)
                         may = (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
-                        at, h = at[may], h[may]
-                        alive = np.zeros(len(w.hashes) + 1, bool)
-                        alive[at] = True
-                        order, bounds = packed.groups(h)
+                        at = g.at[may]
+                        order, bounds = packed.groups(g.hashes[may])
                         for i, c in zip(at[order[bounds[:-1]]].tolist(), np.diff(bounds).tolist(), strict=True):
-                            p = w.phrase(i, n)
+                            p = w.phrase(i, g.n)
                             found[p] = found.get(p, 0) + c
+                        if g.n == longest:
+                            break
+                        g.longer(may)
                     words += len(w.hashes)
                 if words >= shard_words:
                     yield from flush()
