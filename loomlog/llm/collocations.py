@@ -8,8 +8,8 @@
 2. *Union.* Reports meet by hash. A phrase can reach the support only if its reported counts, and one less than the local
    support for each shard that didn't report it, add up to the support. With so many shards that local supports are 1
    this leaves exactly the frequent ones. The survivors mark bits of one map of fixed size.
-3. *Exact counts.* Every shard counts its phrases that the map knows, by text; Spark adds them up by text. False hits of
-   the map cost a row and change nothing.
+3. *Exact counts.* Every shard counts its phrases that the map knows, by text, and sends them packed by range of texts,
+   where they are added up. False hits of the map cost an entry and change nothing.
 
 Every part of a frequent phrase is frequent, so the counts of the parts of all cuts, and the longer phrases that swallow
 a candidate, are found by joins among the frequent phrases. Products are decimals of 38 digits, so nothing overflows.
@@ -209,18 +209,22 @@ def survivors(reported: DataFrame, support: int, partitions: int, bits: int = MA
     return out
 
 
-def counted(docs: DataFrame, known, bits: int = MAP_BITS, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, phrase, c): how often each shard holds the phrases that the map (a broadcast) knows."""
+def counted(docs: DataFrame, known, support: int, ranges: int, partitions: int, bits: int = MAP_BITS, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(lang, phrase, f) of the phrases that the map (a broadcast) knows and that all shards together hold often enough.
 
-    def run(batches):
+    A shard sends its counts as one row for each range of texts, and a task adds up one range and language at a time.
+    """
+
+    def count(batches):
         bitmap, held, words = known.value, {}, 0
 
         def flush():
             for lang, found in held.items():
-                names = list(found)
-                for i in range(0, len(names), 100_000):
-                    part = names[i : i + 100_000]
-                    yield pa.record_batch([pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([found[x] for x in part], pa.int64())], names=["lang", "phrase", "c"])
+                dealt: dict[int, list[bytes]] = {}
+                for p in found:
+                    dealt.setdefault(zlib.crc32(p) * ranges >> 32, []).append(p)
+                for r, part in dealt.items():
+                    yield pa.record_batch([pa.array([r], pa.int32()), pa.array([lang]), pa.array([part], pa.list_(pa.binary())), pa.array([[found[p] for p in part]], pa.list_(pa.int64()))], names=["r", "lang", "phrases", "counts"])
 
         for batch in batches:
             for lang, _, texts in _by_lang(batch):
@@ -243,10 +247,27 @@ def counted(docs: DataFrame, known, bits: int = MAP_BITS, longest: int = LONGEST
                 if words >= shard_words:
                     yield from flush()
                     held, words = {}, 0
-                    found = None
         yield from flush()
 
-    return docs.mapInArrow(run, "lang string, phrase string, c long")
+    def add_up(batches):
+        at, sums = None, {}
+
+        def often():
+            part = [(p, c) for p, c in sums.items() if c >= support]
+            if part:
+                yield pa.record_batch([pa.array([at[1]] * len(part)), pa.array([p for p, _ in part], pa.binary()).cast(pa.string()), pa.array([c for _, c in part], pa.int64())], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for i, key in enumerate(zip(batch.column("r").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
+                if key != at:
+                    yield from often()
+                    at, sums = key, {}
+                for p, c in zip(batch.column("phrases")[i].as_py(), batch.column("counts")[i].as_py(), strict=True):
+                    sums[p] = sums.get(p, 0) + c
+        yield from often()
+
+    sent = docs.mapInArrow(count, "r int, lang string, phrases array<binary>, counts array<long>")
+    return sent.repartition(partitions, "r").sortWithinPartitions("r", "lang").mapInArrow(add_up, "lang string, phrase string, f long")
 
 
 def frequent(docs: DataFrame, support: int = SUPPORT, shard_words: int = SHARD_WORDS, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
@@ -261,8 +282,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shard_words: int = SHARD_W
     dealt = texts.join(sizes, "lang").coalesce(max(spark.sparkContext.defaultParallelism, total // shard_words + 1))
     reported = cut(shards(dealt, support, 8 * partitions, shard_words))
     known = spark.sparkContext.broadcast(survivors(reported, support, partitions, bits))
-    sums = counted(dealt, known, bits, shard_words=shard_words).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
-    return cut(sums.where(F.col("f") >= support)), sizes
+    return cut(counted(dealt, known, support, 8 * partitions, partitions, bits, shard_words=shard_words)), sizes
 
 
 def _words(column) -> F.Column:
