@@ -11,14 +11,21 @@ MAX_LINE = 16 * 1024 * 1024
 MAX_FILE = 1024 * 1024 * 1024
 
 
-def from_lines(lines: DataFrame, max_line: int = MAX_LINE, max_file: int = MAX_FILE) -> DataFrame:
-    """(file, at, value) -> (file, line_no, v): objects only, in file order, up to max_file characters a file."""
+def from_lines(lines: DataFrame, max_line: int | None = MAX_LINE, max_file: int | None = MAX_FILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(file, at, value) -> (file, line_no, v) and the columns in ``keep``: objects only, in file order.
+
+    Lines of more than ``max_line`` characters, and what follows the first ``max_file`` characters of a file, are left out; None: nothing is.
+    """
     w = Window.partitionBy("file").orderBy("at")
     text = F.make_valid_utf8("value")
-    rows = lines.withColumn("size", F.length("value").cast("long")).where(F.col("size") <= max_line)
-    rows = rows.withColumn("line_no", F.row_number().over(w)).withColumn("read", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where(F.col("read") <= max_file).withColumn("v", F.try_parse_json(text))
-    return rows.where("schema_of_variant(v) like 'OBJECT%'").select("file", "line_no", "v")
+    rows = lines.withColumn("size", F.length("value").cast("long")).where("size is not null")
+    if max_line is not None:
+        rows = rows.where(F.col("size") <= max_line)
+    rows = rows.withColumn("line_no", F.row_number().over(w))
+    if max_file is not None:
+        rows = rows.withColumn("read", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("read") <= max_file)
+    rows = rows.withColumn("v", F.try_parse_json(text))
+    return rows.where("schema_of_variant(v) like 'OBJECT%'").select("file", "line_no", "v", *keep)
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:

@@ -42,3 +42,70 @@ def test_sessions_need_no_exchange_when_bucketed(spark, tmp_path):
     plan = normalise.previous_text(spark.table("bucketed_messages"))._jdf.queryExecution().executedPlan().toString()
     spark.sql("drop table bucketed_messages")
     assert "Exchange" not in plan
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def test_incidents_are_confirmed_in_later_batches(spark, tmp_path):
+    """Against a loop, over micro-batches that cut the sessions anywhere."""
+    import random
+
+    from loomlog.schema import MESSAGES, conform
+
+    r = random.Random(7)
+    rows = []
+    for s in range(30):
+        for i in range(r.randint(1, 40)):
+            command = r.choice(["ls", "ls", "git reset --hard", "rm -rf /tmp/x"])
+            rows.append((f"s{s}", i, r.choice(["fine", "fine", "fine", "fine", "Sorry, I accidentally deleted it"]), command))
+    flat = spark.createDataFrame(rows, "session_id string, message_index long, text string, command string")
+    tool = F.array(F.struct(F.lit(0).alias("ord"), F.lit("Bash").alias("name"), F.to_json(F.struct("command")).alias("input"), F.lit(None).cast("string").alias("tool_use_id"), F.lit(None).cast("timestamp").alias("ts")))
+    m = conform(flat.withColumn("agent", F.lit("claude")).withColumn("role", F.lit("user")).withColumn("tool_use", tool), MESSAGES)
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.conf.set(STORE, ROCKS)
+    try:
+        for lo in range(0, 40, 10):
+            m.where((F.col("message_index") >= lo) & (F.col("message_index") < lo + 10)).coalesce(1).write.mode("append").parquet(src)
+            stream = jobs.confirmed_incidents(spark.readStream.schema(m.schema).parquet(src))
+            jobs.ingest(stream, lambda s: s, out, str(tmp_path / "state"), None).awaitTermination()
+    finally:
+        spark.conf.unset(STORE)
+    want = set()
+    by = {}
+    for s, i, text, command in rows:
+        by.setdefault(s, []).append((i, "accidentally" in text, command != "ls"))
+    for s, said in by.items():
+        for i, _, danger in said:
+            near = [j - i for j, regret, _ in said if regret and i < j <= i + 6]
+            if danger and (near or len(said) > i + 6):
+                want.add((s, i, near[0] if near else None, bool(near)))
+    got = [(x.session_id, x.message_index, x.reaction_offset, x.confirmed) for x in spark.read.parquet(out).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want and len({x[3] for x in got}) == 2
+
+
+def test_the_same_batch_again_changes_nothing(spark, tmp_path):
+    from loomlog.sources import tail
+
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.jsonl").write_text("1\n2\n3\n")
+    (src / "b.jsonl").write_text("x\n")
+
+    def run():
+        stream = tail.follow(spark, str(src), str(tmp_path / "log"))
+        jobs.ingest_merged(stream, lambda d: d, out, str(tmp_path / "state")).awaitTermination()
+        return sorted((x.file.rsplit("/", 1)[1], x.start, x.value) for x in jobs.merged(spark, out).collect())
+
+    assert run() == [("a.jsonl", 0, "1"), ("a.jsonl", 2, "2"), ("a.jsonl", 4, "3"), ("b.jsonl", 0, "x")]
+    with (src / "b.jsonl").open("a") as f:
+        f.write("y\n")
+    (src / "a.jsonl").write_text("new\n")  # shorter: replaced
+    want = [("a.jsonl", 0, "new"), ("b.jsonl", 0, "x"), ("b.jsonl", 2, "y")]
+    assert run() == want == run()
+    again = spark.read.parquet(f"{out}/batch=1").collect()
+    jobs.keep_batch(spark.createDataFrame(again, "file string, start long, size long, value string"), 1, out)
+    assert run() == want
+    assert jobs.compact(spark, out, str(tmp_path / "compacted")) == 1
+    assert sorted((x.file.rsplit("/", 1)[1], x.start, x.value) for x in jobs.merged(spark, str(tmp_path / "compacted")).collect()) == want
