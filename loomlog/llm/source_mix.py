@@ -3,10 +3,10 @@
 Slot i of the mix has the golden-ratio point frac((i + 1) * phi), which falls into one
 source's share of [0, 1); any run of slots thus holds each source close to its share.
 A source's documents are shuffled by hash and laid end to end, twice if its target needs
-it, and cut into blocks of equal token counts; its r-th slot takes its r-th block. The
-schedule comes within a block or so of each target. What a source then lacks is taken at
-the end of the mix, and its last block is cut where its target is met, so that a source
-whose target is less than a block isn't lost.
+it, and cut into blocks of equal token counts; its r-th slot takes its r-th block, and a
+block without slot isn't taken. A source stops within the block in which its target is
+met, and slots go on until all have stopped. One whose share is too small for a slot takes
+one block at the end of the mix.
 
 What goes through windows without partitions is one row for each source, not one for each
 document.
@@ -96,7 +96,8 @@ def _before(column: str, by: list[str], order: list) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, slots: int = SLOTS, most: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target of its source, and taken, its words in the mix.
+    """Per document: doc_id, size, source, source_size, target of its source, taken, its words in the mix, first_slot, where the
+    mix first takes it (null: never), and taken_early, its words in the first tenth of the slots.
 
     Running sums go by bucket of the shuffle first, so a source with most of the rows is
     spread over many tasks.
@@ -115,11 +116,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     passes = passes.where(F.col("from") < F.col("whole")).withColumn("to", F.least("to", "whole"))
     pieces = passes.select("sid", "start", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
     pieces = pieces.withColumn("words", F.least(F.col("to"), (F.col("rank") + 1) * block) - F.greatest(F.col("from"), F.col("rank") * block))
-    dealt = schedule(shares, n).select("sid", "rank")
-    # blocks for which a source has no slot
+    # twice the slots, as some sources meet their targets a few slots late
+    dealt = cut(schedule(shares, 2 * n))
+    # a source that is short of its target takes one block more, at the end of the mix
     had = shares.select("sid", F.ceil(F.round("target") / block).alias("blocks")).join(dealt.groupBy("sid").agg(F.count(F.lit(1)).alias("slots")), "sid", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
-    late = had.where("slots < blocks").select("sid", F.explode(F.sequence("slots", F.col("blocks") - 1)).alias("rank"))
-    taken = pieces.join(dealt.unionByName(late), ["sid", "rank"]).groupBy("sid", "start").agg(F.sum("words").alias("taken"))
-    taken = taken.select(F.col("sid").alias("tid"), F.col("start").alias("ts"), "taken")
+    last = had.where("slots < blocks").select("sid", (F.lit(2 * n) + F.col("sid") - 1).alias("slot"), F.col("slots").alias("rank"))
+    words, early = F.col("words"), F.col("slot") < n // 10
+    taken = pieces.join(dealt.unionByName(last), ["sid", "rank"]).groupBy("sid", "start").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"), F.sum(F.when(early, words).otherwise(0)).alias("taken_early"))
+    taken = taken.select(F.col("sid").alias("tid"), F.col("start").alias("ts"), "taken", "first_slot", "taken_early")
     out = placed.join(taken, (F.col("sid") == F.col("tid")) & (F.col("start") == F.col("ts")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    nothing = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "size", "source", "source_size", "target", nothing("taken"), "first_slot", nothing("taken_early"))

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlog.llm import chat_format, decontaminate, fingerprint, link_trust, pii, quality, queries, source_mix
@@ -371,3 +372,27 @@ def test_quality_trains_on_one_row_of_an_id(spark):
     assert quality.train(docs.limit(0), labels).cut == 0.0
     left = quality.keep(docs, ranker)
     assert left.columns == docs.columns and {x.doc_id for x in left.select("doc_id").collect()} <= {0, 1}
+
+
+def test_mix_follows_its_schedule(spark, monkeypatch):
+    """Which blocks are taken, and when, is the schedule's doing; every tenth of the mix holds the sources near their shares."""
+    rows = [(i, " ".join("w" * (i % 7 + 3)), f"s{i % 3}") for i in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in source_mix.mix(df, slots=2_000).collect()}
+    total, early, target = {}, {}, {}
+    for r in got.values():
+        total[r.source] = total.get(r.source, 0) + r.taken
+        early[r.source] = early.get(r.source, 0) + r.taken_early
+        target[r.source] = r.target
+    block = source_mix.block_words(sum(target.values()), 2_000, source_mix.BLOCK_WORDS)[1]
+    for s in target:
+        assert abs(total[s] - target[s]) <= 1 and abs(early[s] - target[s] / 10) <= 3 * block
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got.values())
+
+    real = source_mix.schedule
+    monkeypatch.setattr(source_mix, "schedule", lambda shares, n: real(shares, n).where(F.col("slot") < n // 4))
+    half = source_mix.mix(df, slots=2_000).groupBy("source").agg(F.sum("taken").alias("taken")).collect()
+    assert all(r.taken <= 0.6 * total[r.source] for r in half)
+    monkeypatch.setattr(source_mix, "schedule", lambda shares, n: real(shares, n).withColumn("slot", n - 1 - F.col("slot")).withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1))
+    turned = {r.doc_id: r.first_slot for r in source_mix.mix(df, slots=2_000).collect()}
+    assert turned != {d: r.first_slot for d, r in got.items()}
