@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions.text import contains_ci, preview, redacted, under
+from ..tables import unused
 from .normalise import SESSION, with_intent
+from .ranks import running, slice_of
 from .search import bm25
 
 TYPES = ("user_turn", "assistant_turn", "plan_event", "tool_call", *(f"tool_call({k})" for k in D.TOOL_KINDS))
@@ -153,13 +155,14 @@ def neighbours(events: DataFrame, step_type: str, direction: str, n: int = 1) ->
 
 
 def page(rows: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 0, most: int = 1000) -> DataFrame:
-    """A page of at most `most` rows in the given order (0: as many as allowed)."""
-    return rows.orderBy(*order).offset(offset).limit(min(limit, most) if limit > 0 else most)
+    """A page of at most `most` rows in the given order (0: as many as allowed), however far down it is."""
+    return slice_of(rows, order, offset, min(limit, most) if limit > 0 else most)
 
 
 def byte_budget(rows: DataFrame, order: Sequence[str], budget: int = 4_000_000, by: Sequence[str] = ()) -> DataFrame:
-    """The first rows (of each group) that fit a budget of serialised size, the first always. Without groups, for limited results only."""
-    size = F.length(F.to_json(F.struct(*rows.columns)))
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = rows.withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
-    return out.where((F.col("_sum") <= budget) | (F.col("_n") == 1)).drop("_sum", "_n")
+    """The first rows (of each group) that fit a budget of serialised size, the first always. Sizes are added up by range, so a group,
+    or the whole table, may be of any size."""
+    size, total, n = (unused(rows, c) for c in ("_size", "_sum", "_n"))
+    sized = rows.withColumn(size, F.length(F.to_json(F.struct(*rows.columns))))
+    out = running(sized, order, by, n, {total: size})
+    return out.where((F.col(total) <= budget) | (F.col(n) == 0)).drop(size, total, n)

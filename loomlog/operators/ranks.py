@@ -42,3 +42,21 @@ def running(df: DataFrame, order: Sequence[Column | str] = (), by: Sequence[str]
         same = same & F.col(c).eqNullSafe(F.col(f"{part}_{i}"))
     out = local.join(earlier, same)
     return out.select(*[c for c in df.columns], (F.col(n) + F.col(f"{n}_")).alias(rank), *[(F.col(f"{n}{i}") + F.col(f"{n}{i}_")).alias(name) for i, name in enumerate(sums)])
+
+
+#: Up to so many rows a page is taken in order by itself; one further down goes by ranks.
+SHALLOW = 10_000
+
+
+def slice_of(rows: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 0) -> DataFrame:
+    """Rows offset to offset + limit (0: to the end) in the given order, in that order.
+
+    A page near the beginning is gathered from the best rows of each task. Further down rows are numbered by range, so that no
+    task or driver holds all rows before the page.
+    """
+    if limit and offset + limit <= SHALLOW:
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    at = unused(rows, "_rank")
+    place = F.col(at)
+    ranked = running(rows, order, rank=at).where(place >= offset)
+    return (ranked.where(place < offset + limit) if limit else ranked).orderBy(at).drop(at)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import MASK
@@ -13,6 +14,7 @@ from ..functions.text import has_secret, redacted, secret_types
 from ..tables import cut
 from .aggregate import UNKNOWN, aggregate, totals
 from .normalise import previous_text
+from .ranks import running, slice_of
 
 
 def children(sessions: DataFrame) -> DataFrame:
@@ -22,20 +24,25 @@ def children(sessions: DataFrame) -> DataFrame:
     return p.join(c, ["agent", "parent_id"])
 
 
-def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id): everything below each root along (parent, child), the root itself left out; cycles end by themselves.
+def descendants(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, root, id): everything below each root along (by, parent, child), the root itself left out; cycles end by themselves.
 
-    One round for each level, until a level has nothing new. A pair is met once, so the loop ends.
+    ``by`` names columns, such as the agent, within which ids are told apart. The way up is doubled in each round: a node knows
+    the roots up to n steps above it, and learns those of its ancestors n steps above. So a tree of depth d takes about
+    log2(d) rounds, and ends when no node has learned anything; ids without edge and null ids have nothing below.
     """
-    seen = front = cut(roots.select(F.col("id").alias("root"), "id").distinct())
-    steps, level = cut(edges.select("parent", "child").distinct()), 0
-    while not front.isEmpty():
-        below = front.join(steps, front.id == steps.parent).select("root", F.col("child").alias("id")).distinct()
-        front = cut(below.join(seen, ["root", "id"], "left_anti"))
-        seen, level = seen.unionByName(front), level + 1
-        if level % 8 == 0:
-            seen = cut(seen)
-    return seen.where("root <> id")
+    by = list(by)
+    ups = cut(edges.select(*by, F.col("child").alias("id"), F.col("parent").alias("up")).where("id is not null and up is not null").distinct())
+    starts = roots.select(*by, F.col("id").alias("up")).distinct()
+    # broadcast only what Spark knows to be small
+    known = cut(ups.join(starts, [*by, "up"], "left_semi").withColumnRenamed("up", "root"))
+    count = -1
+    while (now := known.count()) != count:
+        count = now
+        above = known.select(*by, F.col("id").alias("up"), "root")
+        known = cut(known.unionByName(ups.join(above, [*by, "up"]).select(*known.columns)).distinct())
+        ups = cut(ups.join(ups.select(*by, F.col("id").alias("up"), F.col("up").alias("further")), [*by, "up"]).select(*by, "id", F.col("further").alias("up")).distinct())
+    return known.where("root <> id").select(*by, "root", "id")
 
 
 def full_overlay(a: DataFrame, b: DataFrame, key: str, prefer_b: list[str], prefer_a: list[str]) -> DataFrame:
@@ -47,9 +54,8 @@ def full_overlay(a: DataFrame, b: DataFrame, key: str, prefer_b: list[str], pref
 
 
 def inventory(sessions: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
-    """Newest sessions first, each with the total of all and whether the page leaves later ones out."""
-    out = sessions.orderBy(F.desc_nulls_last("date"), "session_id").offset(offset)
-    return with_total(out.limit(limit) if limit else out, sessions, offset + limit if limit else None)
+    """Newest sessions first, each with the total of all and whether the page leaves later ones out. limit 0: all that follow."""
+    return with_total(slice_of(sessions, [F.desc_nulls_last("date"), F.asc("session_id")], offset, limit), sessions, offset + limit if limit else None)
 
 
 def with_total(page: DataFrame, whole: DataFrame, until: int | None = None) -> DataFrame:
@@ -149,6 +155,6 @@ def read(messages: DataFrame, session_id: str, offset: int = 0, limit: int = 0,
     if below is not None:
         own = own.unionByName(messages.join(below.select("session_id").where(F.col("session_id") != session_id).distinct(), "session_id", "left_semi").select(*messages.columns))
     rows = previous_text(own).select("session_id", "message_index", "role", content.alias("content"), "ts", "model", "intent", "qa", "tokens").where("content <> ''")
-    w = Window.orderBy(F.col("session_id") != session_id, "session_id", "message_index")  # one session and what it spawned
-    rows = rows.withColumn("n", F.row_number().over(w)).where((F.col("n") > offset) & (F.col("n") <= offset + (min(limit, most) if limit > 0 else most)))
+    n = F.col("n")
+    rows = running(rows, [F.col("session_id") != session_id, "session_id", "message_index"], rank="n").where((n >= offset) & (n < offset + (min(limit, most) if limit > 0 else most)))
     return redacted(rows.drop("n"), ["content", "intent", "qa"])
