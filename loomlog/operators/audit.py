@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions.text import blank, fragment, host, json_path, labels, redacted, request_risks, strip
+from ..tables import cut
 from .normalise import SESSION, decode
+from .ranks import slice_of
 
 
 def command_of(raw: Column) -> Column:
@@ -31,22 +33,37 @@ def reaction(messages: DataFrame, table, window: int = 6) -> DataFrame:
     return told.withColumn("reaction", F.when(F.col("_r").isNotNull(), made)).drop("_l", "_r")
 
 
-def incidents(events: DataFrame, messages: DataFrame, category: str | None = None, confirmed: str = "include", reaction_window: int = 6, mask: bool = True) -> DataFrame:
-    """Dangerous shell commands with the patterns that fired, and the regret that followed, if any."""
+def dangerous(calls: DataFrame) -> DataFrame:
+    """Shell calls with their command and the patterns that fired, those without left out. The command is worked out once for all patterns."""
+    found = F.get(F.transform(F.array(command_of(F.col("body"))), lambda c: F.struct(c.alias("command"), labels(c, D.DANGER).alias("patterns"))), F.lit(0))
+    return calls.withColumn("_found", found).where(F.size("_found.patterns") > 0).select(*calls.columns, "_found.command", "_found.patterns")
+
+
+def incidents(events: DataFrame, messages: DataFrame, category: str | None = None, confirmed: str = "include", reaction_window: int = 6, mask: bool = True, limit: int | None = None) -> DataFrame:
+    """Dangerous shell commands with the patterns that fired, and the regret that followed, if any.
+
+    With ``limit`` (0: none) the first by time, each with the count and confirmed_count of all and whether that leaves some out
+    (truncated); masks and fragments are made for these only. The few hits are written once, so all commands are read once.
+    """
     if confirmed not in ("include", "only", "exclude"):
         raise ValueError(f"confirmed must be include, only or exclude, not {confirmed!r}")
     if category is not None and category not in {p.split(".")[0] for p, _ in D.DANGER}:
         raise ValueError(f"unknown category {category!r}")
-    calls = events.where("type = 'tool_call(bash)'").withColumn("command", command_of(F.col("body"))).withColumn("patterns", labels(F.col("command"), D.DANGER))
-    calls = calls.where(F.size("patterns") > 0)
+    calls = dangerous(events.where("type = 'tool_call(bash)'"))
     if category:
         calls = calls.where(F.exists("patterns", lambda p: p.startswith(category + ".")))
+    calls = cut(calls)
     # reactions are looked for in sessions with a hit only
-    near = messages.join(calls.select(*SESSION).distinct(), list(SESSION), "left_semi")
+    near = messages.select(*SESSION, "message_index", "role", "text").join(calls.select(*SESSION).distinct(), list(SESSION), "left_semi")
     rows = calls.join(reaction(near, D.REGRET, reaction_window).select(*SESSION, "message_index", "reaction"), [*SESSION, "message_index"], "left")
     rows = rows.withColumn("confirmed", F.col("reaction").isNotNull())
     if confirmed != "include":
         rows = rows.where(F.col("confirmed") == (confirmed == "only"))
+    if limit is not None:
+        rows = cut(rows)
+        totals = rows.agg(F.count(F.lit(1)).alias("count"), F.count_if("confirmed").alias("confirmed_count"))
+        rows = slice_of(rows, [F.asc_nulls_last("ts"), F.asc("id")], 0, limit) if limit else rows
+        rows = rows.crossJoin(F.broadcast(totals)).withColumn("truncated", F.col("count") > limit if limit else F.lit(False))  # one row
     first = F.array_min(F.array_compact(F.array(*[F.nullif(F.regexp_instr("command", F.lit(p)), F.lit(0)) for _, p in D.DANGER])))
     rows = rows.withColumn("fragment", fragment(F.col("command"), F.coalesce(first, F.lit(1)) - 1, 500, 100))
     return redacted(rows, ["command", "fragment"]) if mask else rows

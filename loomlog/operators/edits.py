@@ -9,6 +9,8 @@ from ..functions import dictionaries as D
 from ..functions.text import contains_ci, json_path, redact, redirect_targets, smart_cap
 from .audit import command_of
 from .normalise import SESSION, decode, results, with_intent
+from .ranks import slice_of
+from .sessions import with_total
 
 
 def _events_with_raw(events: DataFrame) -> DataFrame:
@@ -80,11 +82,13 @@ def session_diff(events: DataFrame, messages: DataFrame, path: str | None = None
 
 def tool_calls(
     events: DataFrame, messages: DataFrame, name: str | None = None, name_contains: str | None = None, input_contains: str | None = None, output_contains: str | None = None,
-    output_excludes: str | None = None, is_error: bool | None = None, cap: int = 2000, mode: str | None = None, spawn_cost: DataFrame | None = None,
+    output_excludes: str | None = None, is_error: bool | None = None, cap: int = 2000, mode: str | None = None, spawn_cost: DataFrame | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Calls with their output, error flag, intent and what a spawned session cost. Filters read whole texts; masks and cuts come last.
 
-    is_error is false where nothing is known; is_error_reliable tells whether the source has a flag.
+    is_error is false where nothing is known; is_error_reliable tells whether the source has a flag. spawn_cost: child_cost() of
+    spawned sessions; what a child tells of itself goes before what its parent was told. With ``limit`` (0: none) the first
+    calls by time, each with the total of all and whether that leaves some out (truncated).
     """
     if name is not None and name_contains is not None:
         raise ValueError("give name or name_contains, not both")
@@ -106,10 +110,15 @@ def tool_calls(
         rows = rows.where(~contains_ci(output, output_excludes))
     if is_error is not None:
         rows = rows.where(F.col("is_error") == is_error)
+    if limit is not None:
+        ordered = [F.asc_nulls_last("ts"), F.asc("session_id"), F.asc("seq")]
+        rows = with_total(slice_of(rows, ordered, 0, limit) if limit else rows, rows, limit or None)
     rows = with_intent(rows, messages)
     if spawn_cost is not None:
-        c = spawn_cost.select("agent", F.col("spawn_tool_use_id").alias("tool_use_id"), F.col("child_id"), F.col("child_total"))
+        c = spawn_cost.select("agent", F.col("spawn_tool_use_id").alias("tool_use_id"), "child_id", "child_total", "child_type", "child_models")
         rows = rows.join(c, ["agent", "tool_use_id"], "left").withColumn("cost", F.coalesce("child_total", "subagent.total_tokens"))
+        rows = rows.withColumn("agent_type", F.coalesce("child_type", "subagent.agent_type")).withColumn("models", F.coalesce("child_models", F.when(F.col("subagent.model").isNotNull(), F.array("subagent.model"))))
+        rows = rows.drop("child_type", "child_models")
     rows = rows.withColumn("output", redact(F.col("output"))["text"]).withColumn("input", redact(F.col("body"))["text"])
     capped = smart_cap(F.col("output"), cap, mode) if mode else F.when(F.col("is_error"), smart_cap(F.col("output"), cap, "smart")).otherwise(smart_cap(F.col("output"), cap, "head"))
     rows = rows.withColumn("output_cut", F.length("output") > cap)
@@ -117,7 +126,10 @@ def tool_calls(
 
 
 def child_cost(sessions: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(agent, spawn_tool_use_id, child_id, child_total): exact costs of spawned sessions."""
+    """(agent, spawn_tool_use_id, child_id, child_total, child_type, child_models) of spawned sessions: exact costs (null: none
+    known), what kind of session it is and its models (null: none named). Of sessions of one call the first id counts."""
     own = tokens.where("token_source = 'exact'").select(*SESSION, F.col("tokens.total").alias("child_total"))
-    return sessions.where("spawn_tool_use_id is not null").join(own, list(SESSION)).select("agent", "spawn_tool_use_id", F.col("session_id").alias("child_id"), "child_total")
-
+    found = sessions.where("spawn_tool_use_id is not null").join(own, list(SESSION), "left")
+    named = F.when(F.size("models") > 0, F.col("models"))
+    found = found.select("agent", "spawn_tool_use_id", F.col("session_id").alias("child_id"), "child_total", F.nullif("subagent_type", F.lit("")).alias("child_type"), named.alias("child_models"))
+    return found.groupBy("agent", "spawn_tool_use_id").agg(F.min_by(F.struct(*found.columns[2:]), "child_id").alias("x")).select("agent", "spawn_tool_use_id", "x.*")

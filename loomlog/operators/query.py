@@ -5,7 +5,7 @@ Facets make one predicate; masks and cuts come last, on the rows that are left.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,7 @@ from ..functions.text import contains_ci, preview, redacted, under
 from ..tables import unused
 from .normalise import SESSION, with_intent
 from .ranks import running, slice_of
-from .search import bm25
+from .search import bm25, semantic
 
 TYPES = ("user_turn", "assistant_turn", "plan_event", "tool_call", *(f"tool_call({k})" for k in D.TOOL_KINDS))
 WRAPPED = ("task", "skill", "mcp", "web")
@@ -101,19 +101,29 @@ def sessions_where(sessions: DataFrame, noise: str = "include", project_dir: str
     return out if until is None else out.where(F.col("date") <= F.lit(until))
 
 
-def query(events: DataFrame, sessions: DataFrame | None = None, messages: DataFrame | None = None, limit: int = 0, previews: bool = False, mask: bool = True, sort: str = "date", **given) -> DataFrame:
-    """Events that fit all facets, by time (nulls last), then session and seq; sort = relevance: by the score of the text facet first.
+def query(
+    events: DataFrame, sessions: DataFrame | None = None, messages: DataFrame | None = None, limit: int = 0, previews: bool = False, mask: bool = True, sort: str = "date",
+    embed: Callable | None = None, pool: int = 50, **given,
+) -> DataFrame:
+    """Events that fit all facets, by time (nulls last), then session and seq.
 
+    sort = relevance: by the score of the text facet first. sort = semantic: of these the first ``pool`` by a blend with their
+    likeness to the text facet, as ``embed`` sees it (see ``search.similar``); the others follow by score. Without
+    ``embed`` that is relevance. Neither has a meaning without text facet: then it's by time.
     sessions: only their events (a semi-join); messages: adds each event's intent. Masks and cuts keep the order.
     """
-    _check("sort", sort, ("date", "relevance"))
+    _check("sort", sort, ("date", "relevance", "semantic"))
     out = events.where(facets(**given))
     if sessions is not None:
         out = out.join(sessions.select(*SESSION), list(SESSION), "left_semi")
     order = [F.col("ts").asc_nulls_last(), F.col("session_id"), F.col("seq")]
-    if sort == "relevance" and given.get("text"):
+    if sort != "date" and given.get("text"):
         out = bm25(out.withColumn("_hay", F.concat_ws("\n", "text", "body")), "id", "_hay", given["text"]).drop("_hay")
-        order = [F.desc("score"), *order]
+        if sort == "semantic" and embed is not None:
+            out = semantic(out, given["text"], embed, [F.desc("score"), *order], pool)
+            order = [F.asc_nulls_last("position"), F.desc("score"), *order]
+        else:
+            order = [F.desc("score"), *order]
     if limit:
         # the intent is looked up for these rows only
         out = out.orderBy(*order).limit(limit)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from ..tables import cut
 from .normalise import SESSION
 
 K1, B = 1.5, 0.75
@@ -113,3 +118,33 @@ def rerank(rows: DataFrame, similarity: str, score: str = "score", tie: str = "i
     best = best.withColumn("blended", weight * part(similarity) + (1 - weight) * part(score))
     best = best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("blended"), F.desc(score), tie)))
     return rows.join(F.broadcast(best.select(tie, "blended", "position")), tie, "left").orderBy(F.asc_nulls_last("position"), F.desc(score), tie)
+
+
+def similar(rows: DataFrame, text: str, embed: Callable[[], Callable[[list[str]], list[list[float]]]], name: str = "similarity") -> DataFrame:
+    """rows with the cosine of their text's vector and the given text's, null where there is no text.
+
+    ``embed`` loads a model and returns a function from texts to vectors; each task calls it once, for all of its batches.
+    """
+
+    @F.pandas_udf("double")
+    def likeness(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vectors = embed()
+        wanted = np.asarray(vectors([text])[0], float)
+        for texts in batches:
+            known = texts.notna()
+            out = pd.Series(np.nan, index=texts.index, dtype=float)
+            if known.any():
+                m = np.asarray(vectors(texts[known].tolist()), float)
+                scale = np.linalg.norm(m, axis=1) * np.linalg.norm(wanted)
+                out[known] = np.divide(m @ wanted, scale, out=np.zeros(len(m)), where=scale > 0)
+            yield out
+
+    return rows.withColumn(name, F.nanvl(likeness("text"), F.lit(None).cast("double")))
+
+
+def semantic(rows: DataFrame, text: str, embed: Callable, order: Sequence[Column], pool: int = 50, weight: float = 0.75) -> DataFrame:
+    """Scored events (id, score, text, ...) with similarity, blended and position; null for all but the first ``pool`` in the given
+    order, which alone are embedded. They are few: at most ``pool`` rows are cut out and joined back."""
+    first = cut(similar(rows.orderBy(*order).limit(pool).select("id", "score", "text"), text, embed).select("id", "score", F.coalesce("similarity", F.lit(0.0)).alias("similarity")))
+    ranked = rerank(first, "similarity", "score", "id", pool, weight).select("id", "similarity", "blended", "position")
+    return rows.join(F.broadcast(ranked), "id", "left")

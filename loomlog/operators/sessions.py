@@ -134,14 +134,31 @@ def locate(sessions: DataFrame, needle: str) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("date"), "session_id")
 
 
-def closest_titles(sessions: DataFrame, needle: str, ratio: float = 0.5, n: int = 3) -> DataFrame:
-    """The titles most like the needle, for when locate finds none."""
+def _likeness_bound(title: Column, needle: str) -> Column:
+    """No ratio of matching runs is above this one: twice the letters that both hold, by number, over both lengths."""
+    times = {c: needle.count(c) for c in sorted(set(needle))}
+    shared = sum((F.least(F.length(title) - F.length(F.replace(title, F.lit(c), F.lit(""))), F.lit(n)) for c, n in times.items()), F.lit(0))
+    return F.when(F.length(title) + len(needle) > 0, 2.0 * shared / (F.length(title) + len(needle))).otherwise(1.0)
+
+
+def closest_titles(sessions: DataFrame, needle: str, ratio: float = 0.5, n: int = 3, first: int = 64) -> DataFrame:
+    """(title, ratio): the titles most like the needle, for when locate finds none.
+
+    All titles get an upper bound of their ratio by their letters, in the JVM. The ratios of those with the highest bounds are
+    worked out, and then only of titles whose bound isn't below the n-th best of these.
+    """
+    needle = needle.lower()
 
     @F.pandas_udf("double")
     def like(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda t: difflib.SequenceMatcher(None, needle.lower(), (t or "").lower()).ratio())
-
-    return sessions.select("title").distinct().withColumn("ratio", like("title")).where(F.col("ratio") >= ratio).orderBy(F.desc("ratio"), "title").limit(n)
+        return titles.map(lambda t: difflib.SequenceMatcher(None, needle, t).ratio())
+
+    title = F.lower(F.coalesce("title", F.lit("")))
+    titles = cut(sessions.select("title").distinct().withColumn("bound", _likeness_bound(title, needle)).where(F.col("bound") >= ratio - 1e-9))
+    best = titles.orderBy(F.desc("bound"), "title").limit(first).withColumn("ratio", like(title)).orderBy(F.desc("ratio")).limit(n)
+    known, least = best.agg(F.count(F.lit(1)), F.min("ratio")).head()
+    least = max(ratio, least if known == n else ratio)
+    return titles.where(F.col("bound") >= least - 1e-9).withColumn("ratio", like(title)).where(F.col("ratio") >= ratio).orderBy(F.desc("ratio"), "title").limit(n).select("title", "ratio")
 
 
 def read(messages: DataFrame, session_id: str, offset: int = 0, limit: int = 0, thinking: bool = False, most: int = 1000, below: DataFrame | None = None) -> DataFrame:
