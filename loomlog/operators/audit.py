@@ -163,6 +163,19 @@ def quality_signals(messages: DataFrame) -> DataFrame:
     return rows.groupBy(*SESSION).agg(F.sum(lint).alias("lint_runs"), F.sum(verify).alias("verifications"), F.coalesce(F.sum(F.when(F.col("message_index") > F.col("_last"), F.greatest(F.size("tool_use"), F.lit(0)))), F.lit(0)).alias("calls_after_last_error"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(runners)))).alias("test_runners"))
 
 
+def test_evidence(messages: DataFrame) -> DataFrame:
+    """(agent, session_id, runner, surface): each test runner that a session names and where: text, tool_use[name].name,
+    tool_use[name].input or tool_result.content. A pattern is looked for within one surface at a time."""
+    piece = lambda surface, text: F.struct(surface.alias("surface"), F.lower(F.coalesce(text, F.lit(""))).alias("said"))
+    called = lambda t, part: F.concat(F.lit("tool_use["), F.coalesce(t["name"], F.lit("")), F.lit(f"].{part}"))
+    given = F.flatten(F.transform("tool_use", lambda t: F.array(piece(called(t, "name"), t["name"]), piece(called(t, "input"), t["input"]))))
+    told = F.transform("tool_result", lambda r: piece(F.lit("tool_result.content"), r["content"]))
+    none = F.array().cast("array<struct<surface:string,said:string>>")
+    rows = messages.select(*SESSION, F.explode(F.concat(F.array(piece(F.lit("text"), F.col("text"))), F.coalesce(given, none), F.coalesce(told, none))).alias("p"))
+    found = rows.select(*SESSION, F.col("p.surface").alias("surface"), labels(F.col("p.said"), D.TEST_RUNNERS).alias("runners"))
+    return found.select(*SESSION, F.explode("runners").alias("runner"), "surface").distinct()
+
+
 def decisions(messages: DataFrame, most: int = 10, most_chars: int = 200) -> DataFrame:
     """(agent, session_id, n, decision): an assistant's sentences with a decision and something technical."""
     rows = messages.where("role = 'assistant'").select(*SESSION, "message_index", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "s"))

@@ -16,7 +16,7 @@ from ..functions.text import contains_ci, preview, redacted, under
 from ..tables import unused
 from .normalise import SESSION, with_intent
 from .ranks import running, slice_of
-from .search import bm25, semantic
+from .search import bm25, semantic, spawned
 
 TYPES = ("user_turn", "assistant_turn", "plan_event", "tool_call", *(f"tool_call({k})" for k in D.TOOL_KINDS))
 WRAPPED = ("task", "skill", "mcp", "web")
@@ -92,8 +92,7 @@ def sessions_where(sessions: DataFrame, noise: str = "include", project_dir: str
     if until is not None and not isinstance(until, datetime):
         until = datetime.combine(until, time(23, 59, 59))
     _check("noise", noise, ("include", "exclude", "only"))
-    sub = F.coalesce(F.col("kind") == "subagent", F.lit(False)) | F.col("parent_uuid").isNotNull()
-    out = sessions if noise == "include" else sessions.where(sub if noise == "only" else ~sub)
+    out = sessions if noise == "include" else sessions.where(spawned() if noise == "only" else ~spawned())
     if project_dir is not None:
         out = out.where(under(F.col("project_dir"), project_dir))
     if since is not None:
@@ -138,15 +137,27 @@ def query(
 
 
 def walk(events: DataFrame, anchors: DataFrame, step_type: str, direction: str, n: int = 1) -> DataFrame:
-    """The n nearest events of a type (0: all) before or after each anchor (agent, session_id, seq); anchor_seq tells whose."""
+    """The n nearest events of a type (0: all) before or after each anchor (agent, session_id, seq); anchor_seq tells whose.
+
+    Steps are numbered within their session, and an anchor learns the number of the last step up to it. So it meets n rows by their
+    numbers, not all of its session. With n = 0 each anchor comes with all its steps, as many as the answer has.
+    """
     _check("direction", direction, ("prev", "next"))
     back = direction == "prev"
+    steps = events.where(facets(type=step_type))
     a = anchors.select(*SESSION, F.col("seq").alias("anchor_seq"))
-    near = events.where(facets(type=step_type)).join(a, list(SESSION)).where(F.col("seq") < F.col("anchor_seq") if back else F.col("seq") > F.col("anchor_seq"))
-    if n:
-        w = Window.partitionBy(*SESSION, "anchor_seq").orderBy(F.col("seq").desc() if back else F.col("seq").asc())
-        near = near.withColumn("distance", F.row_number().over(w)).where(F.col("distance") <= n)
-    return near
+    if not n:
+        return steps.join(a, list(SESSION)).where(F.col("seq") < F.col("anchor_seq") if back else F.col("seq") > F.col("anchor_seq"))
+    number, last = unused(events, "_number"), unused(events, "_last")
+    marks = steps.select(*SESSION, F.col("seq").alias("at"), F.lit(1).alias("step")).unionByName(a.select(*SESSION, F.col("anchor_seq").alias("at"), F.lit(0).alias("step")))
+    # an anchor's own seq counts as before it when looking ahead, and as after it when looking back
+    place = Window.partitionBy(*SESSION).orderBy("at", "step" if back else F.desc("step"))
+    known = marks.withColumn(last, F.sum("step").over(place.rowsBetween(Window.unboundedPreceding, 0))).where("step = 0").select(*SESSION, F.col("at").alias("anchor_seq"), last)
+    wanted = F.sequence(F.lit(1), F.lit(n))
+    known = known.select(*SESSION, "anchor_seq", last, F.explode(wanted).alias("distance"))
+    known = known.withColumn(number, F.col(last) + F.col("distance") if not back else F.col(last) + 1 - F.col("distance")).where(F.col(number) > 0)
+    numbered = steps.withColumn(number, F.row_number().over(Window.partitionBy(*SESSION).orderBy("seq")))
+    return numbered.join(known, [*SESSION, number]).select(*events.columns, "anchor_seq", "distance")
 
 
 def neighbours(events: DataFrame, step_type: str, direction: str, n: int = 1) -> DataFrame:

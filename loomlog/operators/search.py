@@ -90,17 +90,35 @@ def haystacks(messages: DataFrame, thinking: bool = False, most_messages: int =
     return rows.groupBy(*SESSION).agg(F.left(F.lower(joined), F.lit(most_chars)).alias("haystack"))
 
 
-def search_sessions(sessions: DataFrame, hay: DataFrame, query: str, scope: str = "all", operator: str = "AND", limit: int = 50) -> DataFrame:
-    """Sessions that match, by score, then date: with a snippet. scope: title, body or all."""
-    if scope not in ("title", "body", "all"):
-        raise ValueError(f"scope must be title, body or all, not {scope!r}")
+def spawned() -> Column:
+    """Whether a session was started by another one."""
+    return F.coalesce(F.col("kind") == "subagent", F.lit(False)) | F.col("parent_uuid").isNotNull()
+
+
+def search_sessions(sessions: DataFrame, hay: DataFrame, query: str, scope: str = "all", operator: str = "AND", limit: int = 50, noise: str = "include", sort: str = "relevance", embed: Callable | None = None, pool: int = 50) -> DataFrame:
+    """Sessions that match, with score and a snippet. scope: title, body or all.
+
+    noise: with sub-sessions, without (exclude) or those only. sort: relevance, that is by score, then date; date; or semantic, by which
+    the first ``pool`` by score go by a blend with the likeness of their titles to the query (without ``embed``: relevance).
+    """
+    for name, value, allowed in (("scope", scope, ("title", "body", "all")), ("noise", noise, ("include", "exclude", "only")), ("sort", sort, ("relevance", "date", "semantic"))):
+        if value not in allowed:
+            raise ValueError(f"{name} must be one of {', '.join(allowed)}, not {value!r}")
     positive, negative = parse(query)
+    if noise != "include":
+        sessions = sessions.where(spawned() if noise == "only" else ~spawned())
     rows = sessions if scope == "title" else sessions.join(hay, list(SESSION), "left")
     title = F.lower(F.coalesce("title", F.lit("")))
     text = title if scope == "title" else F.coalesce("haystack", F.lit("")) if scope == "body" else F.concat_ws("\n", title, F.coalesce("haystack", F.lit("")))
     found = rows.withColumn("hay", text).where(matches(F.col("hay"), positive, negative, operator))
-    scored = bm25(found, "session_id", "hay", query).withColumn("snippet", snippet(F.col("hay"), positive))
-    out = scored.orderBy(F.desc("score"), F.desc_nulls_last("date"), "session_id").drop("haystack", "hay")
+    scored = bm25(found, "session_id", "hay", query).withColumn("snippet", snippet(F.col("hay"), positive)).drop("haystack", "hay")
+    newest = [F.desc_nulls_last("date"), F.asc("session_id")]
+    order = newest if sort == "date" else [F.desc("score"), *newest]
+    if sort == "semantic" and embed is not None:
+        keyed = scored.withColumn("id", F.concat_ws("\x1f", *SESSION)).withColumn("text", F.col("title"))
+        scored = semantic(keyed, query, embed, order, pool).drop("id", "text")
+        order = [F.asc_nulls_last("position"), *order]
+    out = scored.orderBy(*order)
     return out.limit(limit) if limit else out
 
 

@@ -86,3 +86,30 @@ def test_semantic_order(spark):
     plain = [x.seq for x in query.query(events, text="cat", sort="relevance", mask=False).collect()]
     assert [x.seq for x in query.query(events, text="cat", sort="semantic", mask=False).collect()] == plain
     assert len(query.query(events, text="cat", sort="semantic", embed=embed, mask=False, limit=5).collect()) == 5
+
+
+def test_walk_at_the_edges(spark):
+    """Anchors that are steps themselves, that aren't events, and that have fewer steps than asked for."""
+    rows = [("g", "s", i, "user_turn" if i % 3 == 0 else "assistant_turn") for i in range(10)] + [("g", "t", 0, "assistant_turn")]
+    e = spark.createDataFrame(rows, "agent string, session_id string, seq long, type string")
+    anchors = spark.createDataFrame([("g", "s", 3), ("g", "s", 4), ("g", "s", 99), ("g", "s", -1), ("g", "t", 0)], "agent string, session_id string, seq long")
+    for direction in ("prev", "next"):
+        for n in (0, 1, 2, 5):
+            want = set()
+            for _, s, a in [("g", "s", 3), ("g", "s", 4), ("g", "s", 99), ("g", "s", -1), ("g", "t", 0)]:
+                near = sorted((abs(i - a), i) for _, s2, i, t in rows if s2 == s and t == "user_turn" and (i < a if direction == "prev" else i > a))
+                want |= {(s, a, i, d) for d, (_, i) in enumerate(near[: n or None], 1)}
+            got = query.walk(e, anchors, "user_turn", direction, n).collect()
+            assert {(x.session_id, x.anchor_seq, x.seq, x.distance if n else None) for x in got} == {(s, a, i, d if n else None) for s, a, i, d in want} and len(got) == len(want)
+
+
+def test_search_filters_and_semantic_titles(spark):
+    s = conform(spark.createDataFrame([("g", str(i), "cat house" if i % 2 else "dog house", f"2025-01-{i + 1:02d}", "subagent" if i == 4 else None) for i in range(6)], "agent string, session_id string, title string, date string, kind string"), SESSIONS)
+    hay = spark.createDataFrame([], "agent string, session_id string, haystack string")
+    ids = lambda **kw: [x.session_id for x in search.search_sessions(s, hay, "house", scope="title", **kw).collect()]
+    assert ids(sort="date") == ["5", "4", "3", "2", "1", "0"] and ids(sort="date", noise="exclude") == ["5", "3", "2", "1", "0"] and ids(noise="only") == ["4"]
+
+    def embed():
+        return lambda texts: [[float("cat" in t or t == "house"), 1.0] for t in texts]
+
+    assert ids(sort="semantic", embed=embed)[:3] == ["1", "3", "5"] and ids(sort="semantic") == ids(sort="relevance")
