@@ -27,7 +27,7 @@ from . import repeats
 
 LENGTH = 35
 GRAM = 8
-GROUP_LIMIT = 64
+GROUP_LIMIT = 4_096
 
 
 def word_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
