@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, brief, edits, normalise, query
+from ..operators import audit, brief, edits, normalise, query, rollups, text_index
 from ..schema import MESSAGES, SESSIONS, conform
 from ..sources import claude
 from ..tables import cut, shared_folder
@@ -102,3 +102,26 @@ def query_semantic(spark, sf_dir):
     """Events that hold a text, put in order by meaning, as a toy embedding has it; all of them fit the pool."""
     out = query.query(normalise.events(conversation_log(spark, sf_dir)), text="the of", sort="semantic", embed=_letters, pool=1_000_000, mask=False)
     return out.select("session_id", "seq", F.round("similarity", 6).alias("similarity"))
+
+
+@register("""SELECT event_type AS "type", count(*) AS "rows", CAST(count(DISTINCT user_id) AS BIGINT) AS users, CAST(count(DISTINCT props) AS BIGINT) AS props, true AS near FROM events GROUP BY 1""")
+def rollup_by_day(spark, sf_dir):
+    """Distinct counts merged from rollups by day: exact ones, and whether the sketches are within four standard errors of them."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "type")
+    days = cut(rollups.exact_rollup(e, ["type"], ["user_id", "props"]))
+    exact = rollups.merged_exact(days, ["type"]).groupBy("type").pivot("metric", ["rows", "user_id", "props"]).agg(F.first("n"))
+    told = rollups.merged(cut(rollups.rollup(e, ["type"], ["user_id", "props"])), ["type"]).select("type", F.col("rows").alias("n"), F.col("user_id").alias("u"), F.col("props").alias("p"))
+    both = exact.join(told, "type")
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 4 * rollups.error() * F.col(a) + 1
+    return both.select("type", "rows", F.col("user_id").alias("users"), "props", ((F.col("n") == F.col("rows")) & close("user_id", "u") & close("props", "p")).alias("near"))
+
+
+NEEDLE = "token = "
+
+
+@register(f"""WITH d AS (SELECT doc_id FROM documents WHERE contains(lower(text), '{NEEDLE}')) SELECT doc_id FROM d""")
+def query_text_indexed(spark, sf_dir):
+    """Documents that hold a text, found by the index and verified on the texts that it leaves."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("g").alias("agent"), F.col("doc_id").cast("string").alias("session_id"), "text")
+    grams = cut(text_index.index(d, ["text"]))
+    return text_index.narrowed(d, grams, NEEDLE).where(F.contains(F.lower("text"), F.lit(NEEDLE))).select("doc_id")
