@@ -13,29 +13,33 @@ ORACLE_SQL = None
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranker puts above its cut."""
+    """Documents that the quality ranker puts above its cut. Null and empty texts are scored like others, repeated rows alike; without
+    usable labels all stay."""
     ranker = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, ranker)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one of least id (null last); of equal rows one. Documents without words link with
+    nothing, and stay."""
     return jaccard_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages. Null and empty texts hold none; items of any length and without id count."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by the name of its kind; n_chars follows."""
+    """The documents with personal data replaced by the name of its kind. Null texts stay null; a column n_chars, if there is one, is
+    counted again; other columns are as they were."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes: of null and empty texts none. A null source is a source of its own, rows equal
+    in all are documents of their own."""
     return source_mix.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
