@@ -49,6 +49,8 @@ LIGHT_MOST = 14
 ROUNDS = 4
 BROADCAST_KEYS = 1_000_000
 SEND = 500_000
+#: So many sets at most are compared with one other in one part.
+PART_ROWS = 1_000
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -311,12 +313,15 @@ def list_entries(reduced: DataFrame, light: int, similarity: float) -> DataFrame
 
 
 def verify(pairs: DataFrame, reduced: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, linked, d) of pairs (a, b) of classes, d being their distance. The sets of all b travel to their a, which is read once."""
+    """(a, b, linked, d) of pairs (a, b) of classes, d being their distance. The sets of all b travel to their a, which is read
+    once; an a with more than PART_ROWS of them goes to several parts, each with a copy of its set."""
     sets = reduced.select("c", "n", "hs")
-    sides = pairs.join(sets, pairs.b == sets.c).select("a", "b", "n", "hs")
-    heads = sets.join(pairs.select("a").distinct(), sets.c == F.col("a"), "left_semi").select(F.col("c").alias("a"), F.lit(None).cast("long").alias("b"), "n", "hs")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sides.unionByName(heads).repartition(n, "a").sortWithinPartitions("a", "b")
+    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART_ROWS).select("a", F.ceil(F.col("m") / PART_ROWS).alias("parts"))
+    dealt = pairs.join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
+    sides = dealt.join(sets, dealt.b == sets.c).select("a", "part", "b", "n", "hs")
+    heads = dealt.select("a", "part").distinct().join(sets, F.col("a") == sets.c).select("a", "part", F.lit(None).cast("long").alias("b"), "n", "hs")
+    n = packed.partitions_of(reduced)
+    dealt = sides.unionByName(heads).repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").drop("part")
     hundred = round(similarity * 100)
 
     def run(batches):

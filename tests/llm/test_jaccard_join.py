@@ -73,6 +73,19 @@ def test_group_of_near_copies(spark):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows)
 
 
+def test_large_centres_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(J, "PART_ROWS", 3)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: 3 * i], f"u{i}", *base[3 * i + 1 :]])) for i in range(40)] + list(enumerate(corpus(7), 100))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.near_duplicates(df).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows)
+    sets = spark.createDataFrame([(c, 2, b"".join(h.to_bytes(8, "little") for h in (1, c))) for c in range(2, 22)], "c long, n int, hs binary")
+    pairs = spark.createDataFrame([(2, c) for c in range(3, 22)] + [(3, 4)], "a long, b long")
+    told = sorted((x.a, x.b, x.linked, round(x.d, 6)) for x in J.verify(pairs, sets, 0.8).collect())
+    assert told == sorted((a, b, False, round(2 / 3, 6)) for a, b in [*((2, c) for c in range(3, 22)), (3, 4)])
+
+
 def test_components_of_a_long_chain(spark):
     r = random.Random(6)
     keys = r.sample(range(1, 10**15), 1000)
