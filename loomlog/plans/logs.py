@@ -219,12 +219,12 @@ def spawn_costs(spark, sf_dir):
     return out.select("session_id", "tool_use_id", "cost", F.col("subagent.total_tokens").alias("told"))
 
 
-@register("""WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 > 0), o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+@register("""WITH c AS (SELECT c_custkey + 10 AS c_custkey, c_name FROM customer), o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT CAST(coalesce(c_custkey, o_custkey) AS VARCHAR) AS session_id, coalesce(CASE WHEN c_custkey % 3 = 1 THEN c_name END, CASE WHEN o_custkey IS NOT NULL THEN 'S' || o_custkey END, 'Untitled') AS title, CASE WHEN o_custkey IS NOT NULL THEN '/s' ELSE '/d' END AS project_dir, coalesce(n, 0) AS message_count,
 CASE WHEN c_custkey IS NOT NULL THEN 'desktop' END AS surface FROM c FULL OUTER JOIN o ON c_custkey = o_custkey""")
 def desktop_overlay(spark, sf_dir):
     """A desktop client's records over the sessions: its title, the transcript's directory; records without transcript stay."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
+    c = table(spark, sf_dir, "customer").withColumn("c_custkey", F.col("c_custkey") + 10)
     made = F.to_json(F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("cliSessionId"), F.col("c_custkey").cast("string").alias("sessionId"), F.when(F.col("c_custkey") % 3 == 1, F.col("c_name")).alias("title"), F.lit("/d").alias("cwd"), F.lit(1735689600000).alias("createdAt")))
     meta = claude.desktop_of(c.select(F.format_string("/d/%d.json", "c_custkey").alias("p"), made.alias("value")))
     s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("session_id")).agg(F.count(F.lit(1)).alias("message_count"))

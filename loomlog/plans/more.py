@@ -347,15 +347,16 @@ def network_totals(spark, sf_dir):
     return audit.network_totals(audit.network(normalise.events(_web(spark, sf_dir))))
 
 
-@register("""WITH q AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, role FROM conversations) SELECT 'turn ' || turn % 2 AS kind, count(*) AS quotes, count(DISTINCT conv_id) AS sessions, CAST(count(*) * 60 AS BIGINT) AS length FROM q WHERE role = 'user' AND turn > 0 AND length(before) >= 80 GROUP BY 1""")
+@register("""WITH q AS (SELECT conv_id, turn, length(substring(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 11, 60)) AS n, role FROM conversations) SELECT 'turn ' || turn % 2 AS kind, count(*) AS quotes, count(DISTINCT conv_id) AS sessions, CAST(sum(n) AS BIGINT) AS length FROM q WHERE role = 'user' AND n >= 40 GROUP BY 1""")
 def quote_totals(spark, sf_dir):
-    """Quotations by a label of the turn; each user turn with a long turn before it quotes sixty characters of it."""
+    """Quotations by a label of the turn: each user turn quotes sixty characters, or what there is, of the turn before it; under forty are none."""
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "conversations")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = c.withColumn("before", before).where("role = 'user' and turn > 0 and length(before) >= 80")
-    said = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("assistant").alias("role"), F.concat(F.col("conv_id"), F.lit("<"), F.substring("before", 11, 60), F.lit(">")).alias("text")), F.struct(F.lit(1).alias("i"), F.lit("user").alias("role"), F.concat(F.lit("["), F.substring("before", 11, 60), F.lit("]")).alias("text"))))
+    cited = F.substring(F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")), 11, 60)
+    rows = c.withColumn("cited", cited)
+    answer = F.when(F.col("role") == "user", F.concat(F.lit("["), F.col("cited"), F.lit("]"))).otherwise(F.lit("go on"))
+    said = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("assistant").alias("role"), F.concat(F.col("conv_id"), F.lit("<"), F.col("cited"), F.lit(">")).alias("text")), F.struct(F.lit(1).alias("i"), F.lit("user").alias("role"), answer.alias("text"))))
     m = rows.select(F.concat_ws("-", "conv_id", "turn").alias("session_id"), F.lit("claude").alias("agent"), said.alias("m"))
     found = quotes.quotes(conform(m.select("agent", "session_id", F.col("m.i").cast("bigint").alias("message_index"), "m.role", "m.text"), MESSAGES))
     found = found.withColumn("turn", F.concat(F.lit("turn "), F.split_part("session_id", F.lit("-"), F.lit(2)).cast("int") % 2)).withColumn("session_id", F.split_part("session_id", F.lit("-"), F.lit(1)))

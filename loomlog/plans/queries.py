@@ -178,13 +178,13 @@ def orphan_fold(spark, sf_dir):
 
 
 @register("""WITH RECURSIVE e AS (SELECT DISTINCT conv_id AS child, CASE WHEN conv_id = 1 THEN 9 ELSE conv_id // 2 END AS parent FROM conversations WHERE conv_id > 0),
-r AS (SELECT parent AS root, child AS id FROM e WHERE parent <= 12 UNION SELECT r.root, e.child FROM r JOIN e ON e.parent = r.id)
+r AS (SELECT parent AS root, child AS id FROM e UNION SELECT r.root, e.child FROM r JOIN e ON e.parent = r.id)
 SELECT root, id FROM r WHERE root <> id""")
 def subtree_closure(spark, sf_dir):
-    """All descendants of some sessions, over edges that hold a cycle."""
+    """All descendants of every session, over edges that hold a cycle."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("child")).where("child > 0").distinct()
     edges = c.withColumn("parent", F.when(F.col("child") == 1, 9).otherwise(F.floor(F.col("child") / 2))).select("parent", "child")
-    return sessions.descendants(edges, edges.where("parent <= 12").select(F.col("parent").alias("id")).distinct())
+    return sessions.descendants(edges, edges.select(F.col("parent").alias("id")).distinct())
 
 
 def _tree(spark, sf_dir) -> DataFrame:
@@ -198,10 +198,10 @@ def children(spark, sf_dir):
 
 
 @register("""WITH o AS (SELECT o_custkey AS id, max(o_orderpriority) AS title, min(o_orderstatus) AS dir FROM orders GROUP BY 1)
-SELECT coalesce(c_custkey, o.id) AS id, coalesce(o.title, c_name) AS title, coalesce(c_mktsegment, o.dir) AS dir, c_custkey IS NOT NULL AS in_a, o.id IS NOT NULL AS in_b FROM (SELECT * FROM customer WHERE c_acctbal > 2000) FULL OUTER JOIN o ON c_custkey = o.id""")
+SELECT coalesce(c.id, o.id) AS id, coalesce(o.title, c_name) AS title, coalesce(c_mktsegment, o.dir) AS dir, c.id IS NOT NULL AS in_a, o.id IS NOT NULL AS in_b FROM (SELECT c_custkey + 10 AS id, * FROM customer) c FULL OUTER JOIN o ON c.id = o.id""")
 def full_outer_overlay(spark, sf_dir):
-    """Two roots of the same sessions: the second's title and the first's directory win."""
-    a = table(spark, sf_dir, "customer").where("c_acctbal > 2000").select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("dir"))
+    """Two roots of the same sessions, each with some of its own: the second's title and the first's directory win."""
+    a = table(spark, sf_dir, "customer").select((F.col("c_custkey").cast("bigint") + 10).alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("dir"))
     b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("title"), F.min("o_orderstatus").alias("dir"))
     return sessions.full_overlay(a, b, "id", ["title"], ["dir"])
 
