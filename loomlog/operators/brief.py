@@ -37,11 +37,11 @@ def audit_brief(events: DataFrame, messages: DataFrame, errors: DataFrame | None
         rows = rows.withColumn("errors", F.lit(None).cast("string"))
     part = lambda title, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), F.col(c)))
     tools = F.concat(F.lit("## Tools\n"), F.coalesce(F.concat_ws(" ", F.col("calls").cast("string"), "by_kind"), F.lit("0")))
-    base = [part("User", "turns"), part("Plans", "plan_titles"), tools]
-    ladder = [[*base, part("Plan bodies", "plan_bodies"), part("Files", "files"), part("Errors", "errors")], [*base, part("Plan bodies", "plan_bodies"), part("Files", "files")], [*base, part("Plan bodies", "plan_bodies")], base]
-    # the texts in columns of their own, as the mask reads them many times
-    rows = rows.withColumns({f"_c{i}": F.concat_ws("\n", *parts) for i, parts in enumerate(ladder)})
-    rows = rows.withColumns({f"_b{i}": redact(F.col(f"_c{i}"))["text"] for i in range(len(ladder))})
+    # each part is masked once; the ladder chooses among masked parts
+    # each part is masked once, whichever of the ladder is chosen
+    parts = F.array(part("User", "turns"), part("Plans", "plan_titles"), tools, part("Plan bodies", "plan_bodies"), part("Files", "files"), part("Errors", "errors"))
+    rows = rows.withColumn("_parts", F.transform(parts, lambda p: redact(p)["text"]))
+    rows = rows.withColumns({f"_b{i}": F.array_join(F.slice("_parts", 1, n), "\n") for i, n in enumerate((6, 5, 4, 3))})
     chosen = F.coalesce(*[F.when(F.length(f"_b{i}") <= budget, F.col(f"_b{i}")) for i in range(4)], F.col("_b3"))
     level = F.coalesce(*[F.when(F.length(f"_b{i}") <= budget, F.lit(i)) for i in range(4)], F.lit(3))
     return rows.select(*SESSION, chosen.alias("brief"), level.alias("dropped"), (F.length("_b3") > budget).alias("over_budget"), "calls", "n_files")
