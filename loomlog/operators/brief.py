@@ -37,7 +37,6 @@ def audit_brief(events: DataFrame, messages: DataFrame, errors: DataFrame | None
         rows = rows.withColumn("errors", F.lit(None).cast("string"))
     part = lambda title, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), F.col(c)))
     tools = F.concat(F.lit("## Tools\n"), F.coalesce(F.concat_ws(" ", F.col("calls").cast("string"), "by_kind"), F.lit("0")))
-    # each part is masked once; the ladder chooses among masked parts
     # each part is masked once, whichever of the ladder is chosen
     parts = F.array(part("User", "turns"), part("Plans", "plan_titles"), tools, part("Plan bodies", "plan_bodies"), part("Files", "files"), part("Errors", "errors"))
     rows = rows.withColumn("_parts", F.transform(parts, lambda p: redact(p)["text"]))
