@@ -20,3 +20,9 @@ def test_spawn_records_and_messages_are_written_once(spark):
     """Only the sidecars, which sessions are joined with, are still read from the orders."""
     for name in ("claude_spawns", "spawn_costs"):
         assert _plan(entry.queries()[name](spark, SF)).count("o_totalprice") <= 2
+
+
+def test_bodies_broadcast_no_table(spark):
+    """Spark takes exploded rows for few and small; whole tables of events would go through the driver."""
+    plan = entry.queries()["bodies_by_ref"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
