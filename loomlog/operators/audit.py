@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions.text import blank, fragment, host, json_path, labels, redacted, request_risks, strip
-from ..tables import cut
+from ..tables import cut, sorted_join
 from .normalise import SESSION, decode
 from .ranks import slice_of
 
@@ -55,7 +55,7 @@ def incidents(events: DataFrame, messages: DataFrame, category: str | None = Non
     calls = cut(calls)
     # reactions are looked for in sessions with a hit only
     near = messages.select(*SESSION, "message_index", "role", "text").join(calls.select(*SESSION).distinct(), list(SESSION), "left_semi")
-    rows = calls.join(reaction(near, D.REGRET, reaction_window).select(*SESSION, "message_index", "reaction"), [*SESSION, "message_index"], "left")
+    rows = calls.join(sorted_join(reaction(near, D.REGRET, reaction_window).select(*SESSION, "message_index", "reaction")), [*SESSION, "message_index"], "left")
     rows = rows.withColumn("confirmed", F.col("reaction").isNotNull())
     if confirmed != "include":
         rows = rows.where(F.col("confirmed") == (confirmed == "only"))

@@ -128,11 +128,15 @@ def _messages(rows: DataFrame, session: Column, index: Column, role: str, text:
     return conform(rows.select(*[c.alias(k) for k, c in columns.items()]), MESSAGES)
 
 
-def _shell(spark, sf_dir) -> DataFrame:
-    """Each order is a command and a reaction of its customer's session."""
+def _shell(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each order is a command and a reaction of its customer's session: what incidents need of the events, and the messages.
+
+    No number of an event within its session is among it, so sessions aren't sorted to count one.
+    """
     o = table(spark, sf_dir, "orders")
     calls = _messages(o, F.col("o_custkey"), F.col("o_orderkey") * 2, "assistant", F.lit(""), "Bash", F.to_json(F.struct(_pick([c for c, _ in COMMANDS], "o_orderkey").alias("command"))))
-    return calls.unionByName(_messages(o, F.col("o_custkey"), F.col("o_orderkey") * 2 + 1, "assistant", _pick([t for t, _ in REACTIONS], "o_orderkey")))
+    m = calls.unionByName(_messages(o, F.col("o_custkey"), F.col("o_orderkey") * 2 + 1, "assistant", _pick([t for t, _ in REACTIONS], "o_orderkey")))
+    return normalise.events(m).select(*normalise.SESSION, "message_index", "type", "body"), m
 
 
 _FIRED, = _sql([x for _, x in COMMANDS])
@@ -145,16 +149,16 @@ i AS (SELECT CAST(c AS VARCHAR) AS session_id, k * 2 AS message_index, patterns,
 @register(f"WITH {_SHELL} SELECT * FROM i")
 def incidents_every_rule(spark, sf_dir):
     """Commands of every danger pattern, with the first reaction of every regret pattern among the next six messages."""
-    m = _shell(spark, sf_dir)
-    out = audit.incidents(normalise.events(m), m)
+    e, m = _shell(spark, sf_dir)
+    out = audit.incidents(e, m)
     return out.select("session_id", "message_index", F.array_join("patterns", ",").alias("patterns"), F.col("reaction.offset").alias("reaction_offset"), F.array_join("reaction.labels", ",").alias("reaction"))
 
 
 @register(f"WITH {_SHELL} SELECT session_id, message_index, patterns FROM i WHERE contains(patterns, 'git.') AND reaction IS NULL")
 def incidents_by_category(spark, sf_dir):
     """Incidents of one category without a reaction; each keeps its patterns of other categories."""
-    m = _shell(spark, sf_dir)
-    out = audit.incidents(normalise.events(m), m, category="git", confirmed="exclude")
+    e, m = _shell(spark, sf_dir)
+    out = audit.incidents(e, m, category="git", confirmed="exclude")
     return out.select("session_id", "message_index", F.array_join("patterns", ",").alias("patterns"))
 
 

@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 from loomlog.operators import normalise
-from loomlog.plans import more
+from loomlog.plans import more, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,9 @@ def test_bodies_broadcast_no_table(spark):
     """Spark takes exploded rows for few and small; whole tables of events would go through the driver."""
     plan = entry.queries()["bodies_by_ref"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_incidents_sort_no_events(spark):
+    """Their queries need no number of an event, so no session's events are shuffled and sorted, bodies and all."""
+    plan = _plan(rules._shell(spark, SF)[0].where("type = 'tool_call(bash)'"))
+    assert "Generate explode" in plan and "Window" not in plan
