@@ -374,6 +374,29 @@ def test_quality_trains_on_one_row_of_an_id(spark):
     assert left.columns == docs.columns and {x.doc_id for x in left.select("doc_id").collect()} <= {0, 1}
 
 
+def test_quality_learns_from_all_pairs_of_all_labels(spark):
+    """Weights and cut are those of every pair of a good and a bad row, none sampled."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.training_rows(docs, labels)
+    assert rows.count() == labels.where(quality.bucket(F.col("doc_id")) != 1).select("doc_id").distinct().count()
+    got = quality.fit(rows)
+    told = rows.toArrow()
+    y, x = told.column("y").to_numpy(), np.array(told.column("x").combine_chunks().flatten()).reshape(-1, len(quality.NAMES))
+    spread = x.std(axis=0)
+    good, bad = (x / spread)[y == 1], (x / spread)[y == 0]
+    w = np.zeros(x.shape[1])
+    diff = (good[:, None] - bad[None]).reshape(-1, x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-diff @ w))
+        step = np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + quality.RIDGE * np.eye(len(w)), diff.T @ (1 - p) / len(diff) - quality.RIDGE * w)
+        w += step * min(1, 2 / np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    assert np.abs(got.weights * spread - w).max() < 0.02 * np.abs(w).max()
+    s = np.sort(x @ got.weights)
+    assert got.cut == pytest.approx((s[len(bad) - 1] + s[len(bad)]) / 2, abs=1e-9)
+
+
 def test_mix_follows_its_schedule(spark, monkeypatch):
     """Which blocks are taken, and when, is the schedule's doing; every tenth of the mix holds the sources near their shares."""
     rows = [(i, " ".join("w" * (i % 7 + 3)), f"s{i % 3}") for i in range(4_000)]
