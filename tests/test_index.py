@@ -28,6 +28,18 @@ def test_index_changes_no_result(spark, tmp_path):
     spark.sql("drop table grams_of_texts")
 
 
+def test_index_moves_lists(spark):
+    """Each trigram of a session once, of all its rows and columns; what is shuffled are lists, not a row for each trigram."""
+    r = random.Random(3)
+    rows = [("g" if i % 9 else None, f"s{i % 7}", "".join(r.choice("abCÄ\U0001f600 \n") for _ in range(r.randint(0, 60))), r.choice([None, "", "ab", "Body"])) for i in range(90)]
+    e = spark.createDataFrame(rows, "agent string, session_id string, text string, body string")
+    made = text_index.index(e.repartition(5))
+    want = {(x[i : i + 3], a, s) for a, s, *texts in rows for t in texts if t for x in [t.lower()] for i in range(len(x) - 2)}
+    got = [tuple(x) for x in made.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rollups_merge(spark):
     rows = [(f"2025-01-{1 + i % 9:02d} 10:00:00" if i % 50 else None, ["a", "b", "", None][i % 4], f"u{i % 3_000}", " " if i % 7 else f"f{i}", i) for i in range(20_000)]
     e = spark.createDataFrame(rows, "ts string, label string, user string, file string, v long").withColumn("ts", F.col("ts").cast("timestamp"))
