@@ -55,7 +55,8 @@ def messages(rows: DataFrame) -> DataFrame:
 
 def plan_files(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, path, body) of the plan files."""
-    raw = spark.read.text(f"{path.rstrip('/')}/*/implementation_plan.md", wholetext=True)
+    with C.listed_together(spark):
+        raw = spark.read.text(f"{path.rstrip('/')}/*/implementation_plan.md", wholetext=True)
     return raw.select(C.folder(F.col("_metadata.file_path")).alias("session_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 

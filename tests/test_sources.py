@@ -160,3 +160,25 @@ def test_pi_and_union(spark, tmp_path, claude_root):
     assert [r.role for r in m.orderBy("message_index").collect()] == ["user", "assistant", "tool"]
     both, _ = ingest_all(spark, {"pi": str(tmp_path), "claude": claude_root})
     assert {(x.agent, x.sessions) for x in sessions.diagnostics(both).collect()} == {("pi", 1), ("claude", 2)}
+
+
+def test_files_are_listed_together(spark, tmp_path):
+    """Looking up many files takes a few tasks, not one for each."""
+    from loomlog.sources import antigravity
+
+    for i in range(150):
+        (tmp_path / f"s{i}").mkdir()
+        (tmp_path / f"s{i}" / "transcript.jsonl").write_text('{"source":"MODEL","content":"x"}\n')
+        (tmp_path / f"s{i}" / "implementation_plan.md").write_text("# Plan\n")
+    sc = spark.sparkContext
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    sc.setJobGroup("listing", "listing")
+    try:
+        rows, plans = antigravity.records(spark, str(tmp_path)), antigravity.plan_files(spark, str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert len(tasks) == 2 and max(tasks) <= 32
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    assert rows.count() == plans.count() == 150
