@@ -14,9 +14,10 @@ everything below works on classes.
    hashes of their prefix; linked sets meet in one of these inverted lists. The boundary
    is the size with the least total cost, counted from the sets themselves.
 3. *Lists to links.* In each list, all members are first compared with a centre, and those
-   outside the largest component with members of it, which joins groups of near copies in
-   linear time; then members of different components are compared, but for those that
-   their distances to the centre tell apart. Comparison is exact, on the kept hashes.
+   outside the largest component with a few members of it, as long as this joins many, which
+   joins groups of near copies in linear time; then members of different components are
+   compared, but for those that their distances to the centre tell apart. Comparison is exact,
+   on the kept hashes.
 
 Nothing is capped: each list is read as a whole, and pairs are only skipped when both
 ends are already known to be connected.
@@ -48,6 +49,11 @@ SAMPLE = 0.4
 LIGHT_MOST = 14
 ROUNDS = 4
 BROADCAST_KEYS = 1_000_000
+BROADCAST_PAIRS = 200_000
+#: So many members of a list's largest component are compared with those outside in one round.
+PICKS = 4
+#: There is another round if one in so many comparisons found a link; else the last step would hardly get shorter.
+WORTH = 32
 SEND = 500_000
 #: So many sets at most are compared with one other in one part.
 PART_ROWS = 1_000
@@ -189,7 +195,7 @@ def least_overlap(n: int, similarity: float) -> int:
 def reduced_sets(documents: DataFrame, sizes: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(c, n, hs, fs): the classes that may have links, with their hashes that other such classes have, and how many have each.
 
-    sizes: (c, n) of every class. hs is packed uint64, fs int32.
+    sizes: (c, n, k) of every class, once. hs is packed uint64, fs int32.
     """
     ranges = packed.ranges_of(documents)
     # of the least SAMPLE * n + 1 hashes, this share of n at least is common to both sides of a link
@@ -201,10 +207,8 @@ def reduced_sets(documents: DataFrame, sizes: DataFrame, similarity: float = SIM
     # the chosen classes' first documents, found by key
     heads = cut(sizes.join(keys, "c", "left_semi").select("c", "n", "k"))
     rows = members.withColumn("k", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
-    picked = heads.select("k").distinct()
-    if heads.count() <= BROADCAST_KEYS:
-        picked = F.broadcast(picked)
-    own = rows.join(picked, "k", "left_semi")
+    few = F.broadcast if heads.count() <= BROADCAST_KEYS else lambda df: df
+    own = rows.join(few(heads.select("k")), "k", "left_semi")
 
     n = packed.partitions_of(documents)
 
@@ -228,7 +232,7 @@ def reduced_sets(documents: DataFrame, sizes: DataFrame, similarity: float = SIM
     told = packed.by_range(_send_all(own, ranges, size), [np.uint64, np.int64], judge, packed.schema(3), n, finish)
     lists = packed.by_range(told, [np.uint64, np.int64, np.int32], sets, "c long, hs binary, fs binary", n)
     enough = F.length("hs") >= 8 * F.ceil(F.round(F.col("n") * similarity, 6))
-    return lists.join(heads.select("c", "n").distinct(), "c").where(enough).select("c", "n", "hs", "fs")
+    return lists.join(few(heads.select("c", "n")), "c").where(enough).select("c", "n", "hs", "fs")
 
 
 def _send_all(documents: DataFrame, ranges: int, size: int) -> DataFrame:
@@ -314,12 +318,15 @@ def list_entries(reduced: DataFrame, light: int, similarity: float) -> DataFrame
 
 def verify(pairs: DataFrame, reduced: DataFrame, similarity: float) -> DataFrame:
     """(a, b, linked, d) of pairs (a, b) of classes, d being their distance. The sets of all b travel to their a, which is read
-    once; an a with more than PART_ROWS of them goes to several parts, each with a copy of its set."""
+    once; an a with more than PART_ROWS of them goes to several parts, each with a copy of its set. Pairs are read more than once,
+    so they should be written; while they are counted to be few, they are broadcast to the sets."""
     sets = reduced.select("c", "n", "hs")
-    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART_ROWS).select("a", F.ceil(F.col("m") / PART_ROWS).alias("parts"))
-    dealt = pairs.join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
-    sides = dealt.join(sets, dealt.b == sets.c).select("a", "part", "b", "n", "hs")
-    heads = dealt.select("a", "part").distinct().join(sets, F.col("a") == sets.c).select("a", "part", F.lit(None).cast("long").alias("b"), "n", "hs")
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
+    parts = few(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts")))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    sides = sets.join(few(dealt), F.col("b") == F.col("c")).select("a", "part", "b", "n", "hs")
+    own = sets.join(parts, F.col("a") == F.col("c")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "n", "hs")
+    heads = own.select("a", "part", F.lit(None).cast("long").alias("b"), "n", "hs")
     n = packed.partitions_of(reduced)
     dealt = sides.unionByName(heads).repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").drop("part")
     hundred = round(similarity * 100)
@@ -344,25 +351,23 @@ def verify(pairs: DataFrame, reduced: DataFrame, similarity: float) -> DataFrame
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(c, root): the least class reachable, for classes with links. Until none changes, each class and each root takes the least
-    label beside it (of a root: beside any class under it), then the label's own label. The rounds grow with the logarithm of a
-    chain's length; labels only fall, so the loop ends. While the links are counted to be few, labels are broadcast to them."""
-    edges = cut(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct())
-    # there are no more classes than edges
-    side = F.broadcast if edges.count() <= BROADCAST_KEYS else lambda df: df
-    label = cut(edges.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    changed = True
-    while changed:
-        near = edges.join(side(label), edges.b == label.c).groupBy(F.col("a").alias("c")).agg(F.min("root").alias("near"))
-        own = F.struct("c", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        hook = F.struct(F.col("root").alias("c"), F.col("near").alias("root"), F.lit(None).cast("long").alias("was"))
-        told = near.join(side(label), "c").select(F.explode(F.array(own, hook)).alias("x")).select("x.*")
-        step = told.groupBy("c").agg(F.min("root").alias("root"), F.max("was").alias("was"))
+    """(c, root): the least class reachable, for classes with links. While a link has different labels at its ends, both ends and both
+    labels take the lesser one, then the label's own label. Labels only fall, to classes of the same component, so the loop ends, with
+    the least. The rounds grow with the logarithm of a chain's length; each deals the labels once. While the links are counted
+    to be few, labels are broadcast to them."""
+    edges = cut(links.where("a <> b").select("a", "b"))
+    # a link has two classes
+    side = F.broadcast if 2 * edges.count() <= BROADCAST_KEYS else lambda df: df
+    label = cut(edges.select(F.explode(F.array("a", "b")).alias("c"), F.least("a", "b").alias("root")).groupBy("c").agg(F.min("root").alias("root")))
+    while True:
+        ends = edges.join(side(label.alias("x")), F.col("a") == F.col("x.c")).join(side(label.alias("y")), F.col("b") == F.col("y.c"))
+        apart = cut(ends.where("x.root <> y.root").select("a", "b", F.col("x.root").alias("x"), F.col("y.root").alias("y")))
+        if apart.isEmpty():
+            return label
+        told = apart.select(F.explode(F.array("a", "b", "x", "y")).alias("c"), F.least("x", "y").alias("root"))
+        step = label.unionByName(told).groupBy("c").agg(F.min("root").alias("root"))
         jump = label.select(F.col("c").alias("root"), F.col("root").alias("far"))
-        new = cut(step.join(side(jump), "root", "left").select("c", F.least("root", F.coalesce("far", "root")).alias("root"), "was"))
-        changed = not new.where("root <> was").isEmpty()
-        label = new.select("c", "root")
-    return label
+        label = cut(step.join(side(jump), "root", "left").select("c", F.least("root", F.coalesce("far", "root")).alias("root")))
 
 
 def _may_link(n, q, m, r, similarity: float, at=None, place=None):
@@ -373,33 +378,40 @@ def _may_link(n, q, m, r, similarity: float, at=None, place=None):
     return most * (100 + hundred) >= (n + m) * hundred
 
 
-def links(reduced: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) between classes that connect every two classes connected by links.
+def joined(reduced: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """(c, root): the least class reachable by links between classes, for classes with links.
 
     First all members of a list are compared with its centre, the one with the most common
-    hashes; then, a few times, members outside a list's largest component with a member
-    of it, chosen by hash. Last, all members of different components are compared. Pairs
-    are left out that can't link: by their sizes and numbers of shared hashes, and in
-    the last step by the places of the common hash and by the triangle inequality on
-    their distances to the centre.
+    hashes; then, a few times while many links are found, members outside a list's largest
+    component with some members of it, chosen by hash. Last, all members of different
+    components are compared. Pairs are left out that can't link: by their sizes and numbers of
+    shared hashes, and in the last step by the places of the common hash and by the triangle
+    inequality on their distances to the centre.
     """
     entries = cut(list_entries(reduced, boundary(reduced, similarity), similarity))
     who = F.struct("c", "n", "q")
     centre = entries.groupBy("key").agg(F.max_by(who, F.struct("w", "c")).alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "a")
     entries = cut(entries.join(centre, "key").select("key", "c", "n", "q", "p", "i", "a"))
     may = _may_link(F.col("n"), F.col("q"), F.col("a.n"), F.col("a.q"), similarity)
-    told = cut(verify(entries.where(F.col("c") != F.col("a.c")).where(may).select(F.col("a.c").alias("a"), F.col("c").alias("b")).distinct(), reduced, similarity))
+    pairs = cut(entries.where(F.col("c") != F.col("a.c")).where(may).select(F.col("a.c").alias("a"), F.col("c").alias("b")).distinct())
+    told = cut(verify(pairs, reduced, similarity))
     known = told.where("linked").select("a", "b")
-    roots = components(known)
+    roots, late = components(known), False
     for i in range(rounds):
         seen = entries.join(roots, "c", "left").select("key", "c", "n", "q", F.coalesce("root", "c").alias("root"))
-        parts = seen.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min_by(who, F.xxhash64("c", F.lit(i))).alias("pick"))
-        main = parts.groupBy("key").agg(F.max_by(F.struct("root", "pick"), F.struct("m", "root")).alias("x"), F.count(F.lit(1)).alias("p")).where("p > 1").select("key", F.col("x.root").alias("main"), F.col("x.pick").alias("a"))
-        pairs = cut(seen.join(main, "key").where("root <> main").where(may).select(F.col("a.c").alias("a"), F.col("c").alias("b")).distinct())
+        picks = F.array(*(F.min_by(who, F.xxhash64("c", F.lit(PICKS * i + j))) for j in range(PICKS)))
+        parts = seen.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), picks.alias("picks"))
+        main = parts.groupBy("key").agg(F.max_by(F.struct("root", "picks"), F.struct("m", "root")).alias("x"), F.count(F.lit(1)).alias("p")).where("p > 1").select("key", F.col("x.root").alias("main"), F.col("x.picks").alias("picks"))
+        outside = seen.join(main, "key").where("root <> main").select("c", "n", "q", F.explode("picks").alias("a"))
+        pairs = cut(outside.where(may).select(F.col("a.c").alias("a"), F.col("c").alias("b")).distinct())
         new = cut(verify(pairs, reduced, similarity).where("linked").select("a", "b"))
-        if new.isEmpty():
+        found = new.count()
+        if not found:
             break
         known = known.unionByName(new)
+        if found * WORTH < pairs.count():
+            late = True  # these links aren't in roots, so the last step compares some pairs in vain
+            break
         roots = components(known)
     # what is left: members of one list in different components
     far = entries.select("key", "c", "n", "q", "p", "i", F.col("a.c").alias("a")).join(told.select("a", F.col("b").alias("c"), "d"), ["a", "c"], "left").select("key", "c", "n", "q", "p", "i", F.when(F.col("c") == F.col("a"), 0.0).otherwise(F.col("d")).alias("d"))
@@ -409,8 +421,9 @@ def links(reduced: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUN
     x, y = seen.alias("x"), seen.where("i").alias("y")  # y: the smaller set
     near = _may_link(F.col("x.n"), F.col("x.q"), F.col("y.n"), F.col("y.q"), similarity, F.col("x.p"), F.col("y.p")) & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9, F.lit(True))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.n") <= F.col("x.n")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & near)
-    pairs = pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-    return known.unionByName(verify(pairs, reduced, similarity).where("linked").select("a", "b"))
+    pairs = cut(pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
+    new = cut(verify(pairs, reduced, similarity).where("linked").select("a", "b"))
+    return components(known.unionByName(new)) if late or not new.isEmpty() else roots
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -419,7 +432,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size:
     told = cut(sets_of(documents, size))
     classes = cut(told.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min("k").alias("k")))
     reduced = cut(reduced_sets(documents, classes.select("c", "n", "k"), similarity, size))
-    roots = components(links(reduced, similarity))
+    roots = joined(reduced, similarity)
     named = classes.join(roots, "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("c", "root", "component_id")

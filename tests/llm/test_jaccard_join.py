@@ -94,6 +94,18 @@ def test_components_of_a_long_chain(spark):
     assert got == dict.fromkeys(keys, min(keys))
 
 
+def test_components_of_stars_take_few_stages(spark):
+    # three rounds at most, each of which deals the labels once
+    stars = [(1000 + i, [*range(10 * i, 10 * i + 5), *range(2000 + 10 * i, 2005 + 10 * i)]) for i in range(20)]
+    links = spark.createDataFrame([(a, b) for a, bs in stars for b in bs], "a long, b long")
+    spark.sparkContext.setJobGroup("stars", "components of stars")
+    got = {x.c: x.root for x in J.components(links).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {c: min(bs) for a, bs in stars for c in [a, *bs]}
+    tracker = spark.sparkContext.statusTracker()
+    assert sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("stars")) <= 24
+
+
 def test_chain_of_revisions(spark):
     # each text shares 9 of 11 shingles with its neighbours, and too few with any other
     rows = [(i, " ".join(f"t{j}" for j in range(i, i + 14))) for i in range(1000)]
