@@ -322,10 +322,10 @@ def verify(pairs: DataFrame, reduced: DataFrame, similarity: float) -> DataFrame
     so they should be written; while they are counted to be few, they are broadcast to the sets."""
     sets = reduced.select("c", "n", "hs")
     few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
-    parts = few(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts")))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
+    dealt = pairs.join(few(parts.where("parts > 1")), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
     sides = sets.join(few(dealt), F.col("b") == F.col("c")).select("a", "part", "b", "n", "hs")
-    own = sets.join(parts, F.col("a") == F.col("c")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "n", "hs")
+    own = sets.join(few(parts), F.col("a") == F.col("c")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "n", "hs")
     heads = own.select("a", "part", F.lit(None).cast("long").alias("b"), "n", "hs")
     n = packed.partitions_of(reduced)
     dealt = sides.unionByName(heads).repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").drop("part")
