@@ -82,13 +82,14 @@ def session_diff(events: DataFrame, messages: DataFrame, path: str | None = None
 
 def tool_calls(
     events: DataFrame, messages: DataFrame, name: str | None = None, name_contains: str | None = None, input_contains: str | None = None, output_contains: str | None = None,
-    output_excludes: str | None = None, is_error: bool | None = None, cap: int = 2000, mode: str | None = None, spawn_cost: DataFrame | None = None, limit: int | None = None,
+    output_excludes: str | None = None, is_error: bool | None = None, cap: int = 2000, mode: str | None = None, spawn_cost: DataFrame | None = None, limit: int | None = None, intent: bool = True,
 ) -> DataFrame:
     """Calls with their output, error flag, intent and what a spawned session cost. Filters read whole texts; masks and cuts come last.
 
     is_error is false where nothing is known; is_error_reliable tells whether the source has a flag. spawn_cost: child_cost() of
     spawned sessions; what a child tells of itself goes before what its parent was told. With ``limit`` (0: none) the first
-    calls by time, each with the total of all and whether that leaves some out (truncated).
+    calls by time, each with the total of all and whether that leaves some out (truncated). Without ``intent`` there is no such column, and
+    no message is sorted and joined for it.
     """
     if name is not None and name_contains is not None:
         raise ValueError("give name or name_contains, not both")
@@ -113,7 +114,8 @@ def tool_calls(
     if limit is not None:
         ordered = [F.asc_nulls_last("ts"), F.asc("session_id"), F.asc("seq")]
         rows = with_total(slice_of(rows, ordered, 0, limit) if limit else rows, rows, limit or None)
-    rows = with_intent(rows, messages)
+    if intent:
+        rows = with_intent(rows, messages)
     if spawn_cost is not None:
         c = spawn_cost.select("agent", F.col("spawn_tool_use_id").alias("tool_use_id"), "child_id", "child_total", "child_type", "child_models")
         rows = rows.join(c, ["agent", "tool_use_id"], "left").withColumn("cost", F.coalesce("child_total", "subagent.total_tokens"))
@@ -132,4 +134,5 @@ def child_cost(sessions: DataFrame, tokens: DataFrame) -> DataFrame:
     found = sessions.where("spawn_tool_use_id is not null").join(own, list(SESSION), "left")
     named = F.when(F.size("models") > 0, F.col("models"))
     found = found.select("agent", "spawn_tool_use_id", F.col("session_id").alias("child_id"), "child_total", F.nullif("subagent_type", F.lit("")).alias("child_type"), named.alias("child_models"))
-    return found.groupBy("agent", "spawn_tool_use_id").agg(F.min_by(F.struct(*found.columns[2:]), "child_id").alias("x")).select("agent", "spawn_tool_use_id", "x.*")
+    # one by one, so that what nobody reads is not worked out; equal ids are met in one order by all
+    return found.groupBy("agent", "spawn_tool_use_id").agg(*[F.min_by(c, "child_id").alias(c) for c in found.columns[2:]])

@@ -6,39 +6,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
-from ..functions.text import blank, timestamp, title_text
+from ..functions.text import blank, bound, json_path, said, timestamp, title_text
 from ..schema import MESSAGES, SESSIONS, conform
 from . import common as C
 
 
-def _kind(part: Column) -> Column:
-    return C.string(part, "$.type")
+def _string(opened: Column, name: str) -> Column:
+    return C.string(C.field(opened, name), "$")
 
 
-def _result_text(part: Column) -> Column:
-    pieces = F.transform(C.array(part, "$.content"), lambda p: F.nullif(C.string(p, "$.text"), F.lit("")))
-    return F.coalesce(C.string(part, "$.content"), C.strings(pieces), F.lit(""))
+def _integer(opened: Column, name: str) -> Column:
+    return C.integer(C.field(opened, name), "$")
 
 
-def _is_error(part: Column, record_result: Column) -> Column:
-    first = F.get(F.filter(C.array(part, "$.content"), lambda p: _kind(p) == "text"), F.lit(0))
-    start = F.coalesce(C.string(part, "$.content"), C.string(first, "$.text"), F.lit(""))
+def _result_text(content: Column) -> Column:
+    pieces = F.transform(C.array(content, "$"), lambda p: said(C.string(p, "$.text")))
+    return F.coalesce(C.string(content, "$"), C.strings(pieces), F.lit(""))
+
+
+def _is_error(part: Column, content: Column, record_result: Column) -> Column:
+    first = F.get(F.filter(C.array(content, "$"), lambda p: C.string(p, "$.type") == "text"), F.lit(0))
+    start = F.coalesce(C.string(content, "$"), C.string(first, "$.text"), F.lit(""))
     derived = start.startswith("<tool_use_error>") | F.coalesce(record_result.startswith("Error:"), F.lit(False))
-    return F.coalesce(C.flag(part, "$.is_error"), derived)
+    return F.coalesce(C.flag(C.field(part, "is_error"), "$"), derived)
 
 
-def _subagent(v: Column) -> Column:
+def _subagent(told: Column) -> Column:
     """What a spawned session cost, as its parent was told; null without any figure."""
     made = F.struct(
-        C.string(v, "$.toolUseResult.agentType").alias("agent_type"),
-        C.model_name(v, "$.toolUseResult.resolvedModel").alias("model"),
-        C.string(v, "$.toolUseResult.status").alias("status"),
-        C.integer(v, "$.toolUseResult.totalDurationMs").alias("duration_ms"),
-        C.integer(v, "$.toolUseResult.totalToolUseCount").alias("tool_uses"),
-        C.integer(v, "$.toolUseResult.totalTokens").alias("total_tokens"),
+        _string(told, "agentType").alias("agent_type"),
+        C.model_name(C.field(told, "resolvedModel"), "$").alias("model"),
+        _string(told, "status").alias("status"),
+        _integer(told, "totalDurationMs").alias("duration_ms"),
+        _integer(told, "totalToolUseCount").alias("tool_uses"),
+        _integer(told, "totalTokens").alias("total_tokens"),
     )
-    known = F.coalesce(made["agent_type"], made["model"], made["duration_ms"].cast("string"), made["tool_uses"].cast("string"), made["total_tokens"].cast("string"))
-    return F.when(known.isNotNull(), made)
+    known = lambda m: m["agent_type"].isNotNull() | m["model"].isNotNull() | m["duration_ms"].isNotNull() | m["tool_uses"].isNotNull() | m["total_tokens"].isNotNull()
+    return F.when(told.isNotNull(), bound(made, lambda m: F.when(known(m), m)))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -52,28 +56,45 @@ def records_of(lines: DataFrame) -> DataFrame:
 
 def messages(rows: DataFrame) -> DataFrame:
     """records() -> messages, with questions and answers linked."""
-    v = F.col("v")
-    rows = rows.where("type in ('user', 'assistant')").withColumn("parts", C.array(v, "$.message.content")).withColumn("plain", C.string(v, "$.message.content"))
-    part = lambda kind, made: F.transform(F.filter("parts", lambda p: _kind(p) == kind), made)
-    results = F.filter("parts", lambda p: _kind(p) == "tool_result")
-    cost = _subagent(v)
-    usage = C.tokens(input=C.integer(v, "$.message.usage.input_tokens"), output=C.integer(v, "$.message.usage.output_tokens"), cache_read=C.integer(v, "$.message.usage.cache_read_input_tokens"), cache_write=C.integer(v, "$.message.usage.cache_creation_input_tokens"))
-    ids = (C.string(v, "$.message.id"), C.string(v, "$.requestId"))
+    top, message, told = F.col("top"), F.col("message"), F.col("told")
     w = Window.partitionBy("session_id").orderBy("line_no")
+    # numbered first, so that records move as they are; what several columns read is a column of its own, looked up once
+    rows = rows.where("type in ('user', 'assistant')").select("session_id", "type", "v", (F.row_number().over(w) - 1).alias("message_index"))
+    rows = rows.withColumn("top", C.fields(F.col("v"))).withColumn("message", C.fields(C.field(top, "message"))).withColumn("told", C.fields(C.field(top, "toolUseResult")))
+    rows = rows.withColumn("listed", json_path(C.field(message, "content"), "$", "array<variant>")).withColumn("usage", C.fields(C.field(message, "usage")))
+    rows = rows.withColumn("plain", F.when(F.col("listed").isNull(), _string(message, "content")))
+    rows = rows.withColumn("told_text", F.when(told.isNull(), _string(top, "toolUseResult"))).withColumn("cost", _subagent(told))
+    rows = rows.withColumn("parts", F.transform("listed", lambda p: bound(C.fields(p), lambda x: F.struct(_string(x, "type").alias("kind"), x.alias("p")))))
+    of_kind = lambda kind: F.filter(F.coalesce("parts", F.array().cast("array<struct<kind:string,p:map<string,variant>>>")), lambda x: x["kind"] == kind)
+    texts = lambda kind: C.strings(F.transform(of_kind(kind), lambda x: said(_string(x["p"], kind))))
+    rows = rows.withColumn("results", of_kind("tool_result"))
+    usage = C.tokens(**{name: _integer(F.col("usage"), key) for name, key in (("input", "input_tokens"), ("output", "output_tokens"), ("cache_read", "cache_read_input_tokens"), ("cache_write", "cache_creation_input_tokens"))})
+    ids = F.struct(_string(message, "id").alias("id"), _string(top, "requestId").alias("request"))
+    key = bound(ids, lambda k: F.when(k["id"].isNotNull() | k["request"].isNotNull(), F.concat_ws("|", F.coalesce(k["id"], F.lit("")), F.coalesce(k["request"], F.lit("")))))
+
+    def use(x, i):
+        p = x["p"]
+        return F.struct(i.alias("ord"), _string(p, "name").alias("name"), C.as_text(C.field(p, "input"), "$").alias("input"), said(_string(p, "id")).alias("tool_use_id"), F.lit(None).cast("timestamp").alias("ts"))
+
+    def result(x, i):
+        p = x["p"]
+        content = C.field(p, "content")
+        return F.struct(i.alias("ord"), _result_text(content).alias("content"), _is_error(p, content, F.col("told_text")).alias("is_error"), said(_string(p, "tool_use_id")).alias("tool_use_id"), F.when(F.size("results") == 1, F.col("cost")).alias("subagent"))
+
     out = rows.select(
         F.lit("claude").alias("agent"),
         "session_id",
-        (F.row_number().over(w) - 1).alias("message_index"),
+        "message_index",
         F.col("type").alias("role"),
-        F.coalesce("plain", C.strings(part("text", lambda p: F.nullif(C.string(p, "$.text"), F.lit("")))), F.lit("")).alias("text"),
-        timestamp(C.string(v, "$.timestamp")).alias("ts"),
-        F.nullif(C.strings(part("thinking", lambda p: F.nullif(C.string(p, "$.thinking"), F.lit("")))), F.lit("")).alias("thinking"),
-        F.when(F.col("type") == "assistant", C.model_name(v, "$.message.model")).alias("model"),
-        part("tool_use", lambda p, i: F.struct(i.alias("ord"), C.string(p, "$.name").alias("name"), C.as_text(p, "$.input").alias("input"), F.nullif(C.string(p, "$.id"), F.lit("")).alias("tool_use_id"), F.lit(None).cast("timestamp").alias("ts"))).alias("tool_use"),
-        F.transform(results, lambda p, i: F.struct(i.alias("ord"), _result_text(p).alias("content"), _is_error(p, C.string(v, "$.toolUseResult")).alias("is_error"), F.nullif(C.string(p, "$.tool_use_id"), F.lit("")).alias("tool_use_id"), F.when(F.size(results) == 1, cost).alias("subagent"))).alias("tool_result"),
-        F.when(F.col("type") == "user", F.transform(F.filter("parts", lambda p: _kind(p) == "image"), lambda p: F.struct(F.lit("image").alias("kind"), F.lit(None).cast("string").alias("target"), F.lit("structured").alias("origin")))).alias("user_refs"),
-        F.when(F.col("type") == "assistant", usage).alias("tokens"),
-        F.when((F.col("type") == "assistant") & F.coalesce(*ids).isNotNull(), F.concat_ws("|", F.coalesce(ids[0], F.lit("")), F.coalesce(ids[1], F.lit("")))).alias("call_key"),
+        F.coalesce("plain", texts("text"), F.lit("")).alias("text"),
+        bound(_string(top, "timestamp"), timestamp).alias("ts"),
+        said(texts("thinking")).alias("thinking"),
+        F.when(F.col("type") == "assistant", C.model_name(C.field(message, "model"), "$")).alias("model"),
+        F.transform(of_kind("tool_use"), use).alias("tool_use"),
+        F.transform("results", result).alias("tool_result"),
+        F.when(F.col("type") == "user", F.transform(of_kind("image"), lambda x: F.struct(F.lit("image").alias("kind"), F.lit(None).cast("string").alias("target"), F.lit("structured").alias("origin")))).alias("user_refs"),
+        F.when((F.col("type") == "assistant") & F.col("usage").isNotNull(), usage).alias("tokens"),
+        F.when(F.col("type") == "assistant", key).alias("call_key"),
     )
     return conform(link_answers(out), MESSAGES)
 
@@ -99,18 +120,34 @@ def link_answers(rows: DataFrame) -> DataFrame:
 
 def sessions(rows: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """records() -> one row per file. meta: (session_id, toolUseId, spawnDepth, agentType) of spawned sessions."""
-    v, n = F.col("v"), F.col("line_no")
-    first_user = F.when((F.col("type") == "user") & ~blank(C.string(v, "$.message.content")) & ~F.coalesce(C.string(v, "$.message.content"), F.lit("<")).startswith("<"), C.string(v, "$.message.content"))
-    custom, made = C.string(v, "$.customTitle"), C.string(v, "$.aiTitle")
-    out = rows.groupBy("session_id", F.col("file").alias("path")).agg(
-        F.coalesce(F.max_by(custom, F.when(custom.isNotNull(), n)), F.max_by(made, F.when(made.isNotNull(), n)), C.first_in_order(first_user, n), C.first_in_order(C.string(v, "$.cwd"), n), F.lit("Untitled")).alias("title"),
-        F.max_by(timestamp(C.string(v, "$.timestamp")), F.when(timestamp(C.string(v, "$.timestamp")).isNotNull(), n)).alias("date"),
+    top, n = F.col("top"), F.col("line_no")
+    message = C.fields(C.field(top, "message"))
+    told = bound(_string(message, "content"), lambda x: F.when(~blank(x) & ~x.startswith("<"), x))
+    rows = rows.withColumn("top", C.fields(F.col("v")))
+    # each value is looked up once, though the totals name it more than once
+    rows = rows.select(
+        "session_id", F.col("file").alias("path"), "line_no", "type",
+        F.when(F.col("type") == "user", told).alias("first_user"),
+        _string(top, "customTitle").alias("custom"),
+        _string(top, "aiTitle").alias("made"),
+        bound(_string(top, "timestamp"), timestamp).alias("at"),
+        _string(top, "cwd").alias("cwd"),
+        _string(top, "entrypoint").alias("entrypoint"),
+        said(_string(top, "sessionId")).alias("own_id"),
+        F.coalesce(C.flag(C.field(top, "isSidechain"), "$"), F.lit(False)).alias("aside"),
+        F.when(F.col("type") == "assistant", C.model_name(C.field(message, "model"), "$")).alias("model"),
+    )
+    last = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), n))
+    first = lambda x: C.first_in_order(F.col(x), n)
+    out = rows.groupBy("session_id", "path").agg(
+        F.coalesce(last("custom"), last("made"), first("first_user"), first("cwd"), F.lit("Untitled")).alias("title"),
+        last("at").alias("date"),
         F.count_if(F.col("type").isin("user", "assistant")).alias("message_count"),
-        C.first_in_order(C.string(v, "$.cwd"), n).alias("project_dir"),
-        C.first_in_order(C.string(v, "$.entrypoint"), n).alias("surface"),
-        C.first_in_order(F.nullif(C.string(v, "$.sessionId"), F.lit("")), n).alias("told_id"),
-        F.bool_or(F.coalesce(C.flag(v, "$.isSidechain"), F.lit(False))).alias("side"),
-        C.distinct_in_order(F.when(F.col("type") == "assistant", C.model_name(v, "$.message.model")), "line_no").alias("models"),
+        first("cwd").alias("project_dir"),
+        first("entrypoint").alias("surface"),
+        first("own_id").alias("told_id"),
+        F.bool_or("aside").alias("side"),
+        C.distinct_in_order(F.col("model"), "line_no").alias("models"),
     )
     sub = F.col("path").contains("/subagents/") | (F.col("side") & F.col("session_id").startswith("agent-"))
     out = out.withColumn("kind", F.when(sub, "subagent"))
